@@ -28,7 +28,7 @@ def uniform(column: Column, seed: int) -> Column:
 
 
 def poisson_count(rate: Column, u: Column) -> Column:
-    """The smallest k at which the Poisson distribution function of mean `rate` reaches `u`. The walk covers `rate` plus 12 deviations and 40; beyond, less than 1e-20 of the mass is left."""
+    """The smallest k at which the Poisson distribution function of mean `rate` reaches `u`. Both must be columns, as each step looks at them. The walk covers `rate` plus 12 deviations and 40; beyond, less than 1e-20 of the mass is left."""
     last = F.ceil(rate + F.sqrt(rate) * 12 + 40).cast("int")
     term = lambda k: F.exp(k * F.log(rate) - rate - F.aggregate(F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))))
     # Rates to 500 multiply up from exp(-rate); larger ones start at the mean less 14 deviations, where exp(-rate) would vanish.
@@ -57,7 +57,6 @@ def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", weight
     small = len(rates.limit(BROADCAST_SOURCES + 1).select("_source").collect()) <= BROADCAST_SOURCES
     match = F.col(source).eqNullSafe(F.col("_source"))
     joined = df.join(F.broadcast(rates) if small else rates, match)
-    count = poisson_count(F.col("_rate"), uniform(F.col(key), seed=seed))
-    copies = joined.withColumn("_count", count).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    copies = joined.withColumn("_u", uniform(F.col(key), seed)).withColumn("_count", poisson_count(F.col("_rate"), F.col("_u"))).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     place = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("replica"))
     return copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").select(*[F.col(c) for c in df.columns if c != "replica"], "replica")

@@ -74,8 +74,8 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: floa
     return joined.select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
 
 
-def best_path(found: Column, length: Column) -> Column:
-    """array<struct<start, id>> of the best path through edges sorted by (end, start), whose places run from 1 to length + 1."""
+def best_edges(found: Column) -> Column:
+    """array<struct<score, start, id>>: for each place from 1 on the best edge into it. Takes edges sorted by (end, start)."""
     node = lambda score, start, ident: F.struct(score.alias("score"), start.alias("start"), ident.alias("id"))
     origin = node(F.lit(0.0), F.lit(0), F.lit(-1))
     # Every place has an edge into it, so ends come one after the other: `nodes` holds the places that are done, `open` the best edge into the next.
@@ -88,7 +88,11 @@ def best_path(found: Column, length: Column) -> Column:
         best = F.when(same & (s["open"]["score"] >= new["score"]), s["open"]).otherwise(new)
         return F.struct(nodes.alias("nodes"), best.alias("open"), e["end"].alias("end"))
 
-    nodes = F.aggregate(found, begun, step, lambda s: F.concat(s["nodes"], F.array(s["open"])))
+    return F.aggregate(found, begun, step, lambda s: F.concat(s["nodes"], F.array(s["open"])))
+
+
+def best_path(nodes: Column, length: Column) -> Column:
+    """array<struct<start, id>>: the edges that lead back from the last place, in reading order. `nodes` must be a column, as each step looks into it."""
     back = F.struct((length + 1).alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
 
     def walk(s, i):
@@ -113,7 +117,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
     found = edges(words.distinct(), table, pieces.longest, pieces.unknown_score)
     grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("found"))
-    path = grouped.select("word", best_path(F.col("found"), F.length("word")).alias("path"))
+    path = grouped.withColumn("nodes", best_edges(F.col("found"))).select("word", best_path(F.col("nodes"), F.length("word")).alias("path"))
     ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_char_ids(F.substr("word", p["start"], F.lit(1)), pieces))))
     return path.select("word", ids.alias("ids"))
 

@@ -112,12 +112,13 @@ def entropy_spans(text: Column, kind: EntropyClass, rank: int) -> Column:
             ok = ok & ~F.contains(lowered(x), F.lit(word))
         return ok
 
-    def judged(x):
+    def coded(x):
         chars = F.split(lowered(x) if fold else x["match"], "")
         codes = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(F.lit(kind.alphabet), c))
-        return F.struct(x["start"].alias("start"), hot_window(codes, len(kind.alphabet), kind.window, kind.bits).alias("hot"))
+        return F.struct(x["start"].alias("start"), codes.alias("codes"))
 
-    found = F.transform(F.filter(_located(text, f"({kind.candidate})"), wanted), judged)
+    judged = lambda x: F.struct(x["start"].alias("start"), hot_window(x["codes"], len(kind.alphabet), kind.window, kind.bits).alias("hot"))
+    found = F.transform(F.transform(F.filter(_located(text, f"({kind.candidate})"), wanted), coded), judged)
     hot = F.filter(found, lambda x: x["hot"]["first"] >= 0)
     spans = F.transform(hot, lambda x: _span(x["start"] + x["hot"]["first"], rank, kind.kind, x["start"] + x["hot"]["last"] + kind.window))
     return F.when(text.rlike(kind.gate), spans).otherwise(F.array().cast(SPANS))
