@@ -2,12 +2,14 @@
 
 Text gets a leading U+2581 and U+2581 for each space; a word is a run of U+2581 with what follows. No piece reaches
 over a word's end, so words are encoded apart. For a word every substring of bounded length is equi-joined to the piece
-table; the matches are its edges; a fold over the edges by their ends keeps the best score for each place (Viterbi;
-ties go to the longer last piece). A character without a piece costs the least score less 10 and becomes byte pieces.
+table; the matches are its edges, grouped by word and folded with Spark's `aggregate`. For a unigram model the fold is
+Viterbi (ties go to the longer last piece). A byte-pair model's scores are ranks, whose best sum isn't what the model
+means; for it the fold merges: again and again the edge of the best score, the leftmost of these, that joins two
+neighbours. Characters without a piece become byte pieces. Both folds give what the sentencepiece library gives.
 
-The frequent words of the corpus are encoded so in Spark, with `aggregate` as the fold, and the resulting table of fixed
-size goes to every task. The other words would have to be shuffled with their places in all documents; the same lattice
-is folded for them where they stand (see the README for figures). Which words are frequent changes no result.
+The frequent words of the corpus are encoded so in Spark, and the resulting table of fixed size goes to every task. The
+other words would have to be shuffled with their places in all documents; for them the same fold runs where they stand
+(see the README for figures). Which words are frequent changes no result.
 
 Defined results: null and empty texts have no ids; repeated rows give equal results; a U+2581 of the text is decoded as
 a space. Other columns are ignored.
@@ -15,6 +17,7 @@ a space. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from typing import NamedTuple
 
@@ -44,6 +47,33 @@ class Pieces(NamedTuple):
     unknown_id: int
     unknown_score: float
     longest: int
+    unigram: bool
+
+
+def is_unigram(model: str) -> bool:
+    """Field 3 (model_type) of field 2 (trainer_spec) of the file, 1 or absent for a unigram model."""
+    data = open(model, "rb").read()
+
+    def varint(at: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n, shift, at = n | (data[at] & 127) << shift, shift + 7, at + 1
+            if data[at - 1] < 128:
+                return n, at
+
+    def field(wanted: int, at: int, end: int) -> tuple[int, int] | None:
+        while at < end:
+            key, at = varint(at)
+            first, after = varint(at) if key & 7 in (0, 2) else (0, at + (8 if key & 7 == 1 else 4))
+            last = after + first if key & 7 == 2 else after
+            if key >> 3 == wanted:
+                return (at if key & 7 == 0 else after), last
+            at = last
+        return None
+
+    spec = field(2, 0, len(data))
+    kind = spec and field(3, *spec)
+    return not kind or data[kind[0]] == 1
 
 
 def load(model: str = MODEL) -> Pieces:
@@ -55,7 +85,7 @@ def load(model: str = MODEL) -> Pieces:
     if any(SPACE in p.lstrip(SPACE) for p in table):
         raise ValueError("a piece reaches over a word's end")
     named = {sp.id_to_piece(i): i for i in ids if sp.is_byte(i)}
-    return Pieces(table, [named[f"<0x{b:02X}>"] for b in range(256)] if named else [], sp.unk_id(), min(s for _, s in table.values()) - UNKNOWN_PENALTY, max(map(len, table)))
+    return Pieces(table, [named[f"<0x{b:02X}>"] for b in range(256)] if named else [], sp.unk_id(), min(s for _, s in table.values()) - UNKNOWN_PENALTY, max(map(len, table)), is_unigram(model))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -103,6 +133,34 @@ def best_path(nodes: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(length + 1, F.lit(2), F.lit(-1)), back, walk, lambda s: s["path"])
 
 
+def merged(found: Column, length: Column) -> Column:
+    """array<int>: the places where the pieces that byte-pair merging leaves begin, and the end. `found` must be a column of edges.
+
+    A step looks for the edge of the best score, then the leftmost, with both ends among the places and one place between; n characters need at most n - 1 steps.
+    """
+    begun = F.struct(F.sequence(F.lit(1), length + 1).alias("cuts"), F.lit(True).alias("go"))
+
+    def step(s, _):
+        inside = lambda e: F.size(F.filter(s["cuts"], lambda c: (c >= e["start"]) & (c <= e["end"])))
+        fits = lambda e: (e["id"] >= 0) & (e["end"] > e["start"] + 1) & F.array_contains(s["cuts"], e["start"]) & F.array_contains(s["cuts"], e["end"]) & (inside(e) == 3)
+        ranked = F.transform(F.filter(found, fits), lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end")))
+        # One element, so that the best edge is looked for once.
+        change = F.transform(F.array(F.array_min(ranked)), lambda b: F.struct(F.filter(s["cuts"], lambda c: b.isNull() | (c <= b["start"]) | (c >= b["end"])).alias("cuts"), b.isNotNull().alias("go")))
+        return F.when(s["go"], F.element_at(change, 1)).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), length), begun, step, lambda s: s["cuts"])
+
+
+def cut_path(found: Column, cuts: Column) -> Column:
+    """array<struct<start, id>> of the edges between neighbouring places of `cuts`."""
+
+    def edge(c, i):
+        end = F.element_at(cuts, i + 2)
+        return F.struct(c.alias("start"), F.element_at(F.filter(found, lambda e: (e["start"] == c) & (e["end"] == end)), 1)["id"].alias("id"))
+
+    return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), edge)
+
+
 def _char_ids(char: Column, pieces: Pieces) -> Column:
     if not pieces.byte_ids:
         return F.array(F.lit(pieces.unknown_id))
@@ -117,7 +175,10 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
     found = edges(words.distinct(), table, pieces.longest, pieces.unknown_score)
     grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("found"))
-    path = grouped.withColumn("nodes", best_edges(F.col("found"))).select("word", best_path(F.col("nodes"), F.length("word")).alias("path"))
+    if pieces.unigram:
+        path = grouped.withColumn("nodes", best_edges(F.col("found"))).select("word", best_path(F.col("nodes"), F.length("word")).alias("path"))
+    else:
+        path = grouped.withColumn("cuts", merged(F.col("found"), F.length("word"))).select("word", cut_path(F.col("found"), F.col("cuts")).alias("path"))
     ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_char_ids(F.substr("word", p["start"], F.lit(1)), pieces))))
     return path.select("word", ids.alias("ids"))
 
@@ -128,11 +189,24 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 class Encoder:
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]) -> None:
         self.pieces, self.known, self.cache = pieces, known, {}
+        self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)}
 
     def word(self, word: str) -> tuple[int, ...]:
+        parts = self._viterbi(word) if self.pieces.unigram else self._merge(word) if len(word) <= FREQUENT_LENGTH else self._merge_long(word)
+        table, out = self.pieces.table, []
+        for part in parts:
+            if part in table:
+                out.append(table[part][0])
+            elif self.pieces.byte_ids:
+                out.extend(self.pieces.byte_ids[b] for b in part.encode("utf-8", "surrogatepass"))
+            else:
+                out.append(self.pieces.unknown_id)
+        return tuple(out)
+
+    def _viterbi(self, word: str) -> list[str]:
         table, begins, n = self.pieces.table, self.begins, len(word)
-        score, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
+        score, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
         for start in range(n):
             at, single = score[start], False
             for end in range(start + 1, min(n, start + self.pieces.longest) + 1):
@@ -143,15 +217,52 @@ class Encoder:
                 if hit is not None:
                     single |= end == start + 1
                     if at + hit[1] > score[end]:
-                        score[end], back[end] = at + hit[1], (start, hit[0])
+                        score[end], back[end] = at + hit[1], start
             if not single and at + self.pieces.unknown_score > score[start + 1]:
-                score[start + 1], back[start + 1] = at + self.pieces.unknown_score, (start, -1)
+                score[start + 1], back[start + 1] = at + self.pieces.unknown_score, start
         out, at = [], n
         while at:
-            start, ident = back[at]
-            out.append((ident,) if ident >= 0 else tuple(self.pieces.byte_ids[b] for b in word[start:at].encode("utf-8", "surrogatepass")) if self.pieces.byte_ids else (self.pieces.unknown_id,))
-            at = start
-        return tuple(i for part in reversed(out) for i in part)
+            out.append(word[back[at] : at])
+            at = back[at]
+        return out[::-1]
+
+    def _merge(self, word: str) -> list[str]:
+        costs, none = self.costs, float("inf")
+        parts = list(word)
+        joins = [costs.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while joins and (least := min(joins)) < none:
+            i = joins.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = costs.get(parts[i - 1] + parts[i], none)
+            if i < len(joins):
+                joins[i] = costs.get(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, word: str) -> list[str]:
+        """The same with a heap over linked neighbours, for words of any length."""
+        costs, n = self.costs, len(word)
+        parts: list[str | None] = list(word)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j >= 0 and (cost := costs.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (cost, i, j, parts[i] + parts[j]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, whole = heapq.heappop(heap)
+            if parts[i] is None or parts[j] is None or right[i] != j or parts[i] + parts[j] != whole:
+                continue
+            parts[i], parts[j], right[i] = whole, None, right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            offer(left[i], i)
+            offer(i, right[i])
+        return [p for p in parts if p is not None]
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
