@@ -17,18 +17,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from graphtide.llm.common import cut_lineage
-
 #: A paragraph that is longer is cut; a cut falls behind a sentence's end if there is one between these two lengths.
 SHORT, LONG = 64, 256
 #: One paragraph in so many, by its hash, ends a section.
 SECTION = 8
+#: Most ranges of ids.
+RANGES = 8192
 LEAF_HEX, SECTION_HEX, ROOT_HEX = 16, 16, 64
 PIECE = re.compile(rf"[^\n]{{1,{LONG}}}(?:\n|\Z)|[^\n]{{{SHORT},{LONG}}}?[.!?;]+\x20|[^\n]{{{SHORT},{LONG}}}\x20|[^\n]{{{LONG}}}|\n")
 
@@ -133,58 +133,61 @@ def _row(doc_id, text: str, mark: str, following: str, next_mark: str) -> tuple:
     return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), mark, new_mark, likeness(mark, new_mark), likeness(mark, next_mark)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Each row's tree, and that of its text edited with the next row's, in ascending doc_id (null ids last); the last row is followed by the first.
+def _ranges(docs: DataFrame) -> tuple[list[float], list[tuple[int, int | None, int]]]:
+    """Bounds that cut the ids into ranges of about equal numbers of rows, and for each range with rows its number, its least id and the range before it (of the first: the last). Null ids are the last range."""
+    spark = docs.sparkSession
+    wanted = min(RANGES, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ids = docs.select("doc_id")
+    cuts = ids.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 1 / (4 * wanted))
+    bounds = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]
+    least = sorted((r["place"], r["first"]) for r in _placed(ids, bounds).groupBy("place").agg(F.min("doc_id").alias("first")).collect())
+    return bounds, [(place, first, least[i - 1][0]) for i, (place, first) in enumerate(least)]
 
-    The texts are dealt out once, into ranges of doc_id. A task meets the rows of its range in order and knows the next
-    row of all but its last; ranges leave their first and last rows aside, and only those are matched afterwards.
-    """
-    struct = StructType.fromDDL(OUT + ", part int, ends string, text string")
-    arrow = to_arrow_schema(struct)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before, first, out = None, True, []
+def _placed(df: DataFrame, bounds: list[float]) -> DataFrame:
+    """`df` with the number of the range that holds doc_id, found by binary search in the JVM."""
+    ids = df.withColumn("_id", F.col("doc_id").cast("double"))
+    cut = Bucketizer(splits=bounds, inputCol="_id", outputCol="_place", handleInvalid="keep").transform(ids)
+    return cut.withColumn("place", F.coalesce(F.col("_place").cast("int"), F.lit(len(bounds)))).drop("_id", "_place")
 
-        def flush():
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                now = (doc_id, text, fingerprint(text))
-                if first:
-                    out.append((doc_id, None, None, now[2], None, None, None, part, "head", text))
-                    first = False
-                else:
-                    out.append((*_row(*before, *now[1:]), part, None, None))
-                before = now
-                if len(out) >= 256:
-                    yield flush()
-        if before:
-            out.append((before[0], None, None, before[2], None, None, None, part, "tail", before[1]))
-        if out:
-            yield flush()
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Each row's tree, and that of its text edited with the next row's, in ascending doc_id (null ids last); the last row is followed by the first.
 
+    The ids alone give ranges and the least id of each. The texts are dealt out by range once; the first rows of a range
+    go to the range before it as well, to follow its last row.
+    """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    dealt = whole.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    done = cut_lineage(dealt.mapInArrow(run, struct))
-    parts = sorted(r["part"] for r in done.filter("ends = 'tail'").select("part").collect())
-    following = {p: parts[(i + 1) % len(parts)] for i, p in enumerate(parts)}
-    ends = done.filter("ends is not null").select("doc_id", "fingerprint", "part", "ends", "text")
+    bounds, heads = _ranges(whole)
+    if not heads:
+        return docs.sparkSession.createDataFrame([], OUT)
     spark = docs.sparkSession
-    links = spark.createDataFrame(list(following.items()), "part int, next int")
-    pairs = ends.filter("ends = 'tail'").join(F.broadcast(links), "part").alias("a").join(ends.filter("ends = 'head'").alias("b"), F.col("a.next") == F.col("b.part"))
+    placed = _placed(whole, bounds).withColumn("after", F.lit(False))
+    # At most RANGES + 1 rows.
+    known = spark.createDataFrame([(first, before) for _, first, before in heads if first is not None], "first long, before int")
+    following = whole.join(F.broadcast(known), F.col("doc_id") == F.col("first")).select("doc_id", "text", F.col("before").alias("place"), F.lit(True).alias("after"))
+    for _, first, before in heads:
+        if first is None:
+            following = following.unionByName(whole.filter("doc_id is null").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(before).alias("place"), F.lit(True).alias("after")))
+    dealt = placed.unionByName(following).repartition("place").sortWithinPartitions("place", "after", F.col("doc_id").asc_nulls_last(), "text")
+    struct = StructType.fromDDL(OUT)
+    arrow = to_arrow_schema(struct)
 
-    target = to_arrow_schema(StructType.fromDDL(OUT))
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    def seam(batches) -> Iterator[pa.RecordBatch]:
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        before, out = None, []
         for batch in batches:
-            rows = [_row(r["doc_id"], r["text"], r["fingerprint"], r["following"], r["next_mark"]) for r in batch.to_pylist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+            for row in batch.to_pylist():
+                now = None if row["after"] and before is None else (row["place"], row["doc_id"], row["text"], fingerprint(row["text"]))
+                if before and now and before[0] == now[0]:
+                    out.append(_row(*before[1:], *now[2:]))
+                before = None if row["after"] else now
+                if len(out) >= 256:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
 
-    seams = pairs.select("a.doc_id", "a.text", "a.fingerprint", F.col("b.text").alias("following"), F.col("b.fingerprint").alias("next_mark")).mapInArrow(seam, OUT)
-    return done.filter("ends is null").select(*StructType.fromDDL(OUT).fieldNames()).unionByName(seams)
+    return dealt.select("place", "after", "doc_id", "text").mapInArrow(run, struct)
