@@ -24,6 +24,9 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # Tasks share the cores already; a pool of threads in each for small matrices only gets in the way.
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
     _shipped.add(app)
 
 
