@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings whose document frequency differs between toxic and other examples; their IDF
+Features are words and word beginnings whose document frequency is higher in toxic examples than in others; their IDF
 comes from all documents. Examples are a bounded sample of labelled rows. A query's neighbours are found exactly: blocks
 of examples are opened in the order of their upper bounds until no unopened block can still enter the top K. Votes are
 weighted by similarity; held-in examples, each voted on without itself, calibrate them.
@@ -25,12 +25,12 @@ from graphtide.llm.common import fold, map_rows
 HELD_OUT = (5, 0)
 #: Bound of the sample of labelled rows, half of it toxic if there are as many.
 EXAMPLES = 8192
-#: Bound of the vocabulary, and the least |z| of a feature's difference in document frequency.
+#: Bound of the vocabulary, and the least z by which a feature is more frequent in toxic examples.
 FEATURES = 2048
-LEAST_Z = 5.0
+LEAST_Z = 7.0
 PREFIX = 5
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 128
 #: An example weighs similarity ** POWER.
 POWER = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -86,8 +86,14 @@ class Index:
         order = np.lexsort((np.arange(len(bounds)), -bounds))
         best: list[tuple[float, int]] = []
         for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+            if bounds[b] <= 0:
                 break
+            if len(best) == k and bounds[b] <= -best[-1][0] + 1e-12:
+                if bounds[b] < -best[-1][0] - 1e-12:
+                    break
+                # At best a tie, which a later place loses.
+                if b * BLOCK > best[-1][1]:
+                    continue
             scores = np.zeros(BLOCK)
             for f, w in vector.items():
                 posting = self.postings[f].get(b)
@@ -173,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, Calibration] | float
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     # Two-proportion z, with a half added so that frequencies of 0 and 1 stay finite.
     spread = F.sqrt((pooled * (1 - pooled) + 0.5 / (n1 + n0)) * (1 / n1 + 1 / n0))
-    ranked = tally.withColumn("z", (pa - pb) / spread).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(FEATURES)
+    ranked = tally.withColumn("z", (pa - pb) / spread).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
     vocabulary = {r["feature"]: i for i, r in enumerate(ranked.select("feature").collect())}
     idf = _idf(docs, vocabulary)
     rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
