@@ -70,7 +70,7 @@ def _op6_sql() -> str:
      {name}_flat as (select doc_id, unnest(gaps) as gap, unnest(hits) as hit, unnest(vals) as val, generate_subscripts(gaps, 1) as i from {name}_cut),
      {name} as (select doc_id, hit, val, sum(length(gap) + length(hit)) over (partition by doc_id order by i) - length(hit) as start from {name}_flat)"""
     quoted = lambda s: s.replace("'", "''")
-    parts = [located(b.kind, quoted(b.pattern)) for b in secret_scan.BASE] + [located(c.kind, f"({c.candidate})") for c in secret_scan.CLASSES]
+    parts = [located(b.kind, quoted(f'{b.prefix}({b.value})')) for b in secret_scan.BASE] + [located(c.kind, f"({c.candidate})") for c in secret_scan.CLASSES]
     spans = [f"select doc_id, '{b.kind}' as kind, {i} as rank, cast(start as bigint) as s, cast(start + length(hit) as bigint) as e from {b.kind} where length(val) >= {b.shortest}" for i, b in enumerate(secret_scan.BASE)]
     for i, c in enumerate(secret_scan.CLASSES):
         chars = "lower(hit)" if c.alphabet == c.alphabet.lower() else "hit"

@@ -21,11 +21,14 @@ SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 class Base(NamedTuple):
     kind: str
-    #: With exactly one group, whose length decides.
-    pattern: str
+    prefix: str
+    #: Its length decides.
+    value: str
     shortest: int
-    #: A text without a match of it has none of `pattern`.
+    #: A text without a match of it has no span of the kind.
     gate: str
+    #: What is searched for instead of `value` where dropping short matches afterwards and asking for long ones come to the same: runs of one class of characters.
+    long_value: str = ""
 
 
 class EntropyClass(NamedTuple):
@@ -40,11 +43,11 @@ class EntropyClass(NamedTuple):
 
 
 # The base patterns of the contract.
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 BASE = (
-    Base("assign", ASSIGN, 12, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Base("access", "(AKIA[A-Z0-9]+)", 18, "AKIA[A-Z0-9]{14}"),
-    Base("hex", "([0-9a-f]+)", 16, "[0-9a-f]{16}"),
+    Base("assign", ASSIGN, "[A-Za-z0-9+/_.=-]+", 12, ASSIGN + "[A-Za-z0-9+/_.=-]{12}"),
+    Base("access", "", "AKIA[A-Z0-9]+", 18, "AKIA[A-Z0-9]{14}", "AKIA[A-Z0-9]{14,}"),
+    Base("hex", "", "[0-9a-f]+", 16, "[0-9a-f]{16}", "[0-9a-f]{16,}"),
 )
 CLASSES = (
     EntropyClass("entropy_hex", "[0-9a-fA-F]{20,}", "0123456789abcdef", 20, 3.0, ("[0-9]", "[a-fA-F]"), "[0-9a-fA-F]{20}"),
@@ -54,18 +57,30 @@ CLASSES = (
 ALLOWED = ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "d41d8cd98f00b204e9800998ecf8427e", "0123456789abcdef", "abcdefghijklmnop", "example")
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, match, value>>: every match of a pattern with one group. The text is cut into (gap, match) pairs in a single pass; the starts are running sums of their lengths."""
-    cut = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
-    part = lambda i: F.regexp_extract_all(text, cut, F.lit(i))
-    pairs = F.zip_with(part(1), F.zip_with(part(2), part(3), lambda m, v: F.struct(m.alias("match"), v.alias("value"))), lambda g, x: F.struct(F.length(g).alias("gap"), x["match"].alias("match"), x["value"].alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string,value:string>>").alias("found"))
+#: Put around matches. No pattern matches them; in the text that is searched other characters stand for them.
+OPEN, CLOSE, INSTEAD = "\x01", "\x02", "\x03"
+
+
+def searched(text: Column) -> Column:
+    """The text to search, of the same length: null as empty, without OPEN and CLOSE."""
+    body = F.coalesce(text, F.lit(""))
+    return F.when(body.rlike(f"[{OPEN}{CLOSE}]"), F.translate(body, OPEN + CLOSE, INSTEAD + INSTEAD)).otherwise(body)
+
+
+def _located(body: Column, prefix: str, value: str) -> Column:
+    """array<struct<start, size, match, value>>: every match of prefix and value. One pass marks the matches, the marks cut the text, and the starts are running sums of the lengths."""
+    marked = F.regexp_replace(body, f"({prefix})({value})", f"{OPEN}$1{CLOSE}$2{CLOSE}")
+    cut = F.transform(F.split(marked, OPEN), lambda s: F.split(s, CLOSE))
+    # The first part has no match; others are prefix, value and the gap behind.
+    part = lambda p: F.struct(F.when(F.size(p) == 3, F.concat(p[0], p[1])).alias("match"), F.when(F.size(p) == 3, p[1]).alias("value"), F.length(F.element_at(p, -1)).alias("gap"))
+    sized = lambda p: F.struct(p["match"].alias("match"), p["value"].alias("value"), F.coalesce(F.length(p["match"]), F.lit(0)).alias("size"), p["gap"].alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,match:string,value:string>>").alias("found"))
 
     def step(s, x):
-        hit = F.struct((s["at"] + x["gap"]).alias("start"), x["match"].alias("match"), x["value"].alias("value"))
-        return F.struct((s["at"] + x["gap"] + F.length(x["match"])).alias("at"), F.when(F.length(x["match"]) > 0, F.concat(s["found"], F.array(hit))).otherwise(s["found"]).alias("found"))
+        hit = F.struct(s["at"].alias("start"), x["size"].alias("size"), x["match"].alias("match"), x["value"].alias("value"))
+        return F.struct((s["at"] + x["size"] + x["gap"]).alias("at"), F.when(x["size"] > 0, F.concat(s["found"], F.array(hit))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["found"])
+    return F.aggregate(F.transform(F.transform(cut, part), sized), start, step, lambda s: s["found"])
 
 
 def _span(start: Column, rank: int, kind: str, end: Column) -> Column:
@@ -73,8 +88,8 @@ def _span(start: Column, rank: int, kind: str, end: Column) -> Column:
 
 
 def base_spans(text: Column, base: Base, rank: int) -> Column:
-    found = F.filter(_located(text, base.pattern), lambda x: F.length(x["value"]) >= base.shortest)
-    spans = F.transform(found, lambda x: _span(x["start"], rank, base.kind, x["start"] + F.length(x["match"])))
+    found = F.filter(_located(text, base.prefix, base.long_value or base.value), lambda x: F.length(x["value"]) >= base.shortest)
+    spans = F.transform(found, lambda x: _span(x["start"], rank, base.kind, x["start"] + x["size"]))
     return F.when(text.rlike(base.gate), spans).otherwise(F.array().cast(SPANS))
 
 
@@ -118,7 +133,7 @@ def entropy_spans(text: Column, kind: EntropyClass, rank: int) -> Column:
         return F.struct(x["start"].alias("start"), codes.alias("codes"))
 
     judged = lambda x: F.struct(x["start"].alias("start"), hot_window(x["codes"], len(kind.alphabet), kind.window, kind.bits).alias("hot"))
-    found = F.transform(F.transform(F.filter(_located(text, f"({kind.candidate})"), wanted), coded), judged)
+    found = F.transform(F.transform(F.filter(_located(text, "", kind.candidate), wanted), coded), judged)
     hot = F.filter(found, lambda x: x["hot"]["first"] >= 0)
     spans = F.transform(hot, lambda x: _span(x["start"] + x["hot"]["first"], rank, kind.kind, x["start"] + x["hot"]["last"] + kind.window))
     return F.when(text.rlike(kind.gate), spans).otherwise(F.array().cast(SPANS))
@@ -126,10 +141,9 @@ def entropy_spans(text: Column, kind: EntropyClass, rank: int) -> Column:
 
 def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with _base and _added: arrays of spans in the order of start, then kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(F.concat(*[base_spans(body, b, i) for i, b in enumerate(BASE)]))
-    added = F.array_sort(F.concat(*[entropy_spans(body, c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
-    return df.withColumn("_base", base).withColumn("_added", added)
+    base = F.array_sort(F.concat(*[base_spans(F.col("_body"), b, i) for i, b in enumerate(BASE)]))
+    added = F.array_sort(F.concat(*[entropy_spans(F.col("_body"), c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
+    return df.withColumn("_body", searched(F.col(text))).withColumns({"_base": base, "_added": added}).drop("_body")
 
 
 def joined(spans: Column) -> Column:
