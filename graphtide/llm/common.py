@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -41,8 +42,16 @@ def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tu
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """checkpoint() in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set, as in tests.
+
+    Then the driver collects its garbage: what led here is no longer needed, and its shuffle files on the executors' disks
+    go only when the driver notices, by default within half an hour.
+    """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphtide-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out

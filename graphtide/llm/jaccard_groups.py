@@ -46,24 +46,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
 class Shingler:
     """Distinct shingle hashes of texts. Words are cut at ASCII white space after A-Z are lower-cased."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.words = k, {}
+        self.k, self.words = k, WordHashes()
         self.factors = _mix(np.arange(1, k + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], dtype=U64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            return np.array([known[w] for w in words], dtype=U64)
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        return np.fromiter(map(self.words.__getitem__, words), dtype=U64, count=len(words))
 
     def tokens(self, text: str | None) -> np.ndarray:
         """Sorted. Fewer than k words make one shingle, whose hash also tells their number."""
@@ -146,20 +145,43 @@ def _least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
 
 
-def missing(a: Column, b: Column) -> Column:
+def missing(a: np.ndarray, b: np.ndarray) -> int:
     """How many bits of bitmap `a` bitmap `b` lacks, after folding both to the narrower width: at least so many tokens of a's set are not in b's."""
-    width = F.least(F.size(a), F.size(b))
-    fold = lambda x: F.when(F.size(x) == width, x).otherwise(F.transform(F.sequence(F.lit(1), width), lambda i: F.aggregate(F.sequence(i, F.size(x), width), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseOR(F.element_at(x, j.cast("int"))))))
-    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, width), axis=0) for x in (a, b))
+    # Of the absolute value for signed numbers.
+    return int(np.bitwise_count((a & ~b).view(U64)).sum())
+
+
+def _within(rows: DataFrame, num: int, den: int, both: bool) -> DataFrame:
+    """(a, b) of the rows whose overlap, bounded by the bitmaps, can reach that of a link. Takes a, b, n_a, n_b, bits_a, bits_b. `both`: b is a set as well, and not the union of a group whose members have n_b tokens or more."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def bound(batches):
+        for batch in batches:
+            keep = []
+            lists = []
+            for name in ("bits_a", "bits_b"):
+                column = batch.column(name)
+                lists.append((column.offsets.to_numpy(), column.values.to_numpy()))
+            (at_a, all_a), (at_b, all_b) = lists
+            for i, (n_a, n_b) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)):
+                least = -(-(n_a + n_b) * num // (num + den))
+                x, y = all_a[at_a[i] : at_a[i + 1]], all_b[at_b[i] : at_b[i + 1]]
+                keep.append(n_a - missing(x, y) >= least and (not both or n_b - missing(y, x) >= least))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], schema=out)
+
+    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
 
 
 def _needed(ids: DataFrame) -> np.ndarray:
     """Which of 2 ** NEEDED_BITS buckets of xxhash64(id) hold an id: a table of fixed size, filled by the cluster."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << NEEDED_BITS))
     rows = ids.select(place.alias("p")).selectExpr("cast(shiftright(p, 6) as int) word", "shiftleft(1L, cast(p & 63 as int)) bit")
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << NEEDED_BITS - 6, dtype=np.int64)
-    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r["word"]] = r["bits"]
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out
 
 
@@ -205,8 +227,8 @@ def links(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> Dat
     shared = held.filter("doc_id <> centre").groupBy("doc_id", "n", "centre").agg(F.count(F.lit(1)).alias("c"))
     best = shared.groupBy("doc_id", "n").agg(F.min(F.struct((-F.col("c")).alias("c"), "centre")).alias("m")).select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("m.centre").alias("b"))
     own = lambda side: classes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    near = lambda df: df.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.col("n_a") - missing(F.col("bits_a"), F.col("bits_b")) >= overlap(F.col("n_a"), F.col("n_b"))) & (F.col("n_b") - missing(F.col("bits_b"), F.col("bits_a")) >= overlap(F.col("n_a"), F.col("n_b"))))
-    stars = cut_lineage(near(best.select("a", "b").join(own("a"), "a").join(own("b"), "b")).select("a", "b"))
+    near = lambda pairs: _within(pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num), num, den, True)
+    stars = cut_lineage(near(best))
     star_links = cut_lineage(verified(docs, stars, k, num, den))
     group_of = components(star_links)
 
@@ -224,10 +246,11 @@ def links(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> Dat
     unions = words.groupBy("component", "n_min").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("bits_g"))
     single = classes.join(group_of, F.col("doc_id") == F.col("node"), "left_anti").select(F.col("doc_id").alias("g"), F.col("n").alias("n_min"), F.col("bits").alias("bits_g"))
     unions = unions.select(F.col("component").alias("g"), "n_min", "bits_g").unionByName(single)
-    bound = F.col("n_a") - missing(F.col("bits_a"), F.col("bits_g"))
-    open_groups = hits.join(own("a"), "a").join(unions, "g").filter(bound >= overlap(F.col("n_a"), F.greatest(F.col("n_min"), F.ceil(F.col("n_a") * num / F.lit(float(den)) - 1e-9)))).select("a", "g", "n_a", "bits_a")
+    fewest = F.greatest(F.col("n_min"), F.ceil(F.col("n_a") * num / F.lit(float(den)) - 1e-9))
+    queried = hits.join(own("a"), "a").join(unions, "g").select("a", F.col("g").alias("b"), "n_a", fewest.alias("n_b"), "bits_a", F.col("bits_g").alias("bits_b"))
+    open_groups = _within(queried, num, den, False).withColumnRenamed("b", "g")
     inside = group_of.select(F.col("component").alias("g"), F.col("node").alias("b")).unionByName(single.select("g", F.col("g").alias("b")))
-    pairs = cut_lineage(near(open_groups.join(inside, "g").join(own("b"), "b")).select("a", "b"))
+    pairs = cut_lineage(near(open_groups.join(inside, "g")))
     return star_links.unionByName(verified(docs, pairs, k, num, den))
 
 
