@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Text gets a leading U+2581 and U+2581 for each space; a word is a run of U+2581 with what follows. No piece reaches
-over a word's end, so words are encoded apart. For a word every substring of bounded length is equi-joined to the piece
+Text gets a leading U+2581 and U+2581 for each space; a run of U+2581 with what follows is cut where two characters meet
+that no piece holds side by side. No piece reaches over such a word's end, so words are encoded apart. For a word every substring of bounded length is equi-joined to the piece
 table; the matches are its edges, grouped by word and folded with Spark's `aggregate`. For a unigram model the fold is
 Viterbi (ties go to the longer last piece). A byte-pair model's scores are ranks, whose best sum isn't what the model
 means; for it the fold merges: again and again the edge of the best score, the leftmost of these, that joins two
@@ -19,24 +19,28 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
+from itertools import chain
 from typing import NamedTuple
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import map_rows
+from graphtide.llm.common import cut_lineage, map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 #: Most pieces of a table that is broadcast; a larger table is an error.
 PIECES = 1 << 20
 #: Bounds of the table of frequent words: words, and a word's length.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 16
 FREQUENT_LENGTH = 48
 CACHED_WORDS = 1 << 18
+COUNTED_RUNS = 1 << 20
 
 
 class Pieces(NamedTuple):
@@ -48,6 +52,17 @@ class Pieces(NamedTuple):
     unknown_score: float
     longest: int
     unigram: bool
+    #: Two characters that some piece holds side by side.
+    pairs: frozenset[str]
+
+    def words(self, run: str) -> list[str]:
+        pairs, start, out = self.pairs, 0, []
+        for i in range(1, len(run)):
+            if run[i - 1 : i + 1] not in pairs:
+                out.append(run[start:i])
+                start = i
+        out.append(run[start:])
+        return out
 
 
 def is_unigram(model: str) -> bool:
@@ -85,11 +100,11 @@ def load(model: str = MODEL) -> Pieces:
     if any(SPACE in p.lstrip(SPACE) for p in table):
         raise ValueError("a piece reaches over a word's end")
     named = {sp.id_to_piece(i): i for i in ids if sp.is_byte(i)}
-    return Pieces(table, [named[f"<0x{b:02X}>"] for b in range(256)] if named else [], sp.unk_id(), min(s for _, s in table.values()) - UNKNOWN_PENALTY, max(map(len, table)), is_unigram(model))
+    return Pieces(table, [named[f"<0x{b:02X}>"] for b in range(256)] if named else [], sp.unk_id(), min(s for _, s in table.values()) - UNKNOWN_PENALTY, max(map(len, table)), is_unigram(model), frozenset(p[i : i + 2] for p in table for i in range(len(p) - 1)))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def runs_of(text: str | None) -> list[str]:
+    return RUN.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 # ---- the lattice in Spark
@@ -133,32 +148,32 @@ def best_path(nodes: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(length + 1, F.lit(2), F.lit(-1)), back, walk, lambda s: s["path"])
 
 
-def merged(found: Column, length: Column) -> Column:
-    """array<int>: the places where the pieces that byte-pair merging leaves begin, and the end. `found` must be a column of edges.
+def _place(start: Column, end: Column) -> Column:
+    """One number for an edge's ends."""
+    return start.cast("long") * 10_000_000 + end
+
 
-    A step looks for the edge of the best score, then the leftmost, with both ends among the places and one place between; n characters need at most n - 1 steps.
+def merged(costs: Column, length: Column) -> Column:
+    """array<int>: the places where the pieces that byte-pair merging leaves begin, and the end. `costs` must be a column: a map from the ends of each edge of two characters or more to its negative score.
+
+    A step looks at the places two apart, takes the cheapest edge between such, the leftmost of these, and drops the place in its middle; n characters need at most n - 1 steps.
     """
     begun = F.struct(F.sequence(F.lit(1), length + 1).alias("cuts"), F.lit(True).alias("go"))
 
     def step(s, _):
-        inside = lambda e: F.size(F.filter(s["cuts"], lambda c: (c >= e["start"]) & (c <= e["end"])))
-        fits = lambda e: (e["id"] >= 0) & (e["end"] > e["start"] + 1) & F.array_contains(s["cuts"], e["start"]) & F.array_contains(s["cuts"], e["end"]) & (inside(e) == 3)
-        ranked = F.transform(F.filter(found, fits), lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end")))
+        cuts = s["cuts"]
+        pairs = F.transform(F.slice(cuts, 1, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda c, i: F.struct(F.try_element_at(costs, _place(c, F.element_at(cuts, i + 3))).alias("cost"), (i + 2).alias("middle")))
         # One element, so that the best edge is looked for once.
-        change = F.transform(F.array(F.array_min(ranked)), lambda b: F.struct(F.filter(s["cuts"], lambda c: b.isNull() | (c <= b["start"]) | (c >= b["end"])).alias("cuts"), b.isNotNull().alias("go")))
+        best = F.array(F.array_min(F.filter(pairs, lambda p: p["cost"].isNotNull())))
+        change = F.transform(best, lambda b: F.struct(F.filter(cuts, lambda c, i: b.isNull() | (i + 1 != b["middle"])).alias("cuts"), b.isNotNull().alias("go")))
         return F.when(s["go"], F.element_at(change, 1)).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1), length), begun, step, lambda s: s["cuts"])
 
 
-def cut_path(found: Column, cuts: Column) -> Column:
-    """array<struct<start, id>> of the edges between neighbouring places of `cuts`."""
-
-    def edge(c, i):
-        end = F.element_at(cuts, i + 2)
-        return F.struct(c.alias("start"), F.element_at(F.filter(found, lambda e: (e["start"] == c) & (e["end"] == end)), 1)["id"].alias("id"))
-
-    return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), edge)
+def cut_path(ids: Column, cuts: Column) -> Column:
+    """array<struct<start, id>> of the edges between neighbouring places of `cuts`. `ids` is a map from an edge's ends to its id."""
+    return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.struct(c.alias("start"), F.try_element_at(ids, _place(c, F.element_at(cuts, i + 2))).alias("id")))
 
 
 def _char_ids(char: Column, pieces: Pieces) -> Column:
@@ -178,7 +193,10 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     if pieces.unigram:
         path = grouped.withColumn("nodes", best_edges(F.col("found"))).select("word", best_path(F.col("nodes"), F.length("word")).alias("path"))
     else:
-        path = grouped.withColumn("cuts", merged(F.col("found"), F.length("word"))).select("word", cut_path(F.col("found"), F.col("cuts")).alias("path"))
+        keyed = lambda edges, value: F.map_from_entries(F.transform(edges, lambda e: F.struct(_place(e["start"], e["end"]), value(e))))
+        long_edges = F.filter("found", lambda e: (e["id"] >= 0) & (e["end"] > e["start"] + 1))
+        tables = grouped.select("word", keyed(long_edges, lambda e: -e["score"]).alias("costs"), keyed(F.col("found"), lambda e: e["id"]).alias("ids"))
+        path = tables.withColumn("cuts", merged(F.col("costs"), F.length("word"))).select("word", cut_path(F.col("ids"), F.col("cuts")).alias("path"))
     ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_char_ids(F.substr("word", p["start"], F.lit(1)), pieces))))
     return path.select("word", ids.alias("ids"))
 
@@ -186,11 +204,29 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 # ---- the lattice of one word where it stands
 
 
+class Kept(dict):
+    """Values as they're asked for; when there are too many, all but the given ones are dropped."""
+
+    def __init__(self, known: dict[str, tuple[int, ...]], make) -> None:
+        super().__init__(known)
+        self.known, self.make = known, make
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self.make(key)
+        if len(key) <= FREQUENT_LENGTH:
+            if len(self) >= len(self.known) + CACHED_WORDS:
+                self.clear()
+                self.update(self.known)
+            self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]) -> None:
-        self.pieces, self.known, self.cache = pieces, known, {}
+        self.pieces, self.ids = pieces, Kept(known, self.word)
+        self.runs = Kept({}, lambda run: tuple(chain.from_iterable(map(self.ids.__getitem__, pieces.words(run)))))
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
-        self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)}
+        self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
     def word(self, word: str) -> tuple[int, ...]:
         parts = self._viterbi(word) if self.pieces.unigram else self._merge(word) if len(word) <= FREQUENT_LENGTH else self._merge_long(word)
@@ -265,18 +301,7 @@ class Encoder:
         return [p for p in parts if p is not None]
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, cache = self.known, self.cache
-        for w in words_of(text):
-            ids = known.get(w) or cache.get(w)
-            if ids is None:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                ids = self.word(w)
-                if len(w) <= FREQUENT_LENGTH:
-                    cache[w] = ids
-            out.extend(ids)
-        return out
+        return list(chain.from_iterable(map(self.runs.__getitem__, runs_of(text))))
 
 
 class Decoder:
@@ -292,19 +317,35 @@ class Decoder:
 # ---- documents
 
 
-def frequent_words(docs: DataFrame) -> DataFrame:
-    """(word): the most frequent words of all documents, FREQUENT at most, equally frequent ones all or none."""
+def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, n) over all documents; words that the table of frequent words can't hold are left out. A task sends each of its words about once."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def count(batch):
-        seen: dict[str, int] = {}
-        for row in batch:
-            for w in words_of(row["text"]):
-                seen[w] = seen.get(w, 0) + 1
-        for w, n in seen.items():
-            if len(w) <= FREQUENT_LENGTH:
-                yield w, n
+    def count(batches):
+        def rows():
+            words: Counter[str] = Counter()
+            for run, n in seen.items():
+                for w in pieces.words(run):
+                    if len(w) <= FREQUENT_LENGTH:
+                        words[w] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=schema)
 
-    counts = map_rows(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(runs_of(text))
+                if len(seen) >= COUNTED_RUNS:
+                    yield rows()
+        if seen:
+            yield rows()
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word): the most frequent words of all documents, FREQUENT at most, equally frequent ones all or none."""
+    counts = cut_lineage(word_counts(docs, pieces))
     level = F.floor(F.log2("n") * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("level").desc())
     total, least = 0, None
@@ -317,7 +358,7 @@ def frequent_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_table(docs: DataFrame, pieces: Pieces) -> dict[str, tuple[int, ...]]:
-    return {r["word"]: tuple(r["ids"]) for r in encode_words(frequent_words(docs), pieces).collect()}
+    return {r["word"]: tuple(r["ids"]) for r in encode_words(frequent_words(docs, pieces), pieces).collect()}
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:

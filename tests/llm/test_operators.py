@@ -174,7 +174,7 @@ def test_encoding_equals_the_library(spark, data_dir):
 @pytest.mark.parametrize("unigram", [False, True])
 def test_lattice_in_spark_equals_the_one_in_place(spark, data_dir, unigram):
     found = pieces.load()._replace(unigram=unigram)
-    words = ODD_WORDS + sorted({w for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(8).collect() for w in pieces.words_of(r["text"]) if len(w) <= 48})
+    words = ODD_WORDS + sorted({w for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(8).collect() for w in pieces.runs_of(r["text"]) if len(w) <= 48})
     encoder = pieces.Encoder(found, {})
     got = {r["word"]: tuple(r["ids"]) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*words, *ODD_WORDS]], "word string"), found).collect()}
     assert got == {w: encoder.word(w) for w in words}
