@@ -239,10 +239,12 @@ def links(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> Dat
     sizes = (F.col("n") * den >= F.col("n_min") * num) & (F.col("n_max") * den >= F.col("n") * num)
     hits = grouped.join(matrix, "token").filter((F.col("own") > F.col("g")) & sizes & reach).select(F.col("doc_id").alias("a"), "g").distinct()
 
-    # Each group's union. Only groups of several members are added up; widths are folded to the group's narrowest.
+    # Each group's union. Only groups of several members are added up: first members of one width, which tasks do before
+    # anything is dealt out by group, then widths, folded to the group's narrowest.
     members = group_of.join(classes.select(F.col("doc_id").alias("node"), "n", "bits"), "node")
-    narrow = members.groupBy("component").agg(F.min(F.size("bits")).alias("w"), F.min("n").alias("n_min"))
-    words = members.select("component", F.posexplode("bits").alias("i", "word")).join(narrow, "component").groupBy("component", "n_min", F.pmod("i", "w").alias("i")).agg(F.bit_or("word").alias("word"))
+    each = members.select("component", F.size("bits").alias("w"), "n", F.posexplode("bits").alias("i", "word")).groupBy("component", "w", "i").agg(F.bit_or("word").alias("word"), F.min("n").alias("n"))
+    narrow = each.groupBy("component").agg(F.min("w").alias("least"), F.min("n").alias("n_min"))
+    words = each.join(narrow, "component").groupBy("component", "n_min", F.pmod("i", "least").alias("i")).agg(F.bit_or("word").alias("word"))
     unions = words.groupBy("component", "n_min").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("bits_g"))
     single = classes.join(group_of, F.col("doc_id") == F.col("node"), "left_anti").select(F.col("doc_id").alias("g"), F.col("n").alias("n_min"), F.col("bits").alias("bits_g"))
     unions = unions.select(F.col("component").alias("g"), "n_min", "bits_g").unionByName(single)
