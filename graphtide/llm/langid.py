@@ -1,7 +1,7 @@
 """Language identification by compression: zstandard with one raw-content dictionary for each language.
 
-A text is cut into blocks; each block is compressed with every language's dictionary; the language with the fewest
-bytes in all wins. The answer is rejected when the runner-up is within a narrow margin.
+A text is lower-cased, runs of other characters than letters become one space, and it is cut into blocks; each block is
+compressed with every language's dictionary; the language with the fewest bytes in all wins. The answer is rejected when the runner-up is within a narrow margin.
 
 Defined results: null texts and texts without a letter are `und`, score 0, rejected; ties go to the first language in
 alphabetical order and are rejected; with no learned language every text is `und`. Repeated rows give equal results.
@@ -20,16 +20,22 @@ from graphtide.llm.common import fold, map_rows
 
 #: Bounds of the training sample of a language: documents, and bytes of its dictionary.
 SAMPLE_DOCUMENTS = 400
-DICTIONARY_BYTES = 96 * 1024
+DICTIONARY_BYTES = 32 * 1024
 #: No single document fills more of a dictionary than this.
 SLICE_BYTES = 1024
 BLOCK_BYTES = 2048
-LEVEL = 3
+#: From this level on the compressor looks for the cheapest sequence of matches, which short texts need.
+LEVEL = 12
 #: Rejected below this: the runner-up's bytes over the winner's, less 1.
 MARGIN = 0.01
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+REST = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    return REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -45,20 +51,19 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 40))
     share = {k: int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / n) * (1 << 40)) for k, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])[F.col("lang")] if len(share) <= 1000 else F.lit(max(share.values()))
-    slices = F.encode(F.substring("text", 1, 4 * SLICE_BYTES), "UTF-8")
-    rows = usable.withColumn("place", place).filter(F.col("place") < limit).select("lang", "place", slices.alias("text")).collect()
+    rows = usable.withColumn("place", place).filter(F.col("place") < limit).select("lang", "place", F.substring("text", 1, 4 * SLICE_BYTES).alias("text")).collect()
     out = {}
     for lang in sorted(counts):
         filled, size = [], 0
-        for row in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], bytes(r["text"])))[:SAMPLE_DOCUMENTS]:
-            raw = bytes(row["text"])
+        for row in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["text"]))[:SAMPLE_DOCUMENTS]:
+            raw = plain(row["text"])
             # From the middle of what was fetched, as beginnings are often boilerplate.
             at = max(0, (len(raw) - SLICE_BYTES) // 2)
             filled.append(raw[at : at + SLICE_BYTES])
             size += len(filled[-1])
             if size >= DICTIONARY_BYTES:
                 break
-        content = b"\n".join(filled)[:DICTIONARY_BYTES]
+        content = b" ".join(filled)[:DICTIONARY_BYTES]
         if len(content) >= 8:
             out[lang] = content
     return out
@@ -75,7 +80,7 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         """Bytes of the whole text under each dictionary, summed over blocks."""
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = plain(text)
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
         return [sum([len(c.compress(b)) for b in blocks]) for c in self.compressors]
 
