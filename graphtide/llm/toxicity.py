@@ -31,6 +31,8 @@ LEAST_Z = 7.0
 PREFIX = 5
 NEIGHBOURS = 15
 BLOCK = 128
+#: Blocks opened at once.
+OPENED = 8
 #: An example weighs similarity ** POWER.
 POWER = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -51,16 +53,25 @@ class Index:
 
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[dict[int, float]]) -> None:
         self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
-        n_blocks = max(1, -(-len(ids) // BLOCK))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in vocabulary]
-        self.bounds = np.zeros((len(vocabulary), n_blocks))
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for d, vector in enumerate(vectors):
-            for f, w in vector.items():
-                gathered.setdefault((f, d // BLOCK), []).append((d % BLOCK, w))
-                self.bounds[f, d // BLOCK] = max(self.bounds[f, d // BLOCK], w)
-        for (f, b), found in gathered.items():
-            self.postings[f][b] = (np.array([x[0] for x in found]), np.array([x[1] for x in found]))
+        self.n_blocks = max(1, -(-len(ids) // BLOCK))
+        #: (feature, example, weight) in the order of features.
+        postings = sorted((f, d, w) for d, vector in enumerate(vectors) for f, w in vector.items())
+        self.feature, self.example = (np.array([p[i] for p in postings], dtype=np.int64) for i in (0, 1))
+        self.weight = np.array([p[2] for p in postings])
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Postings by feature, block and place within the block, at most FEATURES x EXAMPLES numbers, and each block's maxima."""
+        self.blocks = np.zeros((len(self.vocabulary), self.n_blocks, BLOCK))
+        self.blocks[self.feature, self.example // BLOCK, self.example % BLOCK] = self.weight
+        self.bounds = self.blocks.max(axis=2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "bounds")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
 
     def vector(self, text: str | None) -> dict[int, float]:
         """Feature number to weight, of unit length; empty if no feature occurs."""
@@ -84,25 +95,24 @@ class Index:
         fs, ws = list(vector), np.array(list(vector.values()))
         bounds = ws @ self.bounds[fs]
         order = np.lexsort((np.arange(len(bounds)), -bounds))
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in order:
-            if bounds[b] <= 0:
-                break
-            if len(best) == k and bounds[b] <= -best[-1][0] + 1e-12:
-                if bounds[b] < -best[-1][0] - 1e-12:
+        for at in range(0, len(order), OPENED):
+            opened = order[at : at + OPENED]
+            if len(best) == k:
+                # A block whose bound is a tie at best loses to an earlier place.
+                worst, place = -best[-1][0], best[-1][1]
+                if bounds[opened[0]] < worst - 1e-12:
                     break
-                # At best a tie, which a later place loses.
-                if b * BLOCK > best[-1][1]:
+                opened = opened[(bounds[opened] > worst + 1e-12) | (opened * BLOCK <= place)]
+                if not len(opened):
                     continue
-            scores = np.zeros(BLOCK)
-            for f, w in vector.items():
-                posting = self.postings[f].get(b)
-                if posting is not None:
-                    scores[posting[0]] += w * posting[1]
-            scores = np.round(scores, 12)
+            scores = np.round(np.einsum("f,fbi->bi", ws, self.blocks[np.ix_(fs, opened)]), 12)
             least = -best[-1][0] if len(best) == k else 0.0
-            hits = np.flatnonzero(scores >= max(least, 1e-12))
-            best += [(-scores[i], int(b) * BLOCK + int(i)) for i in hits if int(b) * BLOCK + int(i) != without]
+            rows, columns = np.nonzero(scores >= max(least, 1e-12))
+            found, places = scores[rows, columns], opened[rows] * BLOCK + columns
+            first = np.lexsort((places, -found))[: k + 1]
+            best += [(-found[i], int(places[i])) for i in first if places[i] != without]
             best = sorted(best)[:k]
         return [(-s, d) for s, d in best]
 
