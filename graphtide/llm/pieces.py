@@ -19,16 +19,17 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
-from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import cut_lineage, map_rows
+from graphtide.llm.common import ROWS_AT_ONCE, cut_lineage, map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -39,7 +40,7 @@ PIECES = 1 << 20
 #: Bounds of the table of frequent words: words, and a word's length.
 FREQUENT = 1 << 16
 FREQUENT_LENGTH = 48
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 COUNTED_RUNS = 1 << 20
 
 
@@ -207,11 +208,11 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 class Kept(dict):
     """Values as they're asked for; when there are too many, all but the given ones are dropped."""
 
-    def __init__(self, known: dict[str, tuple[int, ...]], make) -> None:
+    def __init__(self, known: dict[str, bytes], make) -> None:
         super().__init__(known)
         self.known, self.make = known, make
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= FREQUENT_LENGTH:
             if len(self) >= len(self.known) + CACHED_WORDS:
@@ -222,12 +223,26 @@ class Kept(dict):
 
 
 class Encoder:
+    """Ids are kept as the bytes of 32-bit numbers, which are joined without making numbers of them."""
+
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]) -> None:
-        self.pieces, self.ids = pieces, Kept(known, self.word)
-        self.runs = Kept({}, lambda run: tuple(chain.from_iterable(map(self.ids.__getitem__, pieces.words(run)))))
+        self.pieces = pieces
+        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, lambda w: array("i", self.word(w)).tobytes())
+        self.runs = Kept({}, self._run)
+        self.decoder, self.broken = Decoder(pieces), set()
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
+    def _run(self, run: str) -> bytes:
+        ids = b"".join(map(self.ids.__getitem__, self.pieces.words(run)))
+        if self.decoder.joined(array("i", ids)) != run.encode("utf-8", "surrogatepass"):
+            self.broken.add(run)
+        return ids
+
+    def exact(self, text: str | None) -> bool:
+        """Whether the ids decode to the text, once it is encoded: its runs make it up, so it comes back if each of them does."""
+        return not self.broken or self.broken.isdisjoint(runs_of(text))
+
     def word(self, word: str) -> tuple[int, ...]:
         parts = self._viterbi(word) if self.pieces.unigram else self._merge(word) if len(word) <= FREQUENT_LENGTH else self._merge_long(word)
         table, out = self.pieces.table, []
@@ -300,17 +315,23 @@ class Encoder:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.runs.__getitem__, runs_of(text)))
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.runs.__getitem__, runs_of(text))))
+        return array("i", self.packed(text)).tolist()
 
 
 class Decoder:
     def __init__(self, pieces: Pieces) -> None:
         self.parts = {i: p.encode() for p, (i, _) in pieces.table.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
+    def joined(self, ids) -> bytes:
+        return b"".join([self.parts.get(i, b"") for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         """Without the leading space; ids of no piece are left out, broken UTF-8 becomes U+FFFD."""
-        text = b"".join([self.parts.get(i, b"") for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.joined(ids).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -365,16 +386,24 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip: whether decoding the ids gives the text back (U+2581 as a space)."""
     pieces = load(model)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, frequent_table(docs, pieces)))
-    own: list = []
-
-    def rows(batch):
-        if not own:
-            own.extend((Encoder(*shared.value), Decoder(shared.value[0])))
-        for row in batch:
-            ids = own[0].encode(row["text"])
-            yield row["doc_id"], len(ids), ids, own[1].decode(ids) == (row["text"] or "").replace(SPACE, " ")
-
-    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+    def run(batches):
+        encoder = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                encoder = encoder or Encoder(*shared.value)
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                parts, exact = [], []
+                for text in batch.column(1).to_pylist():
+                    parts.append(encoder.packed(text))
+                    exact.append(encoder.exact(text))
+                sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), ids, pa.array(exact)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
