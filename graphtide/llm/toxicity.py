@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings whose document frequency is higher in toxic examples than in others; their IDF
-comes from all documents. Examples are a bounded sample of labelled rows. A query's neighbours are found exactly: blocks
-of examples are opened in the order of their upper bounds until no unopened block can still enter the top K. Votes are
+Features are all words and word beginnings of the examples, none left out; their IDF comes from all documents. A feature
+more frequent in toxic examples weighs more, by an odds ratio, so the weight means the same for few labels and for many
+and at any share of toxic ones; none weighs less than its IDF. Examples are a bounded sample of labelled rows. A query's
+neighbours are found exactly: features that many examples hold are multiplied out for a batch of queries at once, the
+others are bounded by block, and only blocks of examples whose bound can still enter the top K are opened. Votes are
 weighted by similarity; held-in examples, each voted on without itself, calibrate them.
 
-Defined results: null and empty texts, and texts without a feature, have no neighbour and get the calibrated score of
-"no evidence"; ties among neighbours go to the example of the smaller place in the index; without two classes of
-labels every score is the share of toxic labels (0 without labels). Repeated rows give equal results.
+Defined results: null and empty texts, and texts that share no word with any example, have no neighbour and get the
+calibrated score of "no evidence"; ties among neighbours go to the example of the smaller place in the index; without
+two classes of labels every score is the share of toxic labels (0 without labels). Repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import fold, map_rows
+from graphtide.llm.common import ROWS_AT_ONCE, cut_lineage, fold, map_rows
 
 HELD_OUT = (5, 0)
 #: Bound of the sample of labelled rows, half of it toxic if there are as many.
 EXAMPLES = 8192
-#: Bound of the vocabulary, and the least z by which a feature is more frequent in toxic examples.
-FEATURES = 2048
-LEAST_Z = 7.0
+#: A feature's log odds of toxic against other examples count from this many standard errors above 0.
+ERRORS = 2.0
 PREFIX = 5
 NEIGHBOURS = 15
 BLOCK = 128
-#: Blocks opened at once.
+#: Blocks opened first.
 OPENED = 8
+#: Features that a larger share of the examples holds are multiplied out.
+DENSE = 1 / 8
+#: Similarities in single precision are off by less than this; what is nearer to the top K is computed again in double precision.
+MARGIN = 1e-4
 #: An example weighs similarity ** POWER.
 POWER = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,26 +53,54 @@ def features(text: str | None) -> Counter:
     return out
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 of all i in a row, and the i of each."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of], of
+
+
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    fs, ws = (list(vector), list(vector.values())) if isinstance(vector, dict) else vector
+    return np.asarray(fs, dtype=np.int32), np.asarray(ws, dtype=np.float64)
+
+
 class Index:
-    """Unit vectors of the examples as an inverted index: for each feature a row of weights, and for each block of examples that row's greatest weight."""
+    """Unit vectors of the examples, dicts or pairs of features and weights, as an inverted index: for each feature the examples with their weights, and for each block of examples the greatest weight."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[dict[int, float]]) -> None:
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list) -> None:
         self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
         self.n_blocks = max(1, -(-len(ids) // BLOCK))
-        #: (feature, example, weight) in the order of features.
-        postings = sorted((f, d, w) for d, vector in enumerate(vectors) for f, w in vector.items())
-        self.feature, self.example = (np.array([p[i] for p in postings], dtype=np.int64) for i in (0, 1))
-        self.weight = np.array([p[2] for p in postings])
+        pairs = [_arrays(v) for v in vectors]
+        #: By example: its number of features, then the features and weights of all in a row.
+        self.sizes = np.array([len(f) for f, _ in pairs], dtype=np.int64)
+        self.feature = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in pairs]])
+        self.weight = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
         self._lay_out()
 
     def _lay_out(self) -> None:
-        """Postings by feature, block and place within the block, at most FEATURES x EXAMPLES numbers, and each block's maxima."""
-        self.blocks = np.zeros((len(self.vocabulary), self.n_blocks, BLOCK))
-        self.blocks[self.feature, self.example // BLOCK, self.example % BLOCK] = self.weight
-        self.bounds = self.blocks.max(axis=2)
+        """Dense rows of the frequent features; of the others the postings by feature and example, and the runs of one feature and block with their maxima."""
+        n, vocabulary = len(self.sizes), len(self.vocabulary)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        frequent = np.bincount(self.feature, minlength=vocabulary) > n * DENSE
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), self.n_blocks * BLOCK), dtype=np.float32)
+        held = frequent[self.feature]
+        self.dense[self.row[self.feature[held]], example[held]] = self.weight[held]
+        order = np.flatnonzero(~held)
+        order = order[np.argsort(self.feature[order], kind="stable")]
+        feature, self.example, self.posted = self.feature[order], example[order], self.weight[order].astype(np.float32)
+        run = feature.astype(np.int64) * self.n_blocks + self.example // BLOCK
+        self.run_start = np.flatnonzero(np.diff(run, prepend=-1))
+        self.run_size = np.diff(self.run_start, append=len(run))
+        self.run_block = run[self.run_start] % self.n_blocks
+        self.run_most = np.maximum.reduceat(self.posted, self.run_start) if len(run) else self.posted
+        self.runs = np.bincount(run[self.run_start] // self.n_blocks, minlength=vocabulary)
+        self.first_run = np.cumsum(self.runs) - self.runs
+        self.scratch = np.zeros(vocabulary)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "bounds")}
+        return {k: self.__dict__[k] for k in ("vocabulary", "idf", "ids", "labels", "n_blocks", "sizes", "feature", "weight")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -75,46 +108,74 @@ class Index:
 
     def vector(self, text: str | None) -> dict[int, float]:
         """Feature number to weight, of unit length; empty if no feature occurs."""
-        counts = {}
+        counts, known = {}, self.vocabulary
         if text:
-            lowered = Counter(WORD.findall(text.lower()))
-            for w, n in lowered.items():
-                f = self.vocabulary.get(w)
+            for w, n in Counter(WORD.findall(text.lower())).items():
+                f = known.get(w)
                 if f is not None:
                     counts[f] = counts.get(f, 0) + n
-                if len(w) > PREFIX and (f := self.vocabulary.get(w[:PREFIX] + "*")) is not None:
+                if len(w) > PREFIX and (f := known.get(w[:PREFIX] + "*")) is not None:
                     counts[f] = counts.get(f, 0) + n
-        weights = {f: (1 + math.log(n)) * self.idf[f] for f, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {f: w / norm for f, w in weights.items()} if norm else {}
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        if not counts:
+            return {}
+        fs = np.array(sorted(counts))
+        weights = (1 + np.log([counts[f] for f in fs.tolist()])) * self.idf[fs]
+        norm = math.sqrt(weights @ weights)
+        return dict(zip(fs.tolist(), (weights / norm).tolist(), strict=True)) if norm else {}
+
+    def nearest(self, vector, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity over 0, as (similarity, place), by falling similarity, then place."""
-        if not vector:
+        return self.nearest_of([vector], k, [without])[0]
+
+    def nearest_of(self, vectors: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each vector."""
+        pairs = [_arrays(v) for v in vectors]
+        queries = np.zeros((len(pairs), len(self.dense)), dtype=np.float32)
+        for q, (fs, ws) in zip(queries, pairs, strict=True):
+            rows = self.row[fs]
+            q[rows[rows >= 0]] = ws[rows >= 0]
+        partial = queries @ self.dense
+        return [self._nearest(fs, ws, scores, k, left_out) for (fs, ws), scores, left_out in zip(pairs, partial, without or [-1] * len(pairs), strict=True)]
+
+    def _nearest(self, fs: np.ndarray, ws: np.ndarray, scores: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        """From what the frequent features add to the similarities, which are completed in place."""
+        if not len(fs) or not len(self.sizes):
             return []
-        fs, ws = list(vector), np.array(list(vector.values()))
-        bounds = ws @ self.bounds[fs]
-        order = np.lexsort((np.arange(len(bounds)), -bounds))
-        order = order[bounds[order] > 0]
-        best: list[tuple[float, int]] = []
-        for at in range(0, len(order), OPENED):
-            opened = order[at : at + OPENED]
-            if len(best) == k:
-                # A block whose bound is a tie at best loses to an earlier place.
-                worst, place = -best[-1][0], best[-1][1]
-                if bounds[opened[0]] < worst - 1e-12:
-                    break
-                opened = opened[(bounds[opened] > worst + 1e-12) | (opened * BLOCK <= place)]
-                if not len(opened):
-                    continue
-            scores = np.round(np.einsum("f,fbi->bi", ws, self.blocks[np.ix_(fs, opened)]), 12)
-            least = -best[-1][0] if len(best) == k else 0.0
-            rows, columns = np.nonzero(scores >= max(least, 1e-12))
-            found, places = scores[rows, columns], opened[rows] * BLOCK + columns
-            first = np.lexsort((places, -found))[: k + 1]
-            best += [(-found[i], int(places[i])) for i in first if places[i] != without]
-            best = sorted(best)[:k]
-        return [(-s, d) for s, d in best]
+        runs, of = _spans(self.first_run[fs], self.runs[fs])
+        block, weight = self.run_block[runs], ws[of]
+        bounds = scores.reshape(self.n_blocks, BLOCK).max(axis=1) + np.bincount(block, weight * self.run_most[runs], self.n_blocks)
+        order, full = np.argsort(-bounds, kind="stable"), np.zeros(self.n_blocks, dtype=bool)
+        full[order[:OPENED]] = True
+        self._open(scores, runs, weight, full[block])
+        if without >= 0:
+            scores[without] = -1
+        least = self._kth(scores, np.flatnonzero(full), k)
+        rest = ~full & (bounds >= least - MARGIN)
+        if rest.any():
+            self._open(scores, runs, weight, rest[block])
+            if without >= 0:
+                scores[without] = -1
+            full |= rest
+            least = self._kth(scores, np.flatnonzero(full), k)
+        near = np.flatnonzero(np.repeat(full, BLOCK)[: len(self.sizes)] & (scores[: len(self.sizes)] >= least - MARGIN))
+        near = near[near != without]
+        # In double precision, in the order of each example's features, so that equal texts get equal similarities.
+        self.scratch[fs] = ws
+        places, of = _spans(self.starts[near], self.sizes[near])
+        exact = np.round(np.bincount(of, self.scratch[self.feature[places]] * self.weight[places], len(near)), 12)
+        self.scratch[fs] = 0.0
+        near, exact = near[exact > 0], exact[exact > 0]
+        return [(float(exact[i]), int(near[i])) for i in np.lexsort((near, -exact))[:k]]
+
+    def _open(self, scores: np.ndarray, runs: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
+        runs, weight = runs[wanted], weight[wanted]
+        places, of = _spans(self.run_start[runs], self.run_size[runs])
+        scores += np.bincount(self.example[places], weight[of] * self.posted[places], len(scores)).astype(np.float32)
+
+    def _kth(self, scores: np.ndarray, blocks: np.ndarray, k: int) -> float:
+        """The k-th greatest similarity in the blocks, which bounds the final one from below; 0 if there are fewer over 0."""
+        found = scores.reshape(self.n_blocks, BLOCK)[blocks].ravel()
+        return max(0.0, float(np.partition(found, len(found) - k)[-k])) if len(found) > k else 0.0
 
     def vote(self, found: list[tuple[float, int]]) -> float | None:
         if not found:
@@ -174,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, Calibration] | float
     picked = [r for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(place, "doc_id").limit(take[c]).collect()]
     chosen = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in picked], "doc_id long, toxic int")
     # At most EXAMPLES rows, so broadcast. One text for each id: of repeated rows the smallest.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    found = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def count(batch):
         seen: Counter = Counter()
@@ -183,32 +245,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, Calibration] | float
         for (f, toxic), n in seen.items():
             yield f, toxic, n
 
-    tally = map_rows(texts, count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    n1, n0 = float(take[1]), float(take[0])
-    pa, pb = F.col("a") / n1, F.col("b") / n0
-    pooled = (F.col("a") + F.col("b")) / (n1 + n0)
-    # Two-proportion z, with a half added so that frequencies of 0 and 1 stay finite.
-    spread = F.sqrt((pooled * (1 - pooled) + 0.5 / (n1 + n0)) * (1 / n1 + 1 / n0))
-    ranked = tally.withColumn("z", (pa - pb) / spread).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
-    vocabulary = {r["feature"]: i for i, r in enumerate(ranked.select("feature").collect())}
-    idf = _idf(docs, vocabulary)
-    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    empty = Index(vocabulary, idf, [], np.zeros(0), [])
+    tally = map_rows(rows, count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).toArrow().sort_by("feature")
+    vocabulary = {f: i for i, f in enumerate(tally["feature"].to_pylist())}
+    idf = _idf(docs, vocabulary) * strength(tally["a"].to_numpy(), found.get(1, 0), tally["b"].to_numpy(), found.get(0, 0))
+    empty = spark.sparkContext.broadcast(Index(vocabulary, idf, [], np.zeros(0), []))
 
     def vectors(batch):
         for row in batch:
-            v = empty.vector(row["text"])
+            v = empty.value.vector(row["text"])
             yield row["doc_id"], row["toxic"], list(v), list(v.values())
 
-    got = sorted(map_rows(rows, vectors, "doc_id long, toxic int, f array<int>, w array<double>").collect())
-    labels_of = np.array([float(r["toxic"]) for r in got])
-    sparse = [dict(zip(r["f"], r["w"], strict=True)) for r in got]
-    index = Index(vocabulary, idf, [r["doc_id"] for r in got], labels_of, sparse)
-    votes = [index.vote(index.nearest(v, without=i)) for i, v in enumerate(sparse)]
+    got = map_rows(rows, vectors, "doc_id long, toxic int, f array<int>, w array<double>").toArrow().sort_by("doc_id")
+    labels_of = got["toxic"].to_numpy().astype(float)
+    sparse = [(f.values.to_numpy(), w.values.to_numpy()) for f, w in zip(got["f"], got["w"], strict=True)]
+    index = Index(vocabulary, idf, got["doc_id"].to_pylist(), labels_of, sparse)
+    votes = []
+    for at in range(0, len(sparse), ROWS_AT_ONCE):
+        votes += [index.vote(n) for n in index.nearest_of(sparse[at : at + ROWS_AT_ONCE], without=[*range(at, min(at + ROWS_AT_ONCE, len(sparse)))])]
     weights = np.where(labels_of == 1, totals[1] / max(1.0, labels_of.sum()), totals[0] / max(1.0, (1 - labels_of).sum()))
     return index, Calibration(votes, labels_of, weights)
 
 
+def strength(a: np.ndarray, n1: int, b: np.ndarray, n0: int) -> np.ndarray:
+    """(1 + l)^2 of features in a of n1 toxic and b of n0 other examples: l is the lower bound of the log odds ratio, 0 at least."""
+    odds = np.log((a + 0.5) / (n1 - a + 0.5) * (n0 - b + 0.5) / (b + 0.5))
+    error = np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
+    return (1 + np.maximum(0.0, odds - ERRORS * error)) ** 2
+
+
 def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     """log((1 + N) / (1 + df)) + 1 over all documents: each task sends one row of counts."""
     if not vocabulary:
@@ -238,12 +302,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batch):
         fitted = model.value
+        if isinstance(fitted, float):
+            yield from ((row["doc_id"], fitted, int(fitted >= 0.5), None, "") for row in batch)
+            return
+        index, calibration = fitted
+        texts = list(dict.fromkeys(row["text"] for row in batch))
+        nearest = dict(zip(texts, index.nearest_of([index.vector(t) for t in texts]), strict=True))
         for row in batch:
-            if isinstance(fitted, float):
-                yield row["doc_id"], fitted, int(fitted >= 0.5), None, ""
-                continue
-            index, calibration = fitted
-            found = index.nearest(index.vector(row["text"]))
+            found = nearest[row["text"]]
             vote = index.vote(found)
             value = calibration.score(vote)
             evidence = ",".join(f"{index.ids[d]}{'!' * int(index.labels[d])}:{s:.4f}" for s, d in found[:3])

@@ -139,6 +139,32 @@ def test_toxicity_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_block_max_search_with_rare_and_frequent_features():
+    rng = random.Random(5)
+    vocabulary = {f"w{i}": i for i in range(900)}
+    unit = lambda v: {f: w / math.sqrt(sum(x * x for x in v.values())) for f, w in v.items()}
+    vectors = [unit({int(900 * rng.random() ** 3): rng.random() + 0.1 for _ in range(30)}) for _ in range(3000)]
+    vectors[10] = vectors[2000] = vectors[1] = {}
+    index = toxicity.Index(vocabulary, np.ones(900), list(range(3000)), np.zeros(3000), vectors)
+    assert len(index.dense) and len(index.posted)
+    for at, got in enumerate(index.nearest_of(vectors[:60], without=list(range(60)))):
+        scores = [(-round(sum(w * v.get(f, 0) for f, w in vectors[at].items()), 12), d) for d, v in enumerate(vectors) if d != at]
+        want = sorted(s for s in scores if s[0] < 0)[:15]
+        assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
+
+
+def test_toxicity_of_few_labels_and_of_words_in_few_examples(spark, data_dir):
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op2_toxicity(spark, data_dir).collect() if truth.get(r["doc_id"]) == 1]
+    assert len(rows) == 11 and all(r["vote"] is not None for r in rows)
+    assert sum(r["predicted"] for r in rows) >= 9
+    texts = [f"plain words number{i % 7} {'vermin' if i in (3, 17) else 'toad' if i % 5 == 0 else 'meadow'}" for i in range(100)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, "vermin"), (1001, "number3"), (1002, "unheard")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels_of(spark, [(i, 1, int(i in (3, 17) or i % 5 == 0), "") for i in range(100)])).collect()}
+    assert got[1000]["vote"] == 1 and {e.split("!")[0] for e in got[1000]["evidence"].split(",")} == {"3", "17"}
+    assert got[1001]["vote"] is not None and got[1002]["vote"] is None
+
+
 # ---- 3
 
 
