@@ -85,35 +85,55 @@ def _inverse3(m: geo.Matrix) -> geo.Matrix:
     return [[minor(j, i) / det for j in range(3)] for i in range(3)]
 
 
-def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
-    """graph_id, node_id, dx1..dx3 with H dx = g over all graphs at once, by block-Jacobi preconditioned conjugate gradients.
+def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float = 1e-9, most: int | None = None) -> DataFrame:
+    """graph_id, node_id, dx1..dx3, residual with H dx = g for each graph, by block-Jacobi preconditioned conjugate gradients.
 
-    A step is one join of the blocks with the direction and one grouped sum; two numbers go to the driver. Each step's vectors are checkpointed, so that a lost executor costs one step.
+    Each graph has its own step lengths and rests once |r| <= tolerance |g|; steps go on until all do. ArithmeticError if
+    H is not positive definite, or if the worst graph has not come nearer in as many steps as it can have unknowns. With
+    `most`, what is reached after so many steps is returned. residual is |g - H dx| / |g| of the graph, computed anew from dx.
+    A step is one join of the blocks with the direction and grouped sums; a few numbers go to the driver. Each step's vectors are checkpointed, so that a lost executor costs one step.
     """
     off = blocks.filter("row_node <> col_node")
     whole = _kept(blocks.unionByName(off.select("graph_id", F.col("col_node").alias("row_node"), F.col("row_node").alias("col_node"), *[F.col(f"h{j}{i}").alias(f"h{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)])))
     inv = _inverse3(_matrix("h"))
     diagonal = whole.filter("row_node = col_node").select("graph_id", F.col("row_node").alias("node_id"), *[inv[i][j].alias(f"v{i + 1}{j + 1}") for i in range(3) for j in range(3)])
     zs = geo.multiply(_matrix("v"), [[F.col(f"r{i}")] for i in (1, 2, 3)])
-    state = gradient.join(diagonal, ["graph_id", "node_id"]).select("graph_id", "node_id", *[F.lit(0.0).alias(f"x{i}") for i in (1, 2, 3)], *[F.col(f"g{i}").alias(f"r{i}") for i in (1, 2, 3)], *[F.col(f"v{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)])
-    state = state.withColumns({f"z{i + 1}": zs[i][0] for i in range(3)})
-    state = _kept(state.withColumns({f"p{i}": F.col(f"z{i}") for i in (1, 2, 3)}))
+    with_z = {f"z{i + 1}": zs[i][0] for i in range(3)}
     dot = lambda a, b: sum((F.col(f"{a}{i}") * F.col(f"{b}{i}") for i in (2, 3)), F.col(f"{a}1") * F.col(f"{b}1"))
-    start = state.agg(F.sum(dot("r", "z")).alias("rz"), F.sum(dot("r", "r")).alias("rr")).first()
-    rz, target = start["rz"] or 0.0, (start["rr"] or 0.0) * tolerance**2
-    for _ in range(most):
-        if not rz:
+    total = lambda df, **columns: df.groupBy("graph_id").agg(*[F.sum(c).alias(k) for k, c in columns.items()])
+
+    def image(df: DataFrame, vector: str) -> DataFrame:
+        product = geo.multiply(_matrix("h"), [[F.col(f"{vector}{i}")] for i in (1, 2, 3)])
+        ends = df.select("graph_id", F.col("node_id").alias("col_node"), *[f"{vector}{i}" for i in (1, 2, 3)])
+        return whole.join(ends, ["graph_id", "col_node"]).groupBy("graph_id", F.col("row_node").alias("node_id")).agg(*[F.sum(product[i][0]).alias(f"q{i + 1}") for i in range(3)])
+
+    state = gradient.join(diagonal, ["graph_id", "node_id"]).select("graph_id", "node_id", *G, *[F.lit(0.0).alias(f"x{i}") for i in (1, 2, 3)], *[F.col(f"g{i}").alias(f"r{i}") for i in (1, 2, 3)], *[F.col(f"v{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)]).withColumns(with_z)
+    state = state.withColumns({f"p{i}": F.col(f"z{i}") for i in (1, 2, 3)})
+    state = _kept(state.join(total(state, rz=dot("r", "z"), rr=dot("r", "r")).withColumn("goal", F.col("rr") * tolerance**2), "graph_id"))
+    going = state.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.first("rr").alias("rr")).filter("rr > 0").agg(F.max("n").alias("n")).first()
+    unknowns, step, best, best_at = 3 * (going["n"] or 0), 0, float("inf"), 0
+    while unknowns and (most is None or step < most):
+        step += 1
+        moving = state.join(image(state, "p"), ["graph_id", "node_id"])
+        # A graph that has reached its goal rests.
+        alpha = F.when(F.col("rr") > F.col("goal"), F.col("rz") / F.col("pq")).otherwise(0.0)
+        moved = moving.join(total(moving, pq=dot("p", "q")), "graph_id").withColumn("alpha", alpha)
+        moved = moved.withColumns({f"x{i}": F.col(f"x{i}") + F.col("alpha") * F.col(f"p{i}") for i in (1, 2, 3)} | {f"r{i}": F.col(f"r{i}") - F.col("alpha") * F.col(f"q{i}") for i in (1, 2, 3)}).withColumns(with_z)
+        moved = _kept(moved.drop("q1", "q2", "q3", "alpha").withColumn("bad", F.coalesce((F.col("rr") > F.col("goal")) & ~(F.col("pq") > 0), F.lit(True))).drop("pq").withColumnRenamed("rz", "old"))
+        sums = total(moved.drop("rr"), rz=dot("r", "z"), rr=dot("r", "r"))
+        beta = F.when(F.col("old") != 0, F.col("rz") / F.col("old")).otherwise(0.0)
+        state = moved.drop("rr").join(sums, "graph_id").withColumns({f"p{i}": F.col(f"z{i}") + beta * F.col(f"p{i}") for i in (1, 2, 3)}).drop("old")
+        seen = state.agg(F.max("bad").alias("bad"), F.max(F.when(F.col("rr") > F.col("goal"), F.col("rr") / F.col("goal"))).alias("worst")).first()
+        state = state.drop("bad")
+        if seen["bad"] or (seen["worst"] or 0.0) == float("inf") or seen["worst"] != seen["worst"]:
+            raise ArithmeticError(f"conjugate gradients: a graph's matrix is not positive definite, or not finite (step {step})")
+        if seen["worst"] is None:
             break
-        direction = state.select("graph_id", F.col("node_id").alias("col_node"), "p1", "p2", "p3")
-        product = geo.multiply(_matrix("h"), [[F.col(f"p{i}")] for i in (1, 2, 3)])
-        image = whole.join(direction, ["graph_id", "col_node"]).groupBy("graph_id", F.col("row_node").alias("node_id")).agg(*[F.sum(product[i][0]).alias(f"q{i + 1}") for i in range(3)])
-        state = _kept(state.join(image, ["graph_id", "node_id"]))
-        alpha = rz / state.agg(F.sum(dot("p", "q")).alias("pq")).first()["pq"]
-        moved = state.withColumns({f"x{i}": F.col(f"x{i}") + alpha * F.col(f"p{i}") for i in (1, 2, 3)} | {f"r{i}": F.col(f"r{i}") - alpha * F.col(f"q{i}") for i in (1, 2, 3)}).drop("q1", "q2", "q3")
-        moved = moved.withColumns({f"z{i + 1}": zs[i][0] for i in range(3)})
-        sums = moved.agg(F.sum(dot("r", "z")).alias("rz"), F.sum(dot("r", "r")).alias("rr")).first()
-        beta, rz = sums["rz"] / rz, sums["rz"]
-        state = moved.withColumns({f"p{i}": F.col(f"z{i}") + beta * F.col(f"p{i}") for i in (1, 2, 3)})
-        if sums["rr"] <= target:
-            break
-    return state.select("graph_id", "node_id", *[F.col(f"x{i}").alias(f"dx{i}") for i in (1, 2, 3)])
+        if seen["worst"] < best:
+            best, best_at = seen["worst"], step
+        elif most is None and step - best_at > unknowns:
+            raise ArithmeticError(f"conjugate gradients: no progress since step {best_at}; the worst residual is {best**0.5 * tolerance:.3g} of |g|, not {tolerance:.3g}")
+    state = _kept(state.select("graph_id", "node_id", *G, "x1", "x2", "x3"))
+    left = state.join(image(state, "x"), ["graph_id", "node_id"]).withColumns({f"r{i}": F.col(f"g{i}") - F.col(f"q{i}") for i in (1, 2, 3)})
+    sizes = total(left, rr=dot("r", "r"), gg=dot("g", "g")).select("graph_id", F.when(F.col("gg") > 0, F.sqrt(F.col("rr") / F.col("gg"))).otherwise(0.0).alias("residual"))
+    return state.join(sizes, "graph_id").select("graph_id", "node_id", *[F.col(f"x{i}").alias(f"dx{i}") for i in (1, 2, 3)], "residual")

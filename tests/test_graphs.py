@@ -215,6 +215,41 @@ def test_conjugate_gradients_on_a_chain(spark):
         assert [r["dx1"], r["dx2"], r["dx3"]] == pytest.approx([exact[r["node_id"]][f"dx{i}"] for i in (1, 2, 3)], abs=1e-6)
 
 
+def test_conjugate_gradients_reach_the_target_on_a_long_chain_beside_a_short_one(spark):
+    sizes = {0: 210, 1: 6}
+    nodes = spark.createDataFrame([(g, i, 3, float(i), 0.1 * (i % 3), 0.0) for g, n in sizes.items() for i in range(n)], "graph_id long, node_id long, dim int, x double, y double, theta double")
+    links = [(g, i + 1, "P", i, i + 1, 1.0, 0.0, 0.01) for g, n in sizes.items() for i in range(n - 1)] + [(g, n + i, "G", i, None, i - 0.5, 0.3, None) for g, n in sizes.items() for i in range(1, n, 2)]
+    edges = fixture.with_information(spark.createDataFrame(links, "graph_id long, edge_pos long, type string, from_id long, to_id long, z1 double, z2 double, z3 double"))
+    blocks, gradient = linsys.normal_blocks(edges, nodes).localCheckpoint(), linsys.gradient_blocks(edges, nodes).localCheckpoint()
+    short = linsys.conjugate_gradients(blocks, gradient, most=2).collect()
+    assert max(r["residual"] for r in short) > 1e-3
+    got = linsys.conjugate_gradients(blocks, gradient, tolerance=1e-4).collect()
+    assert len(got) == 216 and max(r["residual"] for r in got) < 1.01e-4
+    for g, n in sizes.items():
+        h, b, x = np.zeros((3 * n, 3 * n)), np.zeros(3 * n), np.zeros(3 * n)
+        for r in blocks.filter(f"graph_id = {g}").collect():
+            m = np.array([r[k] for k in linsys.H]).reshape(3, 3)
+            i, j = 3 * r["row_node"], 3 * r["col_node"]
+            h[i : i + 3, j : j + 3] = m
+            h[j : j + 3, i : i + 3] = m.T
+        for r in gradient.filter(f"graph_id = {g}").collect():
+            b[3 * r["node_id"] : 3 * r["node_id"] + 3] = [r[k] for k in linsys.G]
+        for r in got:
+            if r["graph_id"] == g:
+                x[3 * r["node_id"] : 3 * r["node_id"] + 3] = [r[f"dx{i}"] for i in (1, 2, 3)]
+        assert x == pytest.approx(np.linalg.solve(h, b), abs=1e-2)
+
+
+def test_conjugate_gradients_refuse_what_has_no_solution(spark):
+    zeros = {k: 0.0 for k in linsys.H}
+    block = lambda i, j, **h: (0, i, j, *(zeros | h).values())
+    unit = {"h11": 1.0, "h22": 1.0, "h33": 1.0}
+    blocks = spark.createDataFrame([block(0, 0, **unit), block(1, 1, **unit), block(0, 1, h11=2.0)], "graph_id long, row_node long, col_node long, " + ", ".join(f"{k} double" for k in linsys.H))
+    gradient = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0), (0, 1, -1.0, 0.0, 0.0)], "graph_id long, node_id long, g1 double, g2 double, g3 double")
+    with pytest.raises(ArithmeticError):
+        linsys.conjugate_gradients(blocks, gradient).collect()
+
+
 def test_partial_solve_equals_the_whole():
     rng = np.random.default_rng(0)
     for _ in range(60):
