@@ -49,9 +49,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     if not counts:
         return {}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 40))
-    share = {k: int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / n) * (1 << 40)) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])[F.col("lang")] if len(share) <= 1000 else F.lit(max(share.values()))
-    rows = usable.withColumn("place", place).filter(F.col("place") < limit).select("lang", "place", F.substring("text", 1, 4 * SLICE_BYTES).alias("text")).collect()
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / n) * (1 << 40))) for k, n in counts.items()], "lang string, share long")
+    rows = usable.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share")).select("lang", "place", F.substring("text", 1, 4 * SLICE_BYTES).alias("text")).collect()
     out = {}
     for lang in sorted(counts):
         filled, size = [], 0

@@ -272,6 +272,16 @@ def test_language_edges():
     assert langid.Classifier({}).classify("hello") == ("und", 0.0, 0.0, True)
 
 
+def test_languages_are_sampled_each_at_its_own_share_however_many_there_are(spark, monkeypatch):
+    n = 20_000
+    docs = spark.range(n + 1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "common").otherwise(F.concat(F.lit("rare"), F.col("id"))).alias("lang"), F.lit("some words of a text").alias("text"))
+    fetched = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    langid.learn(docs)
+    assert 0 < sum(r["lang"] == "common" for r in fetched[-1]) < 2 * 1.5 * langid.SAMPLE_DOCUMENTS
+
+
 # ---- 6
 
 
