@@ -19,10 +19,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import ROWS_AT_ONCE, cut_lineage, fold, map_rows
+from graphtide.llm.common import cut_lineage, fold, map_rows, sliced
 
 HELD_OUT = (5, 0)
 #: Bound of the sample of labelled rows, half of it toxic if there are as many.
@@ -31,150 +34,196 @@ EXAMPLES = 8192
 ERRORS = 2.0
 PREFIX = 5
 NEIGHBOURS = 15
-BLOCK = 128
-#: Blocks opened first.
-OPENED = 8
+#: Examples of a block, and blocks opened first.
+BLOCK = 512
+OPENED = 2
 #: Features that a larger share of the examples holds are multiplied out.
 DENSE = 1 / 8
-#: Similarities in single precision are off by less than this; what is nearer to the top K is computed again in double precision.
-MARGIN = 1e-4
+#: Weights are whole multiples of this, so that sums of their products are exact in double precision, in any order.
+UNIT = 2.0**-22
 #: An example weighs similarity ** POWER.
 POWER = 2
+#: Distinct words that a worker counts before it adds them up by feature.
+COUNTED_WORDS = 1 << 16
 WORD = re.compile(r"[^\W\d_]+")
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+class Words:
+    """From a text to its vector: a word's own feature and that of its beginning, of those that the vocabulary has."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+        #: For the feature of a word that of its beginning, itself where there is none.
+        self.beginning = np.fromiter((vocabulary.get(w[:PREFIX] + "*", i) if len(w) > PREFIX and w[PREFIX] != "*" else i for w, i in vocabulary.items()), np.int32, len(vocabulary))
+
+    def vector(self, text: str | None, idf: np.ndarray) -> Vector:
+        """Feature numbers, ascending, and weights of unit length, in whole UNITs; empty if no feature occurs."""
+        if not text:
+            return np.zeros(0, np.int32), np.zeros(0)
+        counts = Counter(WORD.findall(text.lower()))
+        known, found = self.vocabulary, list(map(self.vocabulary.get, counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        own = np.fromiter((-1 if f is None else f for f in found), np.int32, len(found))
+        new = [(known.get(w[:PREFIX] + "*", -1), n) for (w, n), f in zip(counts.items(), found, strict=True) if f is None and len(w) > PREFIX]
+        held = own >= 0
+        own, times = own[held], times[held]
+        begun = self.beginning[own]
+        longer = begun != own
+        fs = np.concatenate([own, begun[longer], np.array([f for f, _ in new], np.int32)])
+        times = np.concatenate([times, times[longer], np.array([n for _, n in new], np.float64)])
+        fs, of = np.unique(fs, return_inverse=True)
+        totals = np.bincount(of, times, len(fs))
+        if len(fs) and fs[0] < 0:
+            fs, totals = fs[1:], totals[1:]
+        weights = (1 + np.log(totals)) * idf[fs]
+        norm = math.sqrt(weights @ weights)
+        return (fs, np.round(weights / norm / UNIT) * UNIT) if norm else (fs[:0], weights[:0])
 
 
-def features(text: str | None) -> Counter:
-    """Lower-cased words, and the first PREFIX letters of longer ones marked with '*'."""
-    words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > PREFIX:
-            out[w[:PREFIX] + "*"] += n
-    return out
+def features(words: set[str]) -> set[str]:
+    """The words, and the first PREFIX letters of longer ones marked with '*'."""
+    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places starts[i] .. starts[i] + sizes[i] - 1 of all i in a row, and the i of each."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of], of
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 of all i in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
-    fs, ws = (list(vector), list(vector.values())) if isinstance(vector, dict) else vector
-    return np.asarray(fs, dtype=np.int32), np.asarray(ws, dtype=np.float64)
+def clustered(x: np.ndarray, leaf: int) -> np.ndarray:
+    """An order of the rows of `x` in which similar ones are near each other: halves along the direction of the greatest spread, until a part is no larger than `leaf`."""
+    done, parts = [], [np.arange(len(x))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= leaf:
+            done.append(part)
+            continue
+        centred = x[part] - x[part].mean(0)
+        direction = centred[np.argmax((centred**2).sum(1))]
+        for _ in range(8):
+            direction = centred.T @ (centred @ direction)
+            direction /= np.linalg.norm(direction) + 1e-30
+        order = part[np.argsort(centred @ direction, kind="stable")]
+        middle = leaf * (-(-len(part) // leaf) // 2)
+        parts += [order[middle:], order[:middle]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
 class Index:
-    """Unit vectors of the examples, dicts or pairs of features and weights, as an inverted index: for each feature the examples with their weights, and for each block of examples the greatest weight."""
+    """Unit vectors of the examples as an inverted index: for each feature the examples with their weights, and for each block of examples the greatest weight.
+
+    Similar examples are put into one block, so that the maxima of a block bound its members closely. `sizes`, `feature`
+    and `weight` are the vectors, one after the other, features ascending; an example's place is its number there.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list) -> None:
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, sizes: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> None:
         self.vocabulary, self.idf, self.ids, self.labels = vocabulary, idf, ids, labels
-        self.n_blocks = max(1, -(-len(ids) // BLOCK))
-        pairs = [_arrays(v) for v in vectors]
-        #: By example: its number of features, then the features and weights of all in a row.
-        self.sizes = np.array([len(f) for f, _ in pairs], dtype=np.int64)
-        self.feature = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in pairs]])
-        self.weight = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
-        self._lay_out()
+        self.sizes, self.feature, self.weight = np.asarray(sizes, np.int64), np.asarray(feature, np.int32), np.asarray(weight, np.float32)
+        self.words = Words(vocabulary)
 
     def _lay_out(self) -> None:
-        """Dense rows of the frequent features; of the others the postings by feature and example, and the runs of one feature and block with their maxima."""
+        """Dense rows of the frequent features; of the others the postings by feature and block, and the runs of one feature and block with their maxima."""
         n, vocabulary = len(self.sizes), len(self.vocabulary)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.n_blocks = max(1, -(-n // BLOCK))
         example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         frequent = np.bincount(self.feature, minlength=vocabulary) > n * DENSE
-        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        self.dense = np.zeros((int(frequent.sum()), self.n_blocks * BLOCK), dtype=np.float32)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        dense = np.zeros((n, int(frequent.sum())), dtype=np.float32)
         held = frequent[self.feature]
-        self.dense[self.row[self.feature[held]], example[held]] = self.weight[held]
-        order = np.flatnonzero(~held)
-        order = order[np.argsort(self.feature[order], kind="stable")]
-        feature, self.example, self.posted = self.feature[order], example[order], self.weight[order].astype(np.float32)
-        run = feature.astype(np.int64) * self.n_blocks + self.example // BLOCK
+        dense[example[held], self.row[self.feature[held]]] = self.weight[held]
+        #: The example at each position of the blocks.
+        self.at = clustered(dense, BLOCK).astype(np.int32)
+        position = np.empty(n, np.int32)
+        position[self.at] = np.arange(n, dtype=np.int32)
+        self.dense = np.zeros((dense.shape[1], self.n_blocks * BLOCK))
+        self.dense[:, :n] = dense[self.at].T
+        del dense
+        rest = np.flatnonzero(~held)
+        example, feature = position[example[rest]], self.feature[rest]
+        order = np.argsort(feature.astype(np.int64) * (self.n_blocks * BLOCK) + example)
+        example, feature, weight = example[order], feature[order], self.weight[rest[order]]
+        #: An example and its weight in one number, which moves as one.
+        self.postings = np.stack([example, weight.view(np.int32)], axis=1).view(np.int64).ravel()
+        #: A list, as single numbers are taken from it.
+        self.posted_from = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=vocabulary))]).tolist()
+        run = feature.astype(np.int64) * self.n_blocks + example // BLOCK
         self.run_start = np.flatnonzero(np.diff(run, prepend=-1))
         self.run_size = np.diff(self.run_start, append=len(run))
-        self.run_block = run[self.run_start] % self.n_blocks
-        self.run_most = np.maximum.reduceat(self.posted, self.run_start) if len(run) else self.posted
+        self.run_block = (run[self.run_start] % self.n_blocks).astype(np.int32)
+        self.run_most = np.maximum.reduceat(weight, self.run_start) if len(run) else np.zeros(0, np.float32)
         self.runs = np.bincount(run[self.run_start] // self.n_blocks, minlength=vocabulary)
         self.first_run = np.cumsum(self.runs) - self.runs
-        self.scratch = np.zeros(vocabulary)
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("vocabulary", "idf", "ids", "labels", "n_blocks", "sizes", "feature", "weight")}
+        return {k: self.__dict__[k] for k in ("vocabulary", "idf", "ids", "labels", "sizes", "feature", "weight")}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._lay_out()
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        """Feature number to weight, of unit length; empty if no feature occurs."""
-        counts, known = {}, self.vocabulary
-        if text:
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                f = known.get(w)
-                if f is not None:
-                    counts[f] = counts.get(f, 0) + n
-                if len(w) > PREFIX and (f := known.get(w[:PREFIX] + "*")) is not None:
-                    counts[f] = counts.get(f, 0) + n
-        if not counts:
-            return {}
-        fs = np.array(sorted(counts))
-        weights = (1 + np.log([counts[f] for f in fs.tolist()])) * self.idf[fs]
-        norm = math.sqrt(weights @ weights)
-        return dict(zip(fs.tolist(), (weights / norm).tolist(), strict=True)) if norm else {}
+        self.__dict__.update(state, words=Words(state["vocabulary"]))
 
-    def nearest(self, vector, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+    def vector(self, text: str | None) -> Vector:
+        return self.words.vector(text, self.idf)
+
+    def nearest(self, vector: Vector, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity over 0, as (similarity, place), by falling similarity, then place."""
         return self.nearest_of([vector], k, [without])[0]
 
-    def nearest_of(self, vectors: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """nearest() of each vector."""
-        pairs = [_arrays(v) for v in vectors]
-        queries = np.zeros((len(pairs), len(self.dense)), dtype=np.float32)
-        for q, (fs, ws) in zip(queries, pairs, strict=True):
+    def nearest_of(self, vectors: list[Vector], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each vector. The blocks are laid out where this is first called, so the driver never holds them."""
+        if not hasattr(self, "first_run"):
+            self._lay_out()
+        queries = np.zeros((len(vectors), len(self.dense)))
+        for q, (fs, ws) in zip(queries, vectors, strict=True):
             rows = self.row[fs]
             q[rows[rows >= 0]] = ws[rows >= 0]
         partial = queries @ self.dense
-        return [self._nearest(fs, ws, scores, k, left_out) for (fs, ws), scores, left_out in zip(pairs, partial, without or [-1] * len(pairs), strict=True)]
+        return [self._nearest(fs, ws, scores, k, left_out) for (fs, ws), scores, left_out in zip(vectors, partial, without or [-1] * len(vectors), strict=True)]
 
     def _nearest(self, fs: np.ndarray, ws: np.ndarray, scores: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
         """From what the frequent features add to the similarities, which are completed in place."""
         if not len(fs) or not len(self.sizes):
             return []
-        runs, of = _spans(self.first_run[fs], self.runs[fs])
-        block, weight = self.run_block[runs], ws[of]
+        runs, weight = _spans(self.first_run[fs], self.runs[fs]), np.repeat(ws, self.runs[fs])
+        block = self.run_block[runs]
         bounds = scores.reshape(self.n_blocks, BLOCK).max(axis=1) + np.bincount(block, weight * self.run_most[runs], self.n_blocks)
-        order, full = np.argsort(-bounds, kind="stable"), np.zeros(self.n_blocks, dtype=bool)
-        full[order[:OPENED]] = True
+        begun, full = scores.copy(), np.zeros(self.n_blocks, dtype=bool)
+        full[np.argsort(-bounds, kind="stable")[:OPENED]] = True
         self._open(scores, runs, weight, full[block])
-        if without >= 0:
-            scores[without] = -1
-        least = self._kth(scores, np.flatnonzero(full), k)
-        rest = ~full & (bounds >= least - MARGIN)
-        if rest.any():
+        least = self._kth(scores, full, k, without)
+        rest = ~full & (bounds >= least)
+        if 2 * rest.sum() > self.n_blocks:
+            # Most blocks: whole postings, whose copying is cheaper than picking runs.
+            scores[:] = begun
+            self._open_all(scores, fs, ws)
+            full[:] = True
+        elif rest.any():
             self._open(scores, runs, weight, rest[block])
-            if without >= 0:
-                scores[without] = -1
             full |= rest
-            least = self._kth(scores, np.flatnonzero(full), k)
-        near = np.flatnonzero(np.repeat(full, BLOCK)[: len(self.sizes)] & (scores[: len(self.sizes)] >= least - MARGIN))
-        near = near[near != without]
-        # In double precision, in the order of each example's features, so that equal texts get equal similarities.
-        self.scratch[fs] = ws
-        places, of = _spans(self.starts[near], self.sizes[near])
-        exact = np.round(np.bincount(of, self.scratch[self.feature[places]] * self.weight[places], len(near)), 12)
-        self.scratch[fs] = 0.0
-        near, exact = near[exact > 0], exact[exact > 0]
-        return [(float(exact[i]), int(near[i])) for i in np.lexsort((near, -exact))[:k]]
+        least = self._kth(scores, full, k, without)
+        found = np.flatnonzero((scores[: len(self.at)] >= least) & (scores[: len(self.at)] > 0))
+        found = found[full[found // BLOCK]]
+        places, found = self.at[found], scores[found]
+        order = np.lexsort((places, -found))[: k + 1]
+        return [(float(found[i]), int(places[i])) for i in order if places[i] != without][:k]
 
     def _open(self, scores: np.ndarray, runs: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
-        runs, weight = runs[wanted], weight[wanted]
-        places, of = _spans(self.run_start[runs], self.run_size[runs])
-        scores += np.bincount(self.example[places], weight[of] * self.posted[places], len(scores)).astype(np.float32)
-
-    def _kth(self, scores: np.ndarray, blocks: np.ndarray, k: int) -> float:
-        """The k-th greatest similarity in the blocks, which bounds the final one from below; 0 if there are fewer over 0."""
-        found = scores.reshape(self.n_blocks, BLOCK)[blocks].ravel()
+        runs = runs[wanted]
+        sizes = self.run_size[runs]
+        self._add(scores, self.postings[_spans(self.run_start[runs], sizes)], np.repeat(weight[wanted], sizes))
+
+    def _open_all(self, scores: np.ndarray, fs: np.ndarray, ws: np.ndarray) -> None:
+        starts, postings = self.posted_from, self.postings
+        parts = [postings[starts[f] : starts[f + 1]] for f in fs.tolist()]
+        self._add(scores, np.concatenate(parts), np.repeat(ws, [len(p) for p in parts]))
+
+    def _add(self, scores: np.ndarray, postings: np.ndarray, weight: np.ndarray) -> None:
+        scores += np.bincount(postings.view(np.int32)[::2], weight * postings.view(np.float32)[1::2], len(scores))
+
+    def _kth(self, scores: np.ndarray, full: np.ndarray, k: int, without: int) -> float:
+        """The k-th greatest similarity in the opened blocks, which bounds the final one from below; 0 if there are fewer over 0. One more is asked for if one is left out."""
+        k += without >= 0
+        found = scores.reshape(self.n_blocks, BLOCK)[full].ravel()
         return max(0.0, float(np.partition(found, len(found) - k)[-k])) if len(found) > k else 0.0
 
     def vote(self, found: list[tuple[float, int]]) -> float | None:
@@ -222,8 +271,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, Calibration] | float:
-    """The index and its calibration; the share of toxic labels where the labels hold fewer than two classes."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Calibration] | float:
+    """The index, sent to the workers, and its calibration; the share of toxic labels where the labels hold fewer than two classes."""
     spark = docs.sparkSession
     known = _labelled(docs, labels)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -241,27 +290,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, Calibration] | float
     def count(batch):
         seen: Counter = Counter()
         for row in batch:
-            seen.update((f, row["toxic"]) for f in features(row["text"]))
+            seen.update((f, row["toxic"]) for f in features(set(WORD.findall((row["text"] or "").lower()))))
         for (f, toxic), n in seen.items():
             yield f, toxic, n
 
     tally = map_rows(rows, count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).toArrow().sort_by("feature")
     vocabulary = {f: i for i, f in enumerate(tally["feature"].to_pylist())}
-    idf = _idf(docs, vocabulary) * strength(tally["a"].to_numpy(), found.get(1, 0), tally["b"].to_numpy(), found.get(0, 0))
-    empty = spark.sparkContext.broadcast(Index(vocabulary, idf, [], np.zeros(0), []))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    idf = _idf(docs, shared, len(vocabulary)) * strength(tally["a"].to_numpy(), found.get(1, 0), tally["b"].to_numpy(), found.get(0, 0))
 
     def vectors(batch):
+        words = Words(shared.value)
         for row in batch:
-            v = empty.value.vector(row["text"])
-            yield row["doc_id"], row["toxic"], list(v), list(v.values())
-
-    got = map_rows(rows, vectors, "doc_id long, toxic int, f array<int>, w array<double>").toArrow().sort_by("doc_id")
-    labels_of = got["toxic"].to_numpy().astype(float)
-    sparse = [(f.values.to_numpy(), w.values.to_numpy()) for f, w in zip(got["f"], got["w"], strict=True)]
-    index = Index(vocabulary, idf, got["doc_id"].to_pylist(), labels_of, sparse)
-    votes = []
-    for at in range(0, len(sparse), ROWS_AT_ONCE):
-        votes += [index.vote(n) for n in index.nearest_of(sparse[at : at + ROWS_AT_ONCE], without=[*range(at, min(at + ROWS_AT_ONCE, len(sparse)))])]
+            fs, ws = words.vector(row["text"], idf)
+            yield row["doc_id"], row["toxic"], fs.tolist(), ws.tolist()
+
+    got = map_rows(rows, vectors, "doc_id long, toxic int, f array<int>, w array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    shared.destroy()
+    labels_of, ids = got["toxic"].to_numpy().astype(float), got["doc_id"].to_pylist()
+    f, w = (pa.chunked_array([c.flatten() for c in got[name].chunks], kind).to_numpy() for name, kind in (("f", pa.int32()), ("w", pa.float32())))
+    index = spark.sparkContext.broadcast(Index(vocabulary, idf, ids, labels_of, pc.list_value_length(got["f"]).to_numpy(), f, w))
+    place_of = {doc_id: i for i, doc_id in enumerate(ids)}
+    del got, f, w
+
+    def votes_of(batch):
+        fitted, places = index.value, [place_of[row["doc_id"]] for row in batch]
+        for place, near in zip(places, fitted.nearest_of([fitted.vector(row["text"]) for row in batch], without=places), strict=True):
+            yield place, fitted.vote(near)
+
+    votes: list[float | None] = [None] * len(ids)
+    for row in map_rows(rows.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism), votes_of, "place int, vote double").collect():
+        votes[row["place"]] = row["vote"]
     weights = np.where(labels_of == 1, totals[1] / max(1.0, labels_of.sum()), totals[0] / max(1.0, (1 - labels_of).sum()))
     return index, Calibration(votes, labels_of, weights)
 
@@ -273,39 +332,50 @@ def strength(a: np.ndarray, n1: int, b: np.ndarray, n0: int) -> np.ndarray:
     return (1 + np.maximum(0.0, odds - ERRORS * error)) ** 2
 
 
-def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """log((1 + N) / (1 + df)) + 1 over all documents: each task sends one row of counts."""
-    if not vocabulary:
+def _idf(docs: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarray:
+    """log((1 + N) / (1 + df)) + 1 over all documents; a task sends a feature's count once."""
+    if not size:
         return np.zeros(0)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        import pyarrow as pa
-
-        known, seen, n = shared.value, np.zeros(len(shared.value), dtype=np.int64), 0
-        for batch in batches:
+        known, seen, n = vocabulary.value, np.zeros(size, dtype=np.int64), 0
+        words: Counter[str] = Counter()
+        beginnings: Counter[str] = Counter()
+
+        def add_up() -> None:
+            for counter, mark in ((words, ""), (beginnings, "*")):
+                for w, times in counter.items():
+                    if (f := known.get(w + mark)) is not None:
+                        seen[f] += times
+                counter.clear()
+
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 n += 1
-                words = set(WORD.findall((text or "").lower()))
-                found = {known.get(w) for w in words} | {known.get(w[:PREFIX] + "*") for w in words if len(w) > PREFIX}
-                found.discard(None)
-                seen[list(found)] += 1
-        yield pa.RecordBatch.from_pydict({"f": pa.array([-1, *np.flatnonzero(seen).tolist()], pa.int32()), "n": pa.array([n, *seen[seen > 0].tolist()], pa.int64())})
+                found = set(WORD.findall((text or "").lower()))
+                words.update(found)
+                beginnings.update({w[:PREFIX] for w in found if len(w) > PREFIX})
+            if len(words) > COUNTED_WORDS:
+                add_up()
+        add_up()
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"f": pa.array(np.concatenate([[-1], held]), pa.int32()), "n": pa.array(np.concatenate([[n], seen[held]]), pa.int64())})
 
-    totals = {r["f"]: r["n"] for r in docs.select("text").mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    return np.array([math.log((1 + totals.get(-1, 0)) / (1 + totals.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    totals = docs.select("text").mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, dtype=np.int64)
+    df[totals["f"].to_numpy()] = totals["n"].to_numpy()
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, vote (null without a neighbour), evidence: the ids of the nearest examples, toxic ones marked with '!', with similarities."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
 
     def rows(batch):
-        fitted = model.value
-        if isinstance(fitted, float):
-            yield from ((row["doc_id"], fitted, int(fitted >= 0.5), None, "") for row in batch)
+        if isinstance(model, float):
+            yield from ((row["doc_id"], model, int(model >= 0.5), None, "") for row in batch)
             return
-        index, calibration = fitted
+        index, calibration = model[0].value, model[1]
         texts = list(dict.fromkeys(row["text"] for row in batch))
         nearest = dict(zip(texts, index.nearest_of([index.vector(t) for t in texts]), strict=True))
         for row in batch:
