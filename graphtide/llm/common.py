@@ -60,6 +60,17 @@ def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tu
     return df.mapInArrow(run, struct)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many '_' as it takes to differ from all columns of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, one of our own on a single machine, as in tests, and an error on a cluster, whose executors couldn't share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)

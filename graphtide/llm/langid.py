@@ -3,8 +3,11 @@
 A text is lower-cased, runs of other characters than letters become one space, and it is cut into blocks; each block is
 compressed with every language's dictionary; the language with the fewest bytes in all wins. The answer is rejected when the runner-up is within a narrow margin.
 
-Defined results: null texts and texts without a letter are `und`, score 0, rejected; ties go to the first language in
-alphabetical order and are rejected; with no learned language every text is `und`. Repeated rows give equal results.
+Defined results: null texts and texts without a letter are `und`, score 0, rejected. A letter is what str.isalpha takes
+for one, so digits of any script, "²", "½", "Ⅷ" and combining marks alone are none. Ties go to the first language in
+alphabetical order and are rejected; with no learned language every text is `und`. A language whose slices come to less
+than 8 bytes has no dictionary and is never found. Repeated rows give equal results; a very long text is compressed
+whole, block by block. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import math
 import re
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.llm.common import fold, map_rows
@@ -30,7 +33,6 @@ LEVEL = 12
 MARGIN = 0.01
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
 
@@ -38,11 +40,17 @@ def plain(text: str) -> bytes:
     return REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def _middle(text: Column) -> Column:
+    """SLICE_BYTES characters from the middle of the whole text, as beginnings are often boilerplate."""
+    return F.substr(text, F.greatest(F.lit(1), F.floor((F.length(text) - SLICE_BYTES) / 2).cast("int") + 1), F.lit(SLICE_BYTES))
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each lang value, from documents with lang, text and id outside the held-out fold.
 
     First the languages are counted over all rows; then a hash of the id picks about SAMPLE_DOCUMENTS of each, so that
-    what reaches the driver depends on the number of languages only.
+    what reaches the driver depends on the number of languages only: for each about 1.5 times SAMPLE_DOCUMENTS slices.
+    Each language is one dictionary and one more compression of every text, so `lang` must be a field of few values.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -50,15 +58,12 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
         return {}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 40))
     shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / n) * (1 << 40))) for k, n in counts.items()], "lang string, share long")
-    rows = usable.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share")).select("lang", "place", F.substring("text", 1, 4 * SLICE_BYTES).alias("text")).collect()
+    rows = usable.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") < F.col("share")).select("lang", "place", _middle(F.col("text")).alias("text")).collect()
     out = {}
     for lang in sorted(counts):
         filled, size = [], 0
         for row in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["place"], r["text"]))[:SAMPLE_DOCUMENTS]:
-            raw = plain(row["text"])
-            # From the middle of what was fetched, as beginnings are often boilerplate.
-            at = max(0, (len(raw) - SLICE_BYTES) // 2)
-            filled.append(raw[at : at + SLICE_BYTES])
+            filled.append(plain(row["text"])[:SLICE_BYTES])
             size += len(filled[-1])
             if size >= DICTIONARY_BYTES:
                 break
@@ -85,7 +90,7 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected). score: the winner's share where each language weighs exp(-bytes / 1 % of the fewest)."""
-        if text is None or not self.langs or not LETTER.search(text):
+        if text is None or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))

@@ -4,7 +4,9 @@ Each row gets a uniform number from a hash of its id and the seed; the Poisson d
 source's repetition rate is inverted at that number; the row is exploded by the count and all copies are shuffled.
 
 Defined results: rows of a source without a target weight, or with weight 0, get no copy; a null source is a source
-like any other; repeated rows with one id get the same count; an empty table stays empty.
+like any other; repeated rows with one id get the same count, and all rows with a null id share one; an empty table stays
+empty. Texts of any length, empty and null ones are carried along. All columns of the table are kept, whatever their
+names, but for one called `replica`, which the copy's number replaces. Copies that tie in the shuffle's hash stand in any order.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphtide.llm.common import unused
+
 SEED = 20
 #: Share of the target that a source of natural share p gets is p ** TEMPERATURE, normalised.
 TEMPERATURE = 0.5
@@ -53,10 +57,10 @@ def source_rates(df: DataFrame, source: str = "source", weights: DataFrame | Non
 
 def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, epochs: float = EPOCHS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """All columns of `df` and `replica` (1, 2, ...), in a global random order: partition and place within it follow a hash of the key, the copy and the seed."""
-    rates = source_rates(df, source, weights, epochs, temperature).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    small = len(rates.limit(BROADCAST_SOURCES + 1).select("_source").collect()) <= BROADCAST_SOURCES
-    match = F.col(source).eqNullSafe(F.col("_source"))
-    joined = df.join(F.broadcast(rates) if small else rates, match)
-    copies = joined.withColumn("_u", uniform(F.col(key), seed)).withColumn("_count", poisson_count(F.col("_rate"), F.col("_u"))).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    place = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("replica"))
-    return copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").select(*[F.col(c) for c in df.columns if c != "replica"], "replica")
+    own, rate, u, times, place = unused(df, "_source", "_rate", "_u", "_count", "_place")
+    rates = source_rates(df, source, weights, epochs, temperature).select(F.col("source").alias(own), F.col("rate").alias(rate))
+    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = df.join(F.broadcast(rates) if small else rates, F.col(source).eqNullSafe(F.col(own)))
+    copies = joined.withColumn(u, uniform(F.col(key), seed)).withColumn(times, poisson_count(F.col(rate), F.col(u))).filter(F.col(times) > 0).withColumn("replica", F.explode(F.sequence(F.lit(1), F.col(times))))
+    dealt = copies.withColumn(place, F.xxhash64(F.lit(seed + 1), F.col(key), F.col("replica"))).repartition(place).sortWithinPartitions(place)
+    return dealt.select(*[F.col(c) for c in df.columns if c.lower() != "replica"], "replica")

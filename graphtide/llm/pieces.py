@@ -12,7 +12,9 @@ other words would have to be shuffled with their places in all documents; for th
 (see the README for figures). Which words are frequent changes no result.
 
 Defined results: null and empty texts have no ids; repeated rows give equal results; a U+2581 of the text is decoded as
-a space. Other columns are ignored.
+a space; ties between edges go to the leftmost (merging) or to the longer last piece (Viterbi). A very long text is
+encoded whole, in time that grows with its length (times its logarithm for a word without a cut); its ids are one row.
+Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import ROWS_AT_ONCE, cut_lineage, map_rows
+from graphtide.llm.common import Store, map_rows, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -40,8 +42,9 @@ PIECES = 1 << 20
 #: Bounds of the table of frequent words: words, and a word's length.
 FREQUENT = 1 << 16
 FREQUENT_LENGTH = 48
-CACHED_WORDS = 1 << 19
-COUNTED_RUNS = 1 << 20
+#: Most words and most runs that a task remembers beside these, and most different runs that it counts before it sends them.
+CACHED_WORDS = 1 << 17
+COUNTED_RUNS = 1 << 18
 
 
 class Pieces(NamedTuple):
@@ -105,7 +108,13 @@ def load(model: str = MODEL) -> Pieces:
 
 
 def runs_of(text: str | None) -> list[str]:
-    return RUN.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """Each run without its first U+2581, which every run has."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if "" not in words and SPACE not in text:
+        return words
+    return [run[1:] for run in RUN.findall(SPACE + text.replace(" ", SPACE))]
 
 
 # ---- the lattice in Spark
@@ -186,10 +195,10 @@ def _char_ids(char: Column, pieces: Pieces) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of each distinct word."""
+    """(word, ids) of each distinct word. Words are dealt out over all cores: their lattices are far larger than they."""
     spark = words.sparkSession
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
-    found = edges(words.distinct(), table, pieces.longest, pieces.unknown_score)
+    found = edges(words.distinct().repartition(4 * spark.sparkContext.defaultParallelism, "word"), table, pieces.longest, pieces.unknown_score)
     grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("found"))
     if pieces.unigram:
         path = grouped.withColumn("nodes", best_edges(F.col("found"))).select("word", best_path(F.col("nodes"), F.length("word")).alias("path"))
@@ -233,10 +242,11 @@ class Encoder:
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
-    def _run(self, run: str) -> bytes:
+    def _run(self, rest: str) -> bytes:
+        run = SPACE + rest
         ids = b"".join(map(self.ids.__getitem__, self.pieces.words(run)))
         if self.decoder.joined(array("i", ids)) != run.encode("utf-8", "surrogatepass"):
-            self.broken.add(run)
+            self.broken.add(rest)
         return ids
 
     def exact(self, text: str | None) -> bool:
@@ -346,27 +356,27 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
         def rows():
             words: Counter[str] = Counter()
             for run, n in seen.items():
-                for w in pieces.words(run):
+                for w in pieces.words(SPACE + run):
                     if len(w) <= FREQUENT_LENGTH:
                         words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=schema)
 
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(runs_of(text))
-                if len(seen) >= COUNTED_RUNS:
-                    yield rows()
+            if len(seen) >= COUNTED_RUNS:
+                yield rows()
         if seen:
             yield rows()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
+def frequent_words(docs: DataFrame, pieces: Pieces, store: Store) -> DataFrame:
     """(word): the most frequent words of all documents, FREQUENT at most, equally frequent ones all or none."""
-    counts = cut_lineage(word_counts(docs, pieces))
+    counts = store.table(word_counts(docs, pieces))
     level = F.floor(F.log2("n") * 8).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("level").desc())
     total, least = 0, None
@@ -379,7 +389,10 @@ def frequent_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def frequent_table(docs: DataFrame, pieces: Pieces) -> dict[str, tuple[int, ...]]:
-    return {r["word"]: tuple(r["ids"]) for r in encode_words(frequent_words(docs, pieces), pieces).collect()}
+    store = Store(docs.sparkSession)
+    found = {r["word"]: tuple(r["ids"]) for r in encode_words(frequent_words(docs, pieces, store), pieces).collect()}
+    store.drop()
+    return found
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -390,18 +403,16 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         encoder = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                encoder = encoder or Encoder(*shared.value)
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                parts, exact = [], []
-                for text in batch.column(1).to_pylist():
-                    parts.append(encoder.packed(text))
-                    exact.append(encoder.exact(text))
-                sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), ids, pa.array(exact)], schema=schema)
+        for batch in sliced(batches):
+            encoder = encoder or Encoder(*shared.value)
+            parts, exact = [], []
+            for text in batch.column(1).to_pylist():
+                parts.append(encoder.packed(text))
+                exact.append(encoder.exact(text))
+            sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), ids, pa.array(exact)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 

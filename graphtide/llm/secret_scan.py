@@ -5,17 +5,22 @@ class get the Shannon entropy of every window of fixed width; the counts of the
 that enters and the one that leaves. From the first to the last window at or above the class's threshold is a span,
 unless the candidate holds an allow-listed string. Spans are in code points, the end exclusive.
 
-Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; other columns are
-ignored. Redaction replaces every span, overlapping ones once, and leaves other text as it is.
+Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; spans that start
+together are ordered by kind. Very long texts are scanned whole, in time that grows with their length and matches. scan()
+ignores other columns; redact() keeps them all, whatever their names. Redaction replaces every span, overlapping or
+touching ones once, and leaves other text as it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphtide.llm.common import unused
+
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -61,6 +66,22 @@ ALLOWED = ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "
 OPEN, CLOSE, INSTEAD = "\x01", "\x02", "\x03"
 
 
+#: A list that grows is copied at each step, so lists grow to this length and are then joined.
+CHUNK = 256
+#: A place in a text is found by counting from its beginning, so texts are cut into parts of so many code points first.
+PART = 4096
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """array<array>: CHUNK items each. `items` must be a lambda's variable or a column."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array())
+
+
 def searched(text: Column) -> Column:
     """The text to search, of the same length: null as empty, without OPEN and CLOSE."""
     body = F.coalesce(text, F.lit(""))
@@ -75,12 +96,19 @@ def _located(body: Column, prefix: str, value: str) -> Column:
     part = lambda p: F.struct(F.when(F.size(p) == 3, F.concat(p[0], p[1])).alias("match"), F.when(F.size(p) == 3, p[1]).alias("value"), F.length(F.element_at(p, -1)).alias("gap"))
     sized = lambda p: F.struct(p["match"].alias("match"), p["value"].alias("value"), F.coalesce(F.length(p["match"]), F.lit(0)).alias("size"), p["gap"].alias("gap"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,match:string,value:string>>").alias("found"))
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, x):
         hit = F.struct(s["at"].alias("start"), x["size"].alias("size"), x["match"].alias("match"), x["value"].alias("value"))
         return F.struct((s["at"] + x["size"] + x["gap"]).alias("at"), F.when(x["size"] > 0, F.concat(s["found"], F.array(hit))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(F.transform(F.transform(cut, part), sized), start, step, lambda s: s["found"])
+    def placed(chunks):
+        """Each chunk's matches, counted from its beginning, moved to where it begins."""
+        starts = F.aggregate(chunks, begun, lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        moved = lambda at: lambda x: F.struct((x["start"] + at).alias("start"), x["size"].alias("size"), x["match"].alias("match"), x["value"].alias("value"))
+        return _let(starts, lambda found: F.flatten(F.transform(chunks, lambda c, i: F.transform(c["found"], moved(F.element_at(found, i + 1))))))
+
+    return _let(F.transform(F.transform(cut, part), sized), lambda parts: _let(F.transform(_chunks(parts), lambda c: F.aggregate(c, start, step)), placed))
 
 
 def _span(start: Column, rank: int, kind: str, end: Column) -> Column:
@@ -139,11 +167,12 @@ def entropy_spans(text: Column, kind: EntropyClass, rank: int) -> Column:
     return F.when(text.rlike(kind.gate), spans).otherwise(F.array().cast(SPANS))
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with _base and _added: arrays of spans in the order of start, then kind."""
-    base = F.array_sort(F.concat(*[base_spans(F.col("_body"), b, i) for i, b in enumerate(BASE)]))
-    added = F.array_sort(F.concat(*[entropy_spans(F.col("_body"), c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
-    return df.withColumn("_body", searched(F.col(text))).withColumns({"_base": base, "_added": added}).drop("_body")
+def with_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """`df` with two more columns, and their names: the base and the added spans, in the order of start, then kind."""
+    body, base, added = unused(df, "_body", "_base", "_added")
+    base_of = F.array_sort(F.concat(*[base_spans(F.col(body), b, i) for i, b in enumerate(BASE)]))
+    added_of = F.array_sort(F.concat(*[entropy_spans(F.col(body), c, len(BASE) + i) for i, c in enumerate(CLASSES)]))
+    return df.withColumn(body, searched(F.col(text))).withColumns({base: base_of, added: added_of}).drop(body), base, added
 
 
 def joined(spans: Column) -> Column:
@@ -153,26 +182,46 @@ def joined(spans: Column) -> Column:
 def scan(df: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy of each row."""
     number = lambda c, kind: F.size(F.filter(F.col(c), lambda s: s["kind"] == kind)).cast("long")
-    return with_spans(df.select("doc_id", "text")).select(
+    found, base, added = with_spans(df.select("doc_id", "text"))
+    return found.select(
         "doc_id",
-        *[number("_base", b.kind).alias(f"n_{b.kind}") for b in BASE],
-        F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("_base", "_added"))).alias("spans"),
-        F.size("_added").cast("long").alias("n_entropy"),
+        *[number(base, b.kind).alias(f"n_{b.kind}") for b in BASE],
+        F.sha2(joined(F.col(base)), 256).alias("base_sha256"),
+        joined(F.array_sort(F.concat(base, added))).alias("spans"),
+        F.size(added).cast("long").alias("n_entropy"),
     )
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with every span of `text` replaced by `mark`; spans that overlap or touch are replaced once. Null texts stay null."""
-    found = with_spans(df, text).withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
-    body = F.col(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def _gaps(spans: Column) -> Column:
+    """struct<at, lists>: the ranges (from, to) before each run of spans that overlap or touch, in lists that follow each other, and the end of the last span."""
+    gap = "struct<from:int,to:int>"
 
     def step(s, x):
-        gap = F.substr(body, s["at"] + 1, x["start"] - s["at"])
-        fresh = F.struct(F.concat(s["out"], gap, F.lit(mark)).alias("out"), x["end"].alias("at"))
-        joined_on = F.struct(s["out"].alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
-        return F.when((x["start"] > s["at"]) | (s["at"] == 0), fresh).otherwise(joined_on)
+        fresh = F.struct(x["end"].alias("at"), F.concat(s["list"], F.array(F.struct(F.greatest(s["at"], F.lit(0)).alias("from"), x["start"].alias("to")))).alias("list"))
+        return F.when(x["start"] > s["at"], fresh).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["list"].alias("list")))
+
+    def chunk(s, c):
+        inner = F.aggregate(c, F.struct(s["at"].alias("at"), F.array().cast(f"array<{gap}>").alias("list")), step)
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(s["lists"], F.array(r["list"])).alias("lists")))
+
+    return F.aggregate(_chunks(spans), F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<array<{gap}>>").alias("lists")), chunk)
+
+
+def _cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from `start` to `end` of a text in `parts` of PART code points."""
+    first, last = F.floor(start / PART).cast("int"), F.floor((end - 1) / PART).cast("int")
+    whole = lambda i: F.element_at(parts, i + 1)
+    inside = F.substr(whole(first), start % PART + 1, end - start)
+    across = F.concat(F.substr(whole(first), start % PART + 1), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substr(whole(last), F.lit(1), (end - 1) % PART + 1))
+    return F.when(end <= start, F.lit("")).when(first == last, inside).otherwise(across)
 
-    new = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(body, s["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, new).otherwise(body)).select(*df.columns)
+
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """`df` with every span of `text` replaced by `mark`; spans that overlap or touch are replaced once. Null texts stay null."""
+    found, base, added = with_spans(df, text)
+    spans, gaps = unused(found, "_spans", "_gaps")
+    body = F.col(text)
+    found = found.withColumn(spans, F.array_sort(F.concat(base, added))).withColumn(gaps, F.when(F.size(spans) > 0, _gaps(F.col(spans))))
+    kept = lambda parts: F.concat(F.transform(F.flatten(F.col(gaps)["lists"]), lambda g: _cut(parts, g["from"], g["to"])), F.array(_cut(parts, F.col(gaps)["at"], F.length(body))))
+    new = F.array_join(_let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), kept), mark)
+    return found.withColumn(text, F.when(F.col(gaps).isNotNull(), new).otherwise(body)).select(*[F.col(f"`{c}`") for c in df.columns])

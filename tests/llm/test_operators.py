@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +65,10 @@ def test_awkward_mixture(spark):
     assert mixture.replicate(empty(spark)).collect() == []
     copies = Counter(r["doc_id"] for r in rows)
     assert copies[4] % 2 == 0
+    own = docs.withColumns({c: F.lit(7) for c in ("_rate", "_source", "_u", "_count", "_PLACE", "replica")})
+    clashing = mixture.replicate(own, epochs=3.0)
+    assert clashing.columns == [*docs.columns, "_rate", "_source", "_u", "_count", "_PLACE", "replica"]
+    assert Counter(r["doc_id"] for r in clashing.collect()) == copies and {tuple(r[c] for c in ("_rate", "_source", "_u", "_count", "_PLACE")) for r in clashing.collect()} == {(7,) * 5}
 
 
 # ---- 1
@@ -113,6 +118,20 @@ def test_packets_cues_and_damage(spark):
 # ---- 2
 
 
+def whole(v):
+    """Weights in whole units, which single precision holds."""
+    return {f: round(w / toxicity.UNIT) * toxicity.UNIT for f, w in v.items()}
+
+
+def arrays(v):
+    return np.array(sorted(v), dtype=np.int32), np.array([v[f] for f in sorted(v)])
+
+
+def index_of(vocabulary, vectors):
+    pairs = [arrays(v) for v in vectors]
+    return toxicity.Index(vocabulary, np.ones(len(vocabulary)), list(range(len(vectors))), np.zeros(len(vectors)), [len(f) for f, _ in pairs], np.concatenate([f for f, _ in pairs]), np.concatenate([w for _, w in pairs]))
+
+
 def test_block_max_search_equals_brute_force():
     rng = random.Random(1)
     vocabulary = {f"w{i}": i for i in range(40)}
@@ -121,11 +140,12 @@ def test_block_max_search_equals_brute_force():
         v = {f: rng.choice((1.0, 2.0, 3.0)) for f in sorted(rng.sample(range(40), rng.randint(0, 5)))}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
         vectors.append({f: x / norm for f, x in v.items()})
-    index = toxicity.Index(vocabulary, np.ones(40), list(range(500)), np.zeros(500), vectors)
+    vectors = [whole(v) for v in vectors]
+    index = index_of(vocabulary, vectors)
     for q in vectors[:100]:
-        scores = [(-round(sum(w * v.get(f, 0) for f, w in q.items()), 12), d) for d, v in enumerate(vectors)]
+        scores = [(-sum(w * v.get(f, 0) for f, w in q.items()), d) for d, v in enumerate(vectors)]
         want = sorted(s for s in scores if s[0] < 0)[:15]
-        got = index.nearest(q)
+        got = index.nearest(arrays(q))
         assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
 
 
@@ -143,12 +163,13 @@ def test_block_max_search_with_rare_and_frequent_features():
     rng = random.Random(5)
     vocabulary = {f"w{i}": i for i in range(900)}
     unit = lambda v: {f: w / math.sqrt(sum(x * x for x in v.values())) for f, w in v.items()}
-    vectors = [unit({int(900 * rng.random() ** 3): rng.random() + 0.1 for _ in range(30)}) for _ in range(3000)]
+    vectors = [whole(unit({int(900 * rng.random() ** 3): rng.random() + 0.1 for _ in range(30)})) for _ in range(3000)]
     vectors[10] = vectors[2000] = vectors[1] = {}
-    index = toxicity.Index(vocabulary, np.ones(900), list(range(3000)), np.zeros(3000), vectors)
-    assert len(index.dense) and len(index.posted)
-    for at, got in enumerate(index.nearest_of(vectors[:60], without=list(range(60)))):
-        scores = [(-round(sum(w * v.get(f, 0) for f, w in vectors[at].items()), 12), d) for d, v in enumerate(vectors) if d != at]
+    index = index_of(vocabulary, vectors)
+    found = index.nearest_of([arrays(v) for v in vectors[:60]], without=list(range(60)))
+    assert len(index.dense) and len(index.postings)
+    for at, got in enumerate(found):
+        scores = [(-sum(w * v.get(f, 0) for f, w in vectors[at].items()), d) for d, v in enumerate(vectors) if d != at]
         want = sorted(s for s in scores if s[0] < 0)[:15]
         assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
 
@@ -200,7 +221,7 @@ def test_encoding_equals_the_library(spark, data_dir):
 @pytest.mark.parametrize("unigram", [False, True])
 def test_lattice_in_spark_equals_the_one_in_place(spark, data_dir, unigram):
     found = pieces.load()._replace(unigram=unigram)
-    words = ODD_WORDS + sorted({w for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(8).collect() for w in pieces.runs_of(r["text"]) if len(w) <= 48})
+    words = ODD_WORDS + sorted({w for r in spark.read.parquet(f"{data_dir}/documents.parquet").limit(8).collect() for w in map("▁".__add__, pieces.runs_of(r["text"])) if len(w) <= 48})
     encoder = pieces.Encoder(found, {})
     got = {r["word"]: tuple(r["ids"]) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in [*words, *ODD_WORDS]], "word string"), found).collect()}
     assert got == {w: encoder.word(w) for w in words}
@@ -266,7 +287,7 @@ def test_language_on_held_out(spark):
 
 def test_language_edges():
     classifier = langid.Classifier({"en": b"the cat sat on the mat and the dog " * 50, "fr": b"le chat et le chien sur la table " * 50})
-    assert classifier.classify(None)[0] == classifier.classify("123 !?")[0] == classifier.classify("")[0] == "und"
+    assert {classifier.classify(t)[0] for t in (None, "123 !?", "", "²", "½ ①", "Ⅷ", "\u0301", "٣")} == {"und"}
     assert classifier.classify("the dog and the cat sat on it")[0] == "en" and classifier.classify("le chien et le chat")[0] == "fr"
     assert classifier.classify("q")[3]
     assert langid.Classifier({}).classify("hello") == ("und", 0.0, 0.0, True)
@@ -321,6 +342,23 @@ def test_secrets_equal_brute_force(spark):
         assert masked[r["doc_id"]].replace("[SECRET]", "") == rest
 
 
+def test_secrets_of_clashing_columns_and_of_many_matches(spark):
+    docs = awkward(spark)
+    own = docs.withColumns({c: F.lit(7) for c in ("_body", "_Base", "_added", "_spans", "_gaps")})
+    plain, clashing = secret_scan.redact(docs), secret_scan.redact(own)
+    assert clashing.columns == own.columns and {tuple(r[c] for c in ("_body", "_Base", "_added", "_spans", "_gaps")) for r in clashing.collect()} == {(7,) * 5}
+    assert Counter(r["text"] for r in clashing.collect()) == Counter(r["text"] for r in plain.collect())
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["é", "word", "token=" + "ab12" * 4, "%016x" % rng.getrandbits(64), "AKIA" + "A1" * 8]) for _ in range(60_000))
+    began = time.monotonic()
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    base, spans = brute_spans(text)
+    assert secret_scan.scan(one).first()["spans"] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+    hidden = set(itertools.chain(*[range(a, b) for a, _, _, b in spans]))
+    assert secret_scan.redact(one).first()["text"].replace("[SECRET]", "") == "".join(c for i, c in enumerate(text) if i not in hidden)
+    assert len(spans) > 30_000 and time.monotonic() - began < 60
+
+
 # ---- 7
 
 
