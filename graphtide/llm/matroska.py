@@ -4,7 +4,9 @@ The reader walks variable-length EBML elements (unknown sizes included), cluster
 undoes Xiph, fixed-size and EBML lacing, and gives each frame's track, timestamp and byte range, with the cues.
 
 Defined results: a null media value has no packets; a damaged file gives the packets found before the damage and
-a non-null `error`; repeated rows give repeated packets. Other columns are ignored.
+a non-null `error`, also where a number has more than 8 bytes or a timestamp passes 64 bits; repeated rows give repeated
+packets, and packets that tie in time stay in file order. A null text is stored as an empty one, a very long one whole,
+in time that grows with its length. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -153,19 +155,30 @@ def elements(data: bytes, at: int, end: int, stop: frozenset[int] | set[int] = f
         if last > end:
             raise ValueError(f"element {ident:X} at byte {at} passes its parent's end")
         if size is None and ident == CLUSTER:
-            for _, _, _, inner in elements(data, body, end, TOP_LEVEL):
-                body_end = inner
-            last = body_end if body < end else body
-            yield ident, at, body, last
-        else:
-            yield ident, at, body, last
+            # It ends where its children do; with damage among them, the caller walks them up to it.
+            try:
+                last = body
+                for _, _, _, last in elements(data, body, end, TOP_LEVEL):
+                    pass
+            except ValueError:
+                last = end
+        yield ident, at, body, last
         at = last
 
 
 def _int(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise ValueError(f"number of {end - at} bytes at byte {at}")
     return int.from_bytes(data[at:end], "big")
 
 
+def _ns(n: int, at: int) -> int:
+    """A timestamp that a table can hold."""
+    if not -(1 << 63) <= n < 1 << 63:
+        raise ValueError(f"timestamp out of range at byte {at}")
+    return n
+
+
 def frame_ranges(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     """(offset, size) of each frame of a block's body."""
     if kind == 0:
@@ -208,7 +221,7 @@ def _block(media: Media, data: bytes, at: int, end: int, base: int, key: bool |
     kind = flags >> 1 & 3
     step = media.tracks.get(track, {}).get("default_duration", 0)
     for i, (offset, size) in enumerate(frame_ranges(data, at + 3, end, kind)):
-        media.packets.append(Packet(track, (base + relative) * media.scale + i * step, bool(flags & 0x80) if key is None else key, LACING_NAMES[kind], len(media.clusters) - 1, offset, size))
+        media.packets.append(Packet(track, _ns((base + relative) * media.scale + i * step, at), bool(flags & 0x80) if key is None else key, LACING_NAMES[kind], len(media.clusters) - 1, offset, size))
 
 
 def _track(data: bytes, at: int, end: int) -> dict:
@@ -257,7 +270,7 @@ def _segment(media: Media, data: bytes, at: int, end: int) -> None:
                     time = 0
                     for i, _, p, q in elements(data, x, y):
                         if i == CUE_TIME:
-                            time = _int(data, p, q) * media.scale
+                            time = _ns(_int(data, p, q) * media.scale, p)
                         elif i == CUE_TRACK_POSITIONS:
                             where = {j: _int(data, r, s) for j, _, r, s in elements(data, p, q)}
                             media.cues.append((time, where.get(CUE_TRACK, 0), where.get(CUE_CLUSTER_POSITION, -1)))

@@ -6,7 +6,8 @@ end where a paragraph's hash says so. Each node is a SHA-256 of its children; eq
 branches that differ locate an edit. The fingerprint is `root:section[length.leaf,...];...`.
 
 Defined results: a null text counts as empty, and an empty text is one paragraph of length 0. Repeated rows of one id
-follow each other in the order of their texts. Other columns are ignored.
+follow each other in the order of their texts; rows with a null id come last. A very long text is cut and hashed whole, in
+time that grows with its length, and is one row. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from graphtide.llm.common import sliced
+
 #: A paragraph that is longer is cut; a cut falls behind a sentence's end if there is one between these two lengths.
 SHORT, LONG = 64, 256
+#: Marks that end a sentence: so many at most, so that a run of them is looked at once.
+MARKS = 8
 #: One paragraph in so many, by its hash, ends a section.
 SECTION = 8
 #: Most ranges of ids.
 RANGES = 8192
 LEAF_HEX, SECTION_HEX, ROOT_HEX = 16, 16, 64
-PIECE = re.compile(rf"[^\n]{{1,{LONG}}}(?:\n|\Z)|[^\n]{{{SHORT},{LONG}}}?[.!?;]+\x20|[^\n]{{{SHORT},{LONG}}}\x20|[^\n]{{{LONG}}}|\n")
+PIECE = re.compile(rf"[^\n]{{1,{LONG}}}(?:\n|\Z)|[^\n]{{{SHORT},{LONG}}}?[.!?;]{{1,{MARKS}}}\x20|[^\n]{{{SHORT},{LONG}}}\x20|[^\n]{{{LONG}}}|\n")
 
 
 def paragraphs(text: str) -> list[str]:
@@ -169,7 +174,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     for _, first, before in heads:
         if first is None:
             following = following.unionByName(whole.filter("doc_id is null").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(before).alias("place"), F.lit(True).alias("after")))
-    dealt = placed.unionByName(following).repartition("place").sortWithinPartitions("place", "after", F.col("doc_id").asc_nulls_last(), "text")
+    # One task for each range; hashing would put several into one.
+    dealt = placed.unionByName(following).repartitionById(len(bounds) + 1, "place").sortWithinPartitions("after", F.col("doc_id").asc_nulls_last(), "text")
     struct = StructType.fromDDL(OUT)
     arrow = to_arrow_schema(struct)
 
@@ -178,7 +184,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         before, out = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 now = None if row["after"] and before is None else (row["place"], row["doc_id"], row["text"], fingerprint(row["text"]))
                 if before and now and before[0] == now[0]:

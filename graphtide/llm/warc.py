@@ -1,11 +1,13 @@
 """WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 A derivative names its response in WARC-Refers-To and WARC-Refers-To-Target-URI and carries the response's date, block
-and payload digests and HTTP headers on. Ids are UUIDs of the source's id and the derivative's kind, so that a retried task
+and payload digests (and whether they are right) and HTTP headers on. Text is taken from the body without its transfer and content codings. Ids are UUIDs of the source's id and the derivative's kind, so that a retried task
 writes the same records.
 
-Defined results: a null or damaged record gives one `metadata` row with a non-null `error` and no links; an empty body
-gives an empty conversion; repeated rows give repeated, equal records. Other columns are ignored.
+Defined results: a null or damaged record, and one with an unknown or broken coding, gives one `metadata` row with a
+non-null `error` and no links; an empty body gives an empty conversion; repeated rows give repeated, equal records. A very
+long page, unclosed tags and comments included, is read in time that grows with its length. Other columns are ignored; the
+key may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ import html
 import json
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +30,12 @@ from graphtide.llm.common import map_rows
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2024-01-01T00:00:00Z"
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b.*?</\1\s*>", re.S | re.I)
-BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|blockquote|pre|hr|dd|dt|dl|form|figure|aside)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+HIDDEN = ("script", "style", "template", "noscript", "head")
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
+BREAK = re.compile(r"(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|blockquote|pre|hr|dd|dt|dl|form|figure|aside)\Z")
+TAG = re.compile(r"<(/?)([A-Za-z!?][A-Za-z0-9-]*)[^>]*>")
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
 CHARSET = re.compile(r"charset=[\"']?([\w-]+)", re.I)
@@ -95,10 +100,110 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], _headers(lines[1:]), body
 
 
+class Ends:
+    """Where comments and elements end. What isn't found once is not looked for again, so that a page is read a fixed number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing = page, set()
+
+    def after(self, name: str, at: int) -> int | None:
+        """The place behind the end of the comment ('!--') or of the element `name` that begins before `at`."""
+        if name in self.missing:
+            return None
+        if name == "!--":
+            found = self.page.find("-->", at) + 3
+            out = found if found > 2 else None
+        else:
+            m = CLOSING[name].search(self.page, at)
+            out = m.end() if m else None
+        if out is None:
+            self.missing.add(name)
+        return out
+
+
+def tags(page: str, at: int = 0) -> Iterator[re.Match]:
+    """A tag goes on to the next '>'; behind the last '>' there is none."""
+    return TAG.finditer(page, at, page.rfind(">") + 1)
+
+
 def plain_text(page: str) -> str:
-    """Visible text: one line for each block element, blanks collapsed, entities resolved after tags are gone."""
-    text = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
+    """Visible text: one line for each block element, blanks collapsed, entities resolved after tags are gone. Comments and hidden elements that never end are tags like others."""
+    ends, end, parts, at = Ends(page), page.rfind(">") + 1, [], 0
+    while m := TAG.search(page, at, end):
+        parts.append(page[at : m.start()])
+        name = m[2].lower()
+        behind = None
+        if page.startswith("<!--", m.start()):
+            behind = ends.after("!--", m.start() + 4)
+        elif not m[1] and name in HIDDEN:
+            behind = ends.after(name, m.end())
+        if behind is not None:
+            parts.append(" ")
+        elif BREAK.match(name):
+            parts.append("\n")
+        at = m.end() if behind is None else behind
+    parts.append(page[at:])
+    return LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(parts)))).strip()
+
+
+def page_fields(page: str) -> tuple[str, str, list[str]]:
+    """Title, language and links, from all tags of the page."""
+    title, lang, links = None, None, []
+    for m in tags(page):
+        name = "" if m[1] else m[2].lower()
+        if name == "title" and title is None:
+            closing = CLOSING["title"].search(page, m.end())
+            title = page[m.end() : closing.start()] if closing else ""
+        elif name == "html" and lang is None and (found := LANG.search(m[0])):
+            lang = found[1]
+        elif name == "a" and (found := HREF.search(m[0])):
+            links.append(_one_line(html.unescape(found[1] if found[1] is not None else found[2])))
+    return _one_line(html.unescape(title or "")), lang or "", links
+
+
+def _dechunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("chunked body without its last chunk")
+        n = int(body[at:end].split(b";")[0], 16)
+        if n <= 0:
+            return b"".join(parts)
+        if end + 2 + n > len(body):
+            raise ValueError("chunk passes the body's end")
+        parts.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def decoded(http: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its transfer coding, then without its content codings; ValueError where one is unknown or broken."""
+    named = lambda header: [x.strip().lower() for k, v in http if k.lower() == header for x in v.split(",") if x.strip()]
+    for coding in [*reversed(named("transfer-encoding")), *reversed(named("content-encoding"))]:
+        try:
+            if coding == "chunked":
+                body = _dechunked(body)
+            elif coding in ("gzip", "x-gzip"):
+                body = zlib.decompress(body, 31)
+            elif coding == "deflate":
+                try:
+                    body = zlib.decompress(body)
+                except zlib.error:
+                    body = zlib.decompress(body, -15)
+            elif coding == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif coding != "identity":
+                raise ValueError("unknown")
+        except (ValueError, zlib.error, zstandard.ZstdError) as e:
+            raise ValueError(f"coding {coding}: {e}") from e
+    return body
+
+
+def _agrees(said: str | None, data: bytes) -> str:
+    """Whether a digest of the source is that of its bytes; 'unchecked' for other digests than SHA-1."""
+    if not said or not said.lower().startswith("sha1:"):
+        return "unchecked"
+    return "valid" if said[5:].upper() == digest(data)[5:] else "invalid"
 
 
 def derive(data: bytes) -> list[tuple]:
@@ -108,22 +213,24 @@ def derive(data: bytes) -> list[tuple]:
         if headers.get("warc-type") != "response":
             raise ValueError(f"not a response: {headers.get('warc-type')}")
         status, http, body = parse_http(block)
+        content = decoded(http, body)
     except ValueError as e:
         return [("metadata", *[None] * 10, str(e))]
     source, uri, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", "")
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = CHARSET.search(kind)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    title, lang = TITLE.search(page), LANG.search(page)
-    fields = [("title", _one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else ""), ("source-status", status), ("source-content-type", kind), ("source-length", str(len(body)))]
-    fields += [("outlink", _one_line(html.unescape(a or b))) for a, b in LINK.findall(page)]
+        page = content.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        page = content.decode("utf-8", "replace")
+    title, lang, links = page_fields(page)
+    fields = [("title", title), ("language", lang), ("source-status", status), ("source-content-type", kind), ("source-length", str(len(body)))]
+    fields += [("source-block-digest", _agrees(headers.get("warc-block-digest"), block)), ("source-payload-digest", _agrees(headers.get("warc-payload-digest"), body))]
+    fields += [("outlink", link) for link in links]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), "conversion": ("text/plain; charset=utf-8", plain_text(page))}
     kept = json.dumps(http, ensure_ascii=False)
     own = {"metadata": record_id("metadata", source), "conversion": record_id("conversion", source)}
-    return [(k, own[k], source, uri, date, content, digest(text.encode("utf-8", "surrogatepass")), headers.get("warc-block-digest"), headers.get("warc-payload-digest"), kept, text, None) for k, (content, text) in blocks.items()]
+    return [(k, own[k], source, uri, date, media, digest(text.encode("utf-8", "surrogatepass")), headers.get("warc-block-digest"), headers.get("warc-payload-digest"), kept, text, None) for k, (media, text) in blocks.items()]
 
 
 FIELDS = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_block_digest string, source_payload_digest string, source_headers string, block string, error string"
@@ -140,7 +247,9 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def derivatives(records: DataFrame, key: str = "page_id", data: str = "record") -> DataFrame:
-    """The key and the derivatives' columns, two rows for each response."""
+    """The key and the derivatives' columns, two rows for each response. ValueError for a key that is called like one of these."""
+    if key.lower() in {f.split()[0] for f in FIELDS.split(", ")}:
+        raise ValueError(f"a derivative has a column {key} of its own")
 
     def rows(batch):
         for row in batch:
@@ -151,12 +260,12 @@ def derivatives(records: DataFrame, key: str = "page_id", data: str = "record")
 
 
 def to_bytes(rows: DataFrame) -> DataFrame:
-    """(record_id, record): the derivatives as bytes of a WARC file, linked to their sources by WARC-Refers-To."""
+    """(record_id, record): the derivatives as bytes of a WARC file, linked to their sources by WARC-Refers-To, with the source's digests and its HTTP headers (as JSON, in a header of our own). Rows with an error have no record."""
 
     def write(batch):
         for r in batch:
             if r["error"] is None:
-                headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Refers-To-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Payload-Digest", r["source_payload_digest"] or ""), ("Content-Type", r["content_type"])]
+                headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Refers-To-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Block-Digest", r["source_block_digest"] or ""), ("WARC-Source-Payload-Digest", r["source_payload_digest"] or ""), ("WARC-Source-HTTP-Headers", r["source_headers"] or ""), ("Content-Type", r["content_type"])]
                 yield r["record_id"], record(headers, r["block"].encode("utf-8", "surrogatepass"))
 
     return map_rows(rows, write, "record_id string, record binary")

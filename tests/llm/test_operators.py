@@ -1,6 +1,9 @@
 """The ten operators against brute force, exact round trips, held-out labels and awkward tables."""
 
+import base64
+import gzip
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -13,6 +16,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from graphtide.llm import jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, queries, secret_scan, toxicity, warc
@@ -115,6 +119,18 @@ def test_packets_cues_and_damage(spark):
         matroska.read_media(data[:cut] + b"\0" + data[cut + 1 : 700])
 
 
+def test_media_damage_that_is_odd(spark):
+    header = matroska._element(matroska.EBML, matroska._element(matroska.DOC_TYPE, b"webm")) + b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff"
+    block = matroska._element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80) + b"frame")
+    cluster = lambda body: b"\x1f\x43\xb6\x75\xff" + body
+    good = cluster(matroska._uint(matroska.TIMESTAMP, 10) + block)
+    files = {1: (cluster(b""), 0, True), 2: (good + cluster(b""), 1, True), 3: (cluster(b"") + good + cluster(b"") + good, 2, True), 4: (good + cluster(matroska._element(matroska.TIMESTAMP, b"\xff" * 8) + block), 1, False), 5: (good + cluster(matroska._element(matroska.TIMESTAMP, b"\x01" * 9) + block), 1, False), 6: (cluster(matroska._uint(matroska.TIMESTAMP, 1) + block + b"\0\0"), 1, False)}
+    df = spark.createDataFrame([(k, header + body) for k, (body, _, _) in files.items()], "k long, m binary")
+    rows = Counter(r["k"] for r in matroska.packet_table(df, "k", "m").collect())
+    for k, (body, n, whole_file) in files.items():
+        assert rows[k] == n and (matroska.read_media(header + body).error is None) == whole_file, k
+
+
 # ---- 2
 
 
@@ -272,6 +288,24 @@ def test_tree_locates_edits():
     assert merkle.fingerprint("a\nb") != merkle.fingerprint("a\n b")
 
 
+def test_long_runs_of_marks_are_cut_in_linear_time():
+    began = time.monotonic()
+    for t in ("." * 1_000_000, "?! " * 300_000, "a" * 100 + "." * 999_999, "\n" * 1_000_000):
+        assert "".join(merkle.paragraphs(t)) == t
+    assert time.monotonic() - began < 20
+
+
+def test_likeness_by_sets_of_paragraphs():
+    """Independent of sections: paragraphs in common, by their texts."""
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = ("".join(rng.choice(["one two. ", "three\n", "four " * 20, "\n", "five; " * 30]) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        left, right = Counter(merkle.paragraphs(a)), Counter(merkle.paragraphs(b))
+        shared = sum(len(p) * n for p, n in (left & right).items())
+        want = 1.0 if a == b else 2 * shared / (len(a) + len(b)) if a or b else 0.0
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) == pytest.approx(want)
+
+
 # ---- 5
 
 
@@ -383,6 +417,61 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).collect() == []
 
 
+def test_warc_codings_and_headers(spark):
+    page = "<html lang=de><head><title>T</title></head><body>gr\u00fc\u00df dich<br>du</body></html>"
+    raw = page.encode()
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(raw[i : i + 7]), raw[i : i + 7]) for i in range(0, len(raw), 7)) + b"0\r\n\r\n"
+    bodies = {"Content-Encoding: gzip": gzip.compress(raw), "Content-Encoding: deflate": zlib.compress(raw), "content-encoding: zstd": zstandard.compress(raw), "Transfer-Encoding: chunked": chunked, "Content-Encoding: identity": raw, "Content-Encoding: br": raw, "Content-Encoding: gzip\r\nX: 1": b"junk", "Transfer-Encoding: chunked\r\nY: 2": b"5\r\nab"}
+    for header, body in bodies.items():
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{header}\r\n\r\n".encode() + body
+        rows = warc.derive(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Block-Digest", warc.digest(block)), ("WARC-Payload-Digest", "sha1:WRONG")], block))
+        if header.startswith("Content-Encoding: br") or "\r\n" in header:
+            assert len(rows) == 1 and rows[0][-1].startswith("coding")
+        else:
+            assert rows[1][-2] == "gr\u00fc\u00df dich\ndu"
+            assert "title: T\r\nlanguage: de\r\n" in rows[0][-2] and "source-block-digest: valid\r\nsource-payload-digest: invalid" in rows[0][-2]
+    records = warc.responses(spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string"))
+    got, _ = warc.parse(bytes(warc.to_bytes(warc.derivatives(records)).first()["record"]))
+    assert got["warc-source-block-digest"].startswith("sha1:") and "text/html" in got["warc-source-http-headers"]
+    with pytest.raises(ValueError):
+        warc.derivatives(records.withColumnRenamed("page_id", "block"), key="block")
+    clashing = records.select("page_id", "record", *[F.lit(1).alias(c) for c in ("k", "d", "block", "error")])
+    assert sorted(map(tuple, warc.derivatives(clashing).collect())) == sorted(map(tuple, warc.derivatives(records).collect()))
+
+
+def test_warc_reads_odd_pages_in_linear_time():
+    began = time.monotonic()
+    for unit in ("<script ", "<a ", "<html ", "<title", "<!--", "<script>", "<a href='", "<!-- <script> ", "<p", "< ", "&amp", "\n ", "<title>", "<head><title>x"):
+        page = unit * (1_000_000 // len(unit))
+        warc.plain_text(page), warc.page_fields(page)
+    assert time.monotonic() - began < 60
+
+
+def slow_text(page):
+    """The rules of plain_text, one after the other."""
+    page = re.sub(r"(?si)<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>", " ", page)
+    page = re.sub(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|main|blockquote|pre|hr|dd|dt|dl|form|figure|aside)\b[^>]*>", "\n", page)
+    page = html.unescape(re.sub(r"</?[A-Za-z!?][^>]*>", "", page))
+    return re.sub(r"\s*\n\s*", "\n", re.sub(r"[^\S\n]+", " ", page)).strip()
+
+
+def test_warc_query_equals_brute_force(spark, data_dir):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect()}
+    rows = queries.op7_warc_derivatives(spark, data_dir).collect()
+    assert Counter(r["page_id"] for r in rows) == {i: 2 for i in pages}
+    for r in rows:
+        page, body = pages[r["page_id"]], (pages[r["page_id"]]["html"] or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        sha = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert (r["target_uri"], r["source_payload_digest"], r["source_block_digest"], r["error"]) == (" ".join(page["url"].split()), sha(body), sha(block), None)
+        assert r["block_digest"] == sha(r["block"].encode()) and r["refers_to"].startswith("<urn:uuid:")
+        if r["record_type"] == "conversion":
+            assert r["block"] == slow_text(page["html"])
+        else:
+            links = [html.unescape(a or b) for a, b in re.findall(r"(?i)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", page["html"])]
+            assert [x.removeprefix("outlink: ") for x in r["block"].split("\r\n") if x.startswith("outlink")] == [" ".join(x.split()) for x in links]
+
+
 # ---- 8
 
 
