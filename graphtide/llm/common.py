@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +47,23 @@ def sliced(batches: Iterable[pa.RecordBatch], most: int = BYTES_AT_ONCE) -> Iter
             start = stop
 
 
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, at whose end a worker gives what it no longer needs back to the system: it may wait long for its next task, beside others."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
     """Streams `df` through `fn`, which turns a list of row dicts into output tuples. No shuffle; integers stay integers beside nulls."""
     struct = StructType.fromDDL(schema)
@@ -57,7 +76,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tu
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(released(run), struct)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

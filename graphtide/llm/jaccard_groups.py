@@ -6,14 +6,18 @@
 3. Groups: each class is compared with the most central class that shares its tokens; verified links make groups of
    similar classes, so that a large family of near copies costs one comparison a member.
 4. The matrix: for each token the groups that hold it, and for each group the union of its members' sets as a bitmap.
-5. Query and group: the overlap of a class with another group's union bounds its overlap with every member. Only groups
-   whose bound reaches the least overlap of a link are opened, and their members are compared by their whole sets.
+5. Query and group: the overlap of a class with another group's union bounds its overlap with every member. A group is
+   kept in parts of members of much the same size, each with its union. Only parts whose bound reaches the least overlap
+   of a link are opened, and those members that share a dealt-out token are compared, by bitmaps and then whole sets.
 6. Links of both kinds give connected components.
 
 Nothing is capped: steps 3 to 5 find, for any two classes that link, a path of verified links.
 
-Defined results: null and empty texts have an empty set and are linked with nothing; repeated rows are equal sets;
-rows of one id are one document; rows with a null id take part but name no component. Other columns are ignored.
+Defined results: null and empty texts have an empty set and are linked with nothing; repeated rows are equal sets; rows
+of one id are one document, which links where any of its rows does; a set that only rows with a null id have names no
+component. Ties (between centres, between tokens of one load) go to the smaller id or token and change no result. A very
+long text is one set, and its words are hashed at once: some 60 bytes of memory for each of its own. Other columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import Store, cut_lineage, sliced
+from graphtide.llm.common import Store, cut_lineage, released, sliced
 from graphtide.llm.components import components
 
 #: log2 of the fewest and most buckets of the load table, a byte each, which goes to every task. In between there is a bucket for so many bytes of documents.
@@ -36,6 +40,8 @@ PART = 4096
 #: The same for the table that tells whose whole sets are needed, a bit each, and bits for each id. A fuller table lets more rows through and changes no result.
 NEEDED_BITS = (16, 27)
 NEEDED_EACH = 32
+#: Members of one group are apart where their sizes differ, from this size on where they differ by one part in it.
+PART_SIZES = 64
 #: Tokens counted at once, and bytes of text and of unions held at once.
 COUNTED = 1 << 20
 BYTES_AT_ONCE = 1 << 20
@@ -160,7 +166,7 @@ def loads(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array([np.minimum(255, np.rint(8 * np.log2(1 + x))).astype(np.uint8).tobytes() for x in totals.values()], pa.binary())], schema=schema)
 
-    found = docs.select("text").mapInArrow(count, "part int, total binary").repartition("part").mapInArrow(add_up, "part int, total binary").toArrow()
+    found = docs.select("text").mapInArrow(released(count), "part int, total binary").repartition("part").mapInArrow(add_up, "part int, total binary").toArrow()
     out = np.zeros((1 << bits) // PART * PART, dtype=np.uint8).reshape(-1, PART)
     for i, x in zip(found["part"].to_pylist(), found["total"], strict=True):
         out[i] = np.frombuffer(x.as_buffer(), dtype=np.uint8)
@@ -200,7 +206,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bits.append(np.packbits(flags, bitorder="little").view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), lists(prefix), lists(bits)], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(sign), schema)
 
 
 def _least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
@@ -235,7 +241,7 @@ def _within(rows: DataFrame, num: int, den: int, both: bool) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], schema=out)
 
-    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
+    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(released(bound), "a long, b long")
 
 
 def _needed(ids: DataFrame, bits: int) -> np.ndarray:
@@ -264,7 +270,7 @@ def whole_sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([t.view(np.int64) for t in shingler.tokens(batch.column(1))], pa.list_(pa.int64()))], schema=arrow)
 
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << bits))
-    return docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(cut, "doc_id long, tokens array<bigint>")
+    return docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(released(cut), "doc_id long, tokens array<bigint>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -321,7 +327,7 @@ def _unions(members: DataFrame) -> DataFrame:
         if found:
             yield out(found)
 
-    return members.select("g", "n", "bits").mapInArrow(some, schema).repartition("g").sortWithinPartitions("g").mapInArrow(all_of, schema)
+    return members.select("g", "n", "bits").mapInArrow(released(some), schema).repartition("g").sortWithinPartitions("g").mapInArrow(released(all_of), schema)
 
 
 def links(docs: DataFrame, signed: DataFrame, store: Store, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -340,18 +346,27 @@ def links(docs: DataFrame, signed: DataFrame, store: Store, k: int, num: int, de
     group_of = components(verified(docs, store.table(near(best)), k, num, den))
 
     # The matrix: a token's groups, with what bounds the overlap of any member.
-    grouped = held.drop("centre").join(group_of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("own"), F.col("component").isNotNull().alias("several"))
-    matrix = grouped.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("several").alias("g_several"))
+    # Members of much the same size make a part of their group; narrow sizes make narrow bounds.
+    part = lambda own, n: F.xxhash64(own, F.floor(F.log(F.greatest(n, F.lit(PART_SIZES)).cast("double")) * PART_SIZES), F.least(n, F.lit(PART_SIZES)))
+    own_of = F.coalesce("component", "doc_id")
+    grouped = held.drop("centre").join(group_of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "pos", own_of.alias("own"), part(own_of, F.col("n")).alias("part"), F.col("component").isNotNull().alias("several"))
+    matrix = grouped.groupBy("token", "part", F.col("own").alias("g")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("several").alias("g_several"))
     reach = F.least(F.col("n") - F.col("pos"), F.col("rest")) >= overlap(F.col("n"), F.greatest(F.col("n_min"), F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)))
     sizes = (F.col("n") * den >= F.col("n_min") * num) & (F.col("n_max") * den >= F.col("n") * num)
-    hits = store.table(grouped.drop("several").join(matrix, "token").filter((F.col("own") > F.col("g")) & sizes & reach).select(F.col("doc_id").alias("a"), "g", "g_several").distinct())
+    hits = store.table(grouped.drop("several", "part").join(matrix, "token").filter((F.col("own") > F.col("g")) & sizes & reach).select(F.col("doc_id").alias("a"), "n", "pos", "token", "g", "part", "g_several"))
 
-    # A group of one class is compared at once; one of several is opened if the bound by its union qualifies.
-    unions = _unions(group_of.join(signed.filter("digest is not null").select(F.col("doc_id").alias("node"), "n", "bits"), "node").select(F.col("component").alias("g"), "n", "bits"))
+    # A group of one class is compared at once; a part of one of several is opened if the bound by its union qualifies.
+    # Written, so that a task runs one Python worker at a time.
+    members = group_of.join(signed.filter("digest is not null").select(F.col("doc_id").alias("node"), "n", "bits"), "node").withColumn("g", part(F.col("component"), F.col("n")))
+    unions = store.table(_unions(members))
     fewest = F.greatest(F.col("n_min"), F.ceil(F.col("n_a") * num / F.lit(float(den)) - 1e-9))
-    queried = hits.filter("g_several").select("a", "g").join(own("a"), "a").join(unions, "g").select("a", F.col("g").alias("b"), "n_a", fewest.alias("n_b"), "bits_a", F.col("bits_g").alias("bits_b"))
-    opened = _within(queried, num, den, False).withColumnRenamed("b", "g").join(group_of.select(F.col("component").alias("g"), F.col("node").alias("b")), "g")
-    pairs = store.table(near(hits.filter("not g_several").select("a", F.col("g").alias("b")).unionByName(opened.select("a", "b"))))
+    queried = hits.filter("g_several").select("a", F.col("part").alias("g")).distinct().join(own("a"), "a").join(unions, "g").select("a", F.col("g").alias("b"), "n_a", fewest.alias("n_b"), "bits_a", F.col("bits_g").alias("bits_b"))
+    opened = hits.filter("g_several").join(store.table(_within(queried, num, den, False)).withColumnRenamed("b", "part"), ["a", "part"])
+    # Of an opened part, the members that share a token within reach of both: two sets that link have their first common one there.
+    inside = held.join(group_of.withColumnRenamed("node", "doc_id"), "doc_id").select("token", part(F.col("component"), F.col("n")).alias("part"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"))
+    close = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("b_pos")) >= overlap(F.col("n"), F.col("m"))
+    found = opened.join(inside, ["part", "token"]).filter(close).select("a", "b")
+    pairs = store.table(near(hits.filter("not g_several").select("a", F.col("g").alias("b")).unionByName(found).distinct()))
     return group_of, store.table(verified(docs, pairs, k, num, den))
 
 
@@ -365,8 +380,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     between = further.join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b"))
     joined = components(between).withColumnRenamed("node", "group")
     least = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
+    # Written, so that the join below can be split at a set that many documents share.
     named = least.join(group("class"), "class", "left").withColumn("group", F.coalesce("g_class", "class")).join(joined, "group", "left").select("digest", F.coalesce("component", "group").alias("component_id"))
-    found = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
+    found = signed.select("doc_id", "n", "digest").join(store.table(named), "digest", "left")
     out = cut_lineage(found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
     store.drop()
     return out

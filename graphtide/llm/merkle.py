@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from graphtide.llm.common import sliced
+from graphtide.llm.common import released, sliced
 
 #: A paragraph that is longer is cut; a cut falls behind a sentence's end if there is one between these two lengths.
 SHORT, LONG = 64, 256
@@ -196,4 +196,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return dealt.select("place", "after", "doc_id", "text").mapInArrow(run, struct)
+    return dealt.select("place", "after", "doc_id", "text").mapInArrow(released(run), struct)
