@@ -16,9 +16,11 @@ KINDS = ("P", "L", "G")
 
 
 def with_states(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`edges` with xf, yf, tf and xt, yt, tt of the two nodes. Edges whose first node is missing go; a unary edge has null second states."""
-    state = lambda side: nodes.select("graph_id", F.col("node_id").alias({"f": "from_id", "t": "to_id"}[side]), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"), F.col("theta").alias(f"t{side}"))
-    return edges.join(state("f"), ["graph_id", "from_id"]).join(state("t"), ["graph_id", "to_id"], "left").filter("type = 'G' or xt is not null")
+    """`edges` with xf, yf, tf and xt, yt, tt of the two nodes; a unary edge has null second states. Fails at run time on an edge whose first or, unless it is unary, second node is missing."""
+    state = lambda side: nodes.select("graph_id", F.col("node_id").alias({"f": "from_id", "t": "to_id"}[side]), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"), F.col("theta").alias(f"t{side}"), F.lit(True).alias(f"_in_{side}"))
+    rows = edges.join(state("f"), ["graph_id", "from_id"], "left").join(state("t"), ["graph_id", "to_id"], "left")
+    lost = F.when(F.col("_in_f").isNull(), F.concat(F.lit("an edge's first node is missing: "), F.coalesce(F.col("from_id").cast("string"), F.lit("null")))).when((F.col("type") != "G") & F.col("_in_t").isNull(), F.concat(F.lit("an edge's second node is missing: "), F.coalesce(F.col("to_id").cast("string"), F.lit("null"))))
+    return rows.filter(F.when(lost.isNotNull(), F.raise_error(lost).cast("boolean")).otherwise(F.lit(True))).drop("_in_f", "_in_t")
 
 
 def _columns(kind: str) -> tuple[geo.Vector, geo.Matrix, geo.Matrix | None]:
@@ -37,14 +39,14 @@ def _by_kind(parts: dict[str, Column]) -> Column:
 
 
 def checked(edges: DataFrame) -> DataFrame:
-    """`edges`, failing at run time on a missing type, node id or information entry."""
-    bad = F.when(F.col("type").isNull() | ~F.col("type").isin(*KINDS), F.lit("edge without a known type")).when(F.col("from_id").isNull(), F.lit("edge without its first node")).when((F.col("type") != "G") & F.col("to_id").isNull(), F.lit("edge without its second node")).when(F.col("i11").isNull() | F.col("i22").isNull(), F.lit("edge without information"))
+    """`edges`, failing at run time on a missing type, node id, information entry or number of a position fix."""
+    bad = F.when(F.col("type").isNull() | ~F.col("type").isin(*KINDS), F.lit("edge without a known type")).when(F.col("from_id").isNull(), F.lit("edge without its first node")).when((F.col("type") != "G") & F.col("to_id").isNull(), F.lit("edge without its second node")).when((F.col("type") == "G") & (F.col("z1").isNull() | F.col("z2").isNull()), F.lit("position fix without two numbers")).when(F.col("i11").isNull() | F.col("i22").isNull(), F.lit("edge without information"))
     return edges.filter(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
 
 
 def linearised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """with_states plus e1..e3, a11..a33, b11..b33. `edges` must hold the information columns if they're needed later."""
-    rows = with_states(edges, nodes)
+    """with_states of checked edges plus e1..e3, a11..a33, b11..b33. `edges` must hold the information columns."""
+    rows = with_states(checked(edges), nodes)
     built = {k: _columns(k) for k in KINDS}
     new = {}
     for i in range(3):

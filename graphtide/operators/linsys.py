@@ -72,7 +72,10 @@ def gradient_blocks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphtide-"))
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphtide-"))
     return df.checkpoint()
 
 

@@ -28,21 +28,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In file order: odometry, pose closures, landmark sights, position fixes. An odometry edge beyond the last pose isn't made."""
-    ev, e, k = _events(spark, sf_dir), F.col("e"), F.col("k")
-    last = F.max("k").over(Window.partitionBy("graph_id"))
-    ev = ev.withColumn("last", last)
+    e, k = F.col("e"), F.col("k")
+    ev = _events(spark, sf_dir).withColumn("last", F.max("k").over(Window.partitionBy("graph_id")))
     none = F.lit(None)
     across, turn = (e % 8 - 4) / 8.0, (e % 16 - 8) / 16.0
-    make = lambda rows, grp, kind, to, z1, z2, z3: rows.select("graph_id", F.lit(grp).alias("grp"), "k", F.lit(kind).alias("type"), k.alias("from_id"), to.cast("long").alias("to_id"), z1.cast("double").alias("z1"), z2.alias("z2"), z3.cast("double").alias("z3"))
-    parts = [
-        make(ev.filter("k < last"), 0, "P", k + 1, F.lit(1.0), across, turn),
-        make(ev.filter("k >= 10 and k % 7 = 0"), 1, "P", k - 10, F.lit(-10.0), across, turn),
-        make(ev.filter("k % 3 = 0"), 2, "L", e % 5 + LANDMARKS, (e % 32 - 16) / 4.0, (e % 8 - 4) / 4.0, none),
-        make(ev.filter("event_type = 'purchase'"), 3, "G", none, k + (e % 4 - 2) / 4.0, e % 8 / 4.0, none),
-    ]
-    raw = parts[0]
-    for part in parts[1:]:
-        raw = raw.unionByName(part)
+    made = lambda grp, kind, to, z1, z2, z3: F.struct(F.lit(grp).alias("grp"), F.lit(kind).alias("type"), to.cast("long").alias("to_id"), z1.cast("double").alias("z1"), z2.cast("double").alias("z2"), z3.cast("double").alias("z3"))
+    kinds = F.array(
+        F.when(k < F.col("last"), made(0, "P", k + 1, F.lit(1.0), across, turn)),
+        F.when((k >= 10) & (k % 7 == 0), made(1, "P", k - 10, F.lit(-10.0), across, turn)),
+        F.when(k % 3 == 0, made(2, "L", e % 5 + LANDMARKS, (e % 32 - 16) / 4.0, (e % 8 - 4) / 4.0, none)),
+        F.when(F.col("event_type") == "purchase", made(3, "G", none, k + (e % 4 - 2) / 4.0, e % 8 / 4.0, none)),
+    )
+    # One pass over the events makes edges of all kinds.
+    raw = ev.select("graph_id", "k", F.explode(F.array_compact(kinds)).alias("m")).select("graph_id", "k", k.alias("from_id"), "m.*")
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy("grp", "k")).cast("long")
     return raw.withColumn("edge_pos", place).select("graph_id", "edge_pos", "type", "from_id", "to_id", "z1", "z2", "z3")
 

@@ -198,9 +198,6 @@ def test_blocks_gradients_and_solvers_agree(spark, data_dir):
         for r in gradient.filter(F.col("graph_id") == g).collect():
             a = index[r["node_id"]]
             assert [r["g1"], r["g2"], r["g3"]][: graph.dims[a]] == pytest.approx(grad[graph.offset[a] : graph.offset[a + 1]], abs=1e-8)
-    one = [t.filter("graph_id = 1") for t in (blocks, gradient)]
-    for r in linsys.conjugate_gradients(*one, tolerance=1e-6, most=12).limit(0).collect():
-        raise AssertionError(r)
     assert len(exact) == nodes.join(growth.endpoints(edges).select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], "left_semi").count()
 
 
@@ -220,7 +217,7 @@ def test_conjugate_gradients_reach_the_target_on_a_long_chain_beside_a_short_one
     nodes = spark.createDataFrame([(g, i, 3, float(i), 0.1 * (i % 3), 0.0) for g, n in sizes.items() for i in range(n)], "graph_id long, node_id long, dim int, x double, y double, theta double")
     links = [(g, i + 1, "P", i, i + 1, 1.0, 0.0, 0.01) for g, n in sizes.items() for i in range(n - 1)] + [(g, n + i, "G", i, None, i - 0.5, 0.3, None) for g, n in sizes.items() for i in range(1, n, 2)]
     edges = fixture.with_information(spark.createDataFrame(links, "graph_id long, edge_pos long, type string, from_id long, to_id long, z1 double, z2 double, z3 double"))
-    blocks, gradient = linsys.normal_blocks(edges, nodes).localCheckpoint(), linsys.gradient_blocks(edges, nodes).localCheckpoint()
+    blocks, gradient = linsys.normal_blocks(edges, nodes).checkpoint(), linsys.gradient_blocks(edges, nodes).checkpoint()
     short = linsys.conjugate_gradients(blocks, gradient, most=2).collect()
     assert max(r["residual"] for r in short) > 1e-3
     got = linsys.conjugate_gradients(blocks, gradient, tolerance=1e-4).collect()
@@ -347,11 +344,17 @@ def test_error_is_the_same_after_a_rigid_move(spark, data_dir):
 
 
 def test_missing_parts_fail(spark):
-    from graphtide.operators.linearise import checked
+    from graphtide.operators.linearise import checked, with_states
 
-    bad = spark.createDataFrame([(0, None, 1, 2, 1.0, 1.0)], "graph_id long, type string, from_id long, to_id long, i11 double, i22 double")
+    bad = spark.createDataFrame([(0, None, 1, 2, 1.0, 1.0, 1.0, 1.0)], "graph_id long, type string, from_id long, to_id long, z1 double, z2 double, i11 double, i22 double")
     with pytest.raises(Exception, match="known type"):
         checked(bad).collect()
+    with pytest.raises(Exception, match="two numbers"):
+        checked(bad.withColumns({"type": F.lit("G"), "z2": F.lit(None).cast("double")})).collect()
+    nodes = spark.createDataFrame([(0, 1, 1.0, 2.0, 0.0)], "graph_id long, node_id long, x double, y double, theta double")
+    for first, second, message in ((1, 2, "second node is missing: 2"), (3, 1, "first node is missing: 3")):
+        with pytest.raises(Exception, match=message):
+            with_states(bad.withColumns({"type": F.lit("P"), "from_id": F.lit(first), "to_id": F.lit(second)}), nodes).collect()
     with pytest.raises(ValueError, match="lacks"):
         incremental.build(pd.DataFrame({"node_id": [0], "dim": [3], "x": [0.0], "y": [0.0], "theta": [0.0]}), pd.DataFrame({"from_id": [0], "to_id": [9]}))
 
