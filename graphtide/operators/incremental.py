@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.operators.growth import LoopDetector
-from graphtide.operators.solver import CODES, Graph, half_logdet, solve, trajectory_rmse
+from graphtide.operators.solver import CODES, Factor, Graph, half_logdet, solve, trajectory_rmse
 
 GATES = ("none", "IGG", "LCG")
 
@@ -74,39 +74,38 @@ def run(nodes: pd.DataFrame, edges: pd.DataFrame, truth: pd.DataFrame | None, co
     real = {} if truth is None else {int(i): (x, y) for i, x, y in zip(truth.node_id, truth.x, truth.y, strict=True)}
     poses = np.array([i for i, (n, d) in enumerate(zip(graph.ids, graph.dims, strict=True)) if d == 3 and int(n) in real], dtype=np.int64)
     target = np.array([real[int(graph.ids[i])] for i in poses]).reshape(-1, 2)
-    out, before, edges_in, nodes_in = [], None, 0, 0
+    out, before, edges_in, nodes_in, factor = [], None, 0, 0, Factor(graph)
     for it, (n_edges, n_nodes) in enumerate(sizes, 1):
         closure = detector.batch(stream[edges_in:n_edges])
-        h, g = graph.system(n_nodes, n_edges)
-        lower = np.linalg.cholesky(h)
-        logdet, n_vars = half_logdet(lower), len(g)
+        factor.grow(n_edges)
+        n_vars = int(graph.offset[n_nodes])
+        logdet = factor.half_logdet(n_vars)
         gain = logdet - before[0] * n_vars / before[1] if before else 0.0
         before = (logdet, n_vars)
         node, component = graph.layout(n_nodes)
         fire = {"none": True, "IGG": gain > config.entropy_threshold, "LCG": closure}[config.gating]
-        # The factor's filling, by which work is estimated, doesn't change with the states.
-        columns = (np.abs(lower) > 0).sum(0)
+        columns = factor.filling(n_nodes)
         work, steps, skipped = float((columns[node >= nodes_in] ** 2).sum()), 0, False
         if config.selective:
             active = np.ones(n_vars, dtype=bool) if fire else node >= nodes_in
             skipped = not active.any()
             for k in range(1, config.most_iterations + 1 if not skipped else 1):
-                dx = solve(h, g)
+                dx = factor.solve(n_vars, int(np.argmax(active)))
                 moved = np.unique(node[active & (np.abs(dx) > config.dx_threshold)])
                 active = np.isin(node, moved)
                 if not active.any():
                     break
                 graph.step(node[active], component[active], dx[active])
-                h, g = graph.system(n_nodes, n_edges)
+                factor.moved(moved)
                 work += float(min(2 * (columns[active] ** 2).sum(), (columns**2).sum()))
                 steps = k
         elif fire:
             for k in range(1, config.most_iterations + 1):
-                dx = solve(h, g)
+                dx = factor.solve(n_vars)
                 if np.abs(dx).max() <= config.dx_threshold:
                     break
                 graph.step(node, component, dx)
-                h, g = graph.system(n_nodes, n_edges)
+                factor.moved(np.arange(n_nodes))
                 work += float((columns**2).sum())
                 steps = k
         edges_in, nodes_in = n_edges, n_nodes

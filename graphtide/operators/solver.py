@@ -24,8 +24,8 @@ class Graph:
         ra, rb = self.variable[self.a], np.where(self.b[:, None] >= 0, self.variable[np.maximum(self.b, 0)], len(node))
         self.ends = np.concatenate([ra, rb], axis=1)
 
-    def residuals(self, e: slice, upper: bool = False):
-        """(residual (n, 3), A, B (n, 3, 3)) of a slice of edges at the current state. `upper`: angles in (-pi, pi]."""
+    def residuals(self, e: slice | np.ndarray, upper: bool = False):
+        """(residual (n, 3), A, B (n, 3, 3)) of some edges at the current state. `upper`: angles in (-pi, pi]."""
         kind, f, z = self.kind[e], self.x[self.a[e]], self.z[e]
         t = self.x[np.maximum(self.b[e], 0)]
         n = len(kind)
@@ -55,17 +55,21 @@ class Graph:
             ja[fix, 0, 0] = ja[fix, 1, 1] = 1
         return r, ja, jb
 
-    def system(self, n_nodes: int, n_edges: int):
-        """H and g over the first nodes and edges, the anchor on the first node included."""
-        e, n = slice(0, n_edges), int(self.offset[n_nodes])
+    def products(self, e: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """J'WJ (n, 6, 6) and J'We (n, 6) of some edges at the current state."""
         r, ja, jb = self.residuals(e)
         j = np.concatenate([ja, jb], axis=2)
         wj = self.w[e] @ j
+        return j.transpose(0, 2, 1) @ wj, np.einsum("nij,ni->nj", wj, r)
+
+    def system(self, n_nodes: int, n_edges: int):
+        """H and g over the first nodes and edges, the anchor on the first node included."""
+        e, n = slice(0, n_edges), int(self.offset[n_nodes])
+        blocks, sides = self.products(e)
         at = np.minimum(self.ends[e], n)
-        blocks = j.transpose(0, 2, 1) @ wj
         flat = (at[:, :, None] * (n + 1) + at[:, None, :]).ravel()
         h = np.bincount(flat, blocks.ravel(), (n + 1) ** 2).reshape(n + 1, n + 1)[:n, :n]
-        g = np.bincount(at.ravel(), np.einsum("nij,ni->nj", wj, r).ravel(), n + 1)[:n]
+        g = np.bincount(at.ravel(), sides.ravel(), n + 1)[:n]
         first = np.arange(self.dims[0])
         h[first, first] += 1
         return h, g
@@ -86,6 +90,133 @@ class Graph:
         return node, np.arange(len(node)) - self.offset[node]
 
 
+class Factor:
+    """H = LL' and L^-1 g of a growing graph, kept between steps.
+
+    Only edges whose states moved are linearised again. L is made in panels of rows: those above the first changed variable
+    stay, and a panel begins at the first column that its edges reach. A solution is taken from the last variable back to
+    the first one that is wanted, so a step of the newest nodes alone costs little.
+    """
+
+    PANEL = 48
+
+    def __init__(self, graph: Graph) -> None:
+        n = int(graph.offset[-1])
+        self.graph, self.n_edges, self.good = graph, 0, 0
+        # One row more, for what unused entries of an edge point at.
+        self.h, self.g = np.zeros((n + 1, n + 1)), np.zeros(n + 1)
+        self.lower, self.y, self.first = np.zeros((n, n)), np.zeros(n), np.arange(n + 1)
+        self.inverse: list[np.ndarray] = [np.zeros((0, 0))] * -(-n // self.PANEL)
+        self.begin = [0] * len(self.inverse)
+        self.blocks, self.sides = np.zeros((len(graph.kind), 6, 6)), np.zeros((len(graph.kind), 6))
+        # The factor's filling by nodes: earlier neighbours, the columns of each row, how many rows a column has.
+        nodes = len(graph.dims)
+        self.near: list[set[int]] = [set() for _ in range(nodes)]
+        self.columns: list[list[int]] = []
+        self.parent, self.rows, self.changed = np.full(nodes, -1), np.zeros(nodes, dtype=np.int64), 0
+
+    def _anchor(self) -> None:
+        first = np.arange(self.graph.dims[0])
+        self.h[first, first] += 1
+
+    def _add(self, e: np.ndarray, blocks: np.ndarray, sides: np.ndarray) -> None:
+        at = self.graph.ends[e]
+        np.add.at(self.h, (at[:, :, None], at[:, None, :]), blocks)
+        np.add.at(self.g, at, sides)
+        self.good = min(self.good, int(at.min()))
+
+    def grow(self, n_edges: int) -> None:
+        """Takes in the edges up to `n_edges`."""
+        e = np.arange(self.n_edges, n_edges)
+        if not len(e):
+            return
+        if not self.n_edges:
+            self._anchor()
+        at = self.graph.ends[e]
+        np.minimum.at(self.first, at, at.min(axis=1)[:, None])
+        for a, b in zip(self.graph.a[e].tolist(), self.graph.b[e].tolist(), strict=True):
+            if b >= 0 and a != b:
+                self.near[max(a, b)].add(min(a, b))
+                self.changed = min(self.changed, max(a, b))
+        self.n_edges = n_edges
+        self.blocks[e], self.sides[e] = self.graph.products(e)
+        self._add(e, self.blocks[e], self.sides[e])
+
+    def moved(self, nodes: np.ndarray) -> None:
+        """Linearises the edges of these nodes again."""
+        graph, flag = self.graph, np.zeros(len(self.graph.dims) + 1, dtype=bool)
+        flag[nodes] = True
+        e = np.flatnonzero(flag[graph.a[: self.n_edges]] | flag[graph.b[: self.n_edges]])
+        blocks, sides = graph.products(e)
+        if 2 * len(e) > self.n_edges:
+            # Anew, so that no rounding gathers.
+            self.h[:], self.g[:] = 0, 0
+            self._anchor()
+            self.blocks[e], self.sides[e] = blocks, sides
+            e = np.arange(self.n_edges)
+            self._add(e, self.blocks[e], self.sides[e])
+        else:
+            self._add(e, blocks - self.blocks[e], sides - self.sides[e])
+            self.blocks[e], self.sides[e] = blocks, sides
+
+    def update(self, n: int) -> None:
+        """Brings the factor of the first n variables up to date."""
+        p, lower, h = self.PANEL, self.lower, self.h
+        for i in range(self.good // p * p, n, p):
+            end = min(i + p, n)
+            c = int(self.first[i:end].min()) // p * p
+            part = h[i:end, c:end].copy()
+            for j in range(c, i, p):
+                since = max(c, self.begin[j // p])
+                here = part[:, j - c : j - c + p]
+                if j > since:
+                    here -= part[:, since - c : j - c] @ lower[j : j + p, since:j].T
+                part[:, j - c : j - c + p] = here @ self.inverse[j // p].T
+            part[:, i - c :] = np.linalg.cholesky(part[:, i - c :] - part[:, : i - c] @ part[:, : i - c].T)
+            lower[i:end, c:end] = part
+            self.inverse[i // p], self.begin[i // p] = np.linalg.inv(part[:, i - c :]), c
+            self.y[i:end] = self.inverse[i // p] @ (self.g[i:end] - part[:, : i - c] @ self.y[c:i])
+        self.good = n
+
+    def half_logdet(self, n: int) -> float:
+        self.update(n)
+        return float(np.log(np.diagonal(self.lower)[:n]).sum())
+
+    def solve(self, n: int, since: int = 0) -> np.ndarray:
+        """The solution of the first n variables from variable `since` on; 0 before its panel."""
+        self.update(n)
+        p, x, r = self.PANEL, np.zeros(n), self.y[:n].copy()
+        stop = since // p * p
+        for i in reversed(range(stop, n, p)):
+            end, c = min(i + p, n), max(stop, self.begin[i // p])
+            x[i:end] = self.inverse[i // p].T @ r[i:end]
+            r[c:i] -= self.lower[i:end, c:i].T @ x[i:end]
+        return x
+
+    def filling(self, n_nodes: int) -> np.ndarray:
+        """How many entries each variable's column of the factor has, by the elimination tree of the nodes. It doesn't change with the states."""
+        dims = self.graph.dims
+        for i in range(self.changed, len(self.columns)):
+            self.rows[self.columns[i]] -= dims[i]
+        del self.columns[self.changed :]
+        self.parent[self.parent >= self.changed] = -1
+        parent, met = self.parent, np.full(n_nodes, -1)
+        for i in range(self.changed, n_nodes):
+            found: list[int] = []
+            for j in self.near[i]:
+                while j != i and met[j] != i:
+                    met[j] = i
+                    found.append(j)
+                    if parent[j] < 0:
+                        parent[j] = i
+                    j = int(parent[j])
+            self.columns.append(found)
+            self.rows[found] += dims[i]
+        self.changed = n_nodes
+        node, component = self.graph.layout(n_nodes)
+        return self.rows[node] + dims[node] - component
+
+
 def solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.linalg.solve(h, g)
 
