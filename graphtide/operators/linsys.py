@@ -66,6 +66,15 @@ def gradient_blocks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("graph_id", F.explode(both).alias("g")).select("graph_id", "g.*").groupBy("graph_id", "node_id").agg(*[F.sum(k).alias(k) for k in G])
 
 
+def image(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """graph_id, node_id, q1..q3: H times the vectors (graph_id, node_id, dx1..dx3), H as normal_blocks gives it."""
+    off = blocks.filter("row_node <> col_node")
+    whole = blocks.unionByName(off.select("graph_id", F.col("col_node").alias("row_node"), F.col("row_node").alias("col_node"), *[F.col(f"h{j}{i}").alias(f"h{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)]))
+    product = geo.multiply(_matrix("h"), [[F.col(f"dx{i}")] for i in (1, 2, 3)])
+    at = vectors.select("graph_id", F.col("node_id").alias("col_node"), "dx1", "dx2", "dx3")
+    return whole.join(at, ["graph_id", "col_node"]).groupBy("graph_id", F.col("row_node").alias("node_id")).agg(*[F.sum(product[i][0]).alias(f"q{i + 1}") for i in range(3)])
+
+
 # ---- preconditioned conjugate gradients over tables
 
 

@@ -16,6 +16,7 @@ from graphtide.sources import fixture, text
 BATCH = 4
 STEP_THRESHOLD = 0.75
 NORMAL_DIGITS, FINE = 4, 6
+SHIFT = 3e-6
 
 
 def _r(name: str, digits: int = FINE):
@@ -96,6 +97,13 @@ def parse_toro(spark, sf_dir):
     return text.parse_edges(ev.select("graph_id", e.alias("line_no"), line.alias("line")), text.TORO).fillna(-1.0, ["i23"]).withColumn("i23", F.when(F.isnan("i23"), -1.0).otherwise(F.col("i23")))
 
 
+def parse_toro_nodes(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("e"))
+    e = F.col("e")
+    line = F.concat_ws(" ", F.lit("VERTEX2"), e, (e % 4).cast("string"), F.lit("-0.5"), F.when(e % 3 < 2, (e % 8).cast("string")), F.when(e % 3 == 1, F.lit("# end")))
+    return text.parse_nodes(ev.select("graph_id", e.alias("line_no"), line.alias("line")), text.TORO)
+
+
 # ---- growth
 
 
@@ -288,6 +296,14 @@ def gn_step(spark, sf_dir):
     return _rounded(incremental.batch_steps(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("seq", F.col("edge_pos"))))
 
 
+def gn_step_image(spark, sf_dir):
+    """H dx of the steps that gn_step finds, which is the gradient if they are right. The small shift keeps numbers away from where rounding would change."""
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    dx = incremental.batch_steps(nodes, edges.withColumn("seq", F.col("edge_pos")))
+    found = linsys.image(linsys.normal_blocks(edges, nodes), dx)
+    return found.select("graph_id", "node_id", *[(F.round(F.col(f"q{i}") + SHIFT, NORMAL_DIGITS) + 0.0).alias(f"q{i}") for i in (1, 2, 3)])
+
+
 def partial_solve(spark, sf_dir):
     return _rounded(incremental.partial_steps(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("seq", F.col("edge_pos"))))
 
@@ -331,6 +347,13 @@ def _incremental(**options):
     return query
 
 
+def incremental_at_guess(spark, sf_dir):
+    """The incremental run without steps: closures, gate, skipped increments, variables and errors as the source's guess gives them."""
+    config = incremental.Config(gating="LCG", most_iterations=0)
+    rows = incremental.increments(_nodes(spark, sf_dir), _ordered(spark, sf_dir), None, config)
+    return rows.select("graph_id", "it", "loop_closure", "n_vars", "gated", "skipped", "gn", _r("err", NORMAL_DIGITS))
+
+
 # ---- tables to draw
 
 
@@ -350,7 +373,7 @@ def plot_highlight(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        pose_nodes, landmark_nodes, edges_pos, info_symmetrised, dangling_edges, parse_g2o_nodes, parse_g2o_edges, parse_toro, batch_assign, first_seen_batch, new_nodes_per_batch, node_offsets, var2node, seeded_states, incidence, growth_closure_order, growth_candidates, disconnected_edges, loop_closure_pose, loop_closure_landmark, wrap_angle, se2_matrix, se2_vector, se2_inverse, se2_compose, jacobian_blocks, whitened_residual, whitened_residual_pose, chi2_per_graph, chi2_by_type, normalised_error, ate_alignment, ate_rmse, normal_blocks, gradient_blocks, affected_vars, affected_edges, converged, gn_step, partial_solve, logdet, info_gain, cumulative_flops, run_summary, plot_segments, plot_new_gnss, plot_highlight,
+        pose_nodes, landmark_nodes, edges_pos, info_symmetrised, dangling_edges, parse_g2o_nodes, parse_g2o_edges, parse_toro, parse_toro_nodes, batch_assign, first_seen_batch, new_nodes_per_batch, node_offsets, var2node, seeded_states, incidence, growth_closure_order, growth_candidates, disconnected_edges, loop_closure_pose, loop_closure_landmark, wrap_angle, se2_matrix, se2_vector, se2_inverse, se2_compose, jacobian_blocks, whitened_residual, whitened_residual_pose, chi2_per_graph, chi2_by_type, normalised_error, ate_alignment, ate_rmse, normal_blocks, gradient_blocks, affected_vars, affected_edges, converged, gn_step, gn_step_image, partial_solve, logdet, info_gain, cumulative_flops, run_summary, incremental_at_guess, plot_segments, plot_new_gnss, plot_highlight,
     )
 } | {
     "residual_pose_pose": _residual("P", 3),

@@ -89,11 +89,11 @@ def _normal() -> str:
     return q(f"select graph_id, row_node, col_node, {', '.join(r(f'sum(h{i}{j})', f'h{i}{j}', 4) for i, j in entries)} from ({' union all '.join(parts)}) group by graph_id, row_node, col_node", STATES, JACOBIANS)
 
 
-def _gradient() -> str:
+def _gradient(name: str = "g", shift: str = "") -> str:
     w = {(1, 1): "i11", (1, 2): "i12", (2, 1): "i12", (2, 2): "i22", (3, 3): "i33"}
     part = lambda m, i: " + ".join(f"{m}{a}{i} * {x} * e{b}" for (a, b), x in w.items())
     both = " union all ".join(f"select graph_id, {node} as node_id, {', '.join(f'{part(m, i)} as g{i}' for i in (1, 2, 3))} from ja where {node} is not null" for node, m in (("from_id", "a"), ("to_id", "b")))
-    return q(f"select graph_id, node_id, {', '.join(r(f'sum(g{i})', f'g{i}', 4) for i in (1, 2, 3))} from ({both}) group by graph_id, node_id", STATES, JACOBIANS)
+    return q(f"select graph_id, node_id, {', '.join(r(f'sum(g{i}){shift}', f'{name}{i}', 4) for i in (1, 2, 3))} from ({both}) group by graph_id, node_id", STATES, JACOBIANS)
 
 
 ERRORS = ", chi as (select *, case type when 'P' then atan2(sin(tt - tf - z3), cos(tt - tf - z3)) else 0e0 end as ea, case type when 'P' then 3 else 2 end as m from er), wq as (select *, i11 * e1 * e1 + 2 * i12 * e1 * e2 + i22 * e2 * e2 + i33 * ea * ea as q from chi)"
@@ -130,6 +130,30 @@ stepped as (select d.graph_id, d.edge_pos, greatest(1, case when d.type = 'L' th
   from edges d left join mark_step m on m.graph_id = d.graph_id and m.to_id = d.to_id)
 """
 
+AT_GUESS = """
+with recursive """ + GRAPH.strip() + STATES + ERRORS + GROWTH + """,
+sd as (select d.*, row_number() over (partition by d.graph_id order by step, kind = 'closure', d.edge_pos) as seq from edges d join stepped s on s.graph_id = d.graph_id and s.edge_pos = d.edge_pos),
+named as (select graph_id, seq, 0 as place, from_id as node_id from sd union all select graph_id, seq, 1, to_id from sd where type = 'P'),
+firsts as (select graph_id, node_id, seq, place from named qualify row_number() over (partition by graph_id, node_id order by seq, place) = 1),
+orders as (select graph_id, node_id, seq as first_seq, row_number() over (partition by graph_id order by seq, place) as po from firsts),
+sights as (select d.graph_id, d.to_id, d.seq, o.po, row_number() over (partition by d.graph_id, d.to_id order by d.seq) as i from sd d join orders o on o.graph_id = d.graph_id and o.node_id = d.from_id where d.type = 'L'),
+fold as (
+  select graph_id, to_id, seq, i, po as lo, po as hi, false as hit from sights where i = 1
+  union all
+  select s.graph_id, s.to_id, s.seq, s.i, case when s.po - f.lo > 4 or f.hi - s.po > 4 then f.lo else least(f.lo, s.po) end, case when s.po - f.lo > 4 or f.hi - s.po > 4 then f.hi else greatest(f.hi, s.po) end, s.po - f.lo > 4 or f.hi - s.po > 4
+  from fold f join sights s on s.graph_id = f.graph_id and s.to_id = f.to_id and s.i = f.i + 1),
+hits as (
+  select d.graph_id, d.seq, a.first_seq < d.seq and b.first_seq < d.seq and abs(a.po - b.po) > 4 as hit from sd d join orders a on a.graph_id = d.graph_id and a.node_id = d.from_id join orders b on b.graph_id = d.graph_id and b.node_id = d.to_id where d.type = 'P'
+  union all select graph_id, seq, hit from fold),
+came as (select graph_id, node_id, min(seq) as seq from (select graph_id, seq, from_id as node_id from sd union all select graph_id, seq, to_id from sd where to_id is not null) group by graph_id, node_id),
+grown as (select graph_id, seq, sum(case when node_id >= 1000000 then 2 else 3 end) as d from came group by graph_id, seq),
+series as (
+  select sd.graph_id, sd.seq, coalesce(hit, false) as hit, d is null as old, sum(coalesce(d, 0)) over w as n_vars, sum(q) over w / sum(m) over w as err
+  from sd join wq on wq.graph_id = sd.graph_id and wq.edge_pos = sd.edge_pos left join hits h on h.graph_id = sd.graph_id and h.seq = sd.seq left join grown g on g.graph_id = sd.graph_id and g.seq = sd.seq
+  window w as (partition by sd.graph_id order by sd.seq rows between unbounded preceding and current row))
+select graph_id, seq as it, hit as loop_closure, cast(n_vars as bigint) as n_vars, hit as gated, old and not hit as skipped, 0 as gn, case when hit or not old then round(err, 4) + 0.0 end as err from series
+"""
+
 ORACLE_SQL = {
     "pose_nodes": q("select graph_id, node_id, x, y, theta from poses"),
     "landmark_nodes": q("select graph_id, node_id, x, y from marks"),
@@ -139,6 +163,7 @@ ORACLE_SQL = {
     "parse_g2o_nodes": LINES + "select graph_id, case when i = 0 then e when i = 1 then e + 1000000 end as node_id, max(case when i = 0 then 3 else 2 end) as dim, max(cast(case when i = 0 then e % 16 else e % 5 end as double)) as x, max(cast(case when i = 0 then e % 8 else e % 3 end as double)) as y, max(case when i = 0 then cast(e % 4 as double) end) as theta, max(line_no) as file_pos from ln where i in (0, 1) group by 1, 2",
     "parse_g2o_edges": LINES + "select graph_id, line_no, case i when 2 then 'P' else 'L' end as type, e as from_id, case i when 2 then e + 1 else e + 1000000 end as to_id, case i when 2 then 1e0 else 2e0 end as z1, case i when 2 then 0.5e0 else cast(e % 7 as double) end as z2, case i when 2 then -0.25e0 end as z3, case i when 2 then 4e0 else 2e0 end as i11, case i when 2 then 0.5e0 else 0.25e0 end as i12, 0e0 as i13, case i when 2 then 4e0 else 2e0 end as i22, 0e0 as i23, case i when 2 then 16e0 else 0e0 end as i33 from ln where (i = 2 and e % 3 = 0) or i = 3",
     "parse_toro": "select user_id as graph_id, event_id as line_no, 'P' as type, event_id as from_id, event_id + 1 as to_id, 1e0 as z1, cast(event_id % 4 as double) as z2, 0.5e0 as z3, 11e0 as i11, 12e0 as i12, 13e0 as i13, 22e0 as i22, case event_id % 4 when 0 then 23e0 else -1e0 end as i23, 33e0 as i33 from events where event_id % 4 in (0, 1)",
+    "parse_toro_nodes": "select user_id as graph_id, event_id as node_id, 3 as dim, cast(event_id % 4 as double) as x, -0.5e0 as y, cast(event_id % 8 as double) as theta, event_id as file_pos from events where event_id % 3 < 2",
     "batch_assign": q("select graph_id, edge_pos, it from its", BATCHED),
     "first_seen_batch": q("select * from seen", BATCHED),
     "new_nodes_per_batch": q("select graph_id, first_it as it, count(*) as new_nodes from seen group by graph_id, first_it", BATCHED),
@@ -170,6 +195,8 @@ ORACLE_SQL = {
     "ate_rmse": q(f"select graph_id, count(*) as n, {r('sqrt(avg(pow(cos(phi) * px - sin(phi) * py + tx - qx, 2) + pow(sin(phi) * px + cos(phi) * py + ty - qy, 2)))', 'rmse')} from both_ join al using (graph_id) group by graph_id", TRUTH),
     "normal_blocks": _normal(),
     "gradient_blocks": _gradient(),
+    "gn_step_image": _gradient("q", " + 3e-6"),
+    "incremental_at_guess": AT_GUESS,
     "affected_vars": q("select graph_id, var from vars where exists (select 1 from moved m where m.graph_id = vars.graph_id and m.node_id = vars.node_id)", BATCHED),
     "affected_edges": q("select distinct graph_id, edge_pos from ends where exists (select 1 from moved m where m.graph_id = ends.graph_id and m.node_id = ends.node_id)", BATCHED),
     "converged": q("select graph_id, max(abs(dx)) as most, max(abs(dx)) <= 0.75 as converged from steps group by graph_id", BATCHED),

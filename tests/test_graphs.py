@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphtide.operators import growth, incremental, linsys, metrics, plots
-from graphtide.operators.solver import align, elimination_parents, reach, solve, solve_partly, trajectory_rmse, whitening
+from graphtide.operators.solver import Factor, align, elimination_parents, half_logdet, reach, solve, solve_partly, trajectory_rmse, whitening
 from graphtide.sources import fixture, presets, text
 from graphtide.streaming import edges as edge_stream
 
@@ -266,6 +266,25 @@ def test_partial_solve_equals_the_whole():
         assert reach(parents, [n - 1]) >= {n - 1}
 
 
+def test_a_kept_factor_equals_whole_solves(spark, data_dir):
+    nodes, edges = frames(spark, data_dir)
+    for g in (0, 3):
+        ordered = growth.growth_order(edges.filter(F.col("graph_id") == g)).orderBy("seq").toPandas()
+        graph, sizes = incremental.build(nodes.filter(F.col("graph_id") == g).toPandas().sort_values("node_id"), ordered)
+        factor = Factor(graph)
+        for n_edges, n_nodes in sizes:
+            factor.grow(n_edges)
+            n = int(graph.offset[n_nodes])
+            h, grad = graph.system(n_nodes, n_edges)
+            whole, lower = solve(h, grad), np.linalg.cholesky(h)
+            assert factor.solve(n) == pytest.approx(whole, rel=1e-8, abs=1e-8) and factor.solve(n, n - 2)[-2:] == pytest.approx(whole[-2:], rel=1e-8, abs=1e-8)
+            assert factor.half_logdet(n) == pytest.approx(half_logdet(lower))
+            assert ((np.abs(lower) > 1e-12).sum(0) <= factor.filling(n_nodes)).all()
+            last = np.arange(max(0, n_nodes - 2), n_nodes)
+            graph.x[last, 0] += 0.1
+            factor.moved(last)
+
+
 def test_alignment(spark):
     rng = np.random.default_rng(1)
     p = rng.normal(size=(30, 2))
