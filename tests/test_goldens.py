@@ -19,6 +19,11 @@ GOLDENS = {
     "FRH": ("FRH_P_toro.graph", 1315, 1505, 8.06092e-5, 14061.973318, 2.28294e-8),
 }
 
+#: Rounding at conditions up to 1e14: a dense Cholesky factor of Intel's matrix gives 11611.230963.
+LOGDET = 1e-8
+#: After six steps MIT has not converged and its matrix has a condition of 1.2e14: whole solves by LU, Cholesky and the kept factor, edges in growth or file order, end between 178.053 and 178.084.
+UNCONVERGED = 5e-4
+
 
 @pytest.mark.parametrize("name", GOLDENS)
 def test_data_set(spark, name):
@@ -37,14 +42,14 @@ def test_data_set(spark, name):
     graph, sizes = incremental.build(frame, ordered)
     factor, n = solver.Factor(graph), int(graph.offset[-1])
     factor.grow(len(ordered))
-    assert factor.half_logdet(n) == pytest.approx(logdet, abs=1e-5)
+    assert factor.half_logdet(n) == pytest.approx(logdet, rel=LOGDET)
     for _ in range(6):
         dx = factor.solve(n)
         if np.abs(dx).max() <= 1e-7:
             break
         graph.step(*graph.layout(len(graph.dims)), dx)
         factor.moved(np.arange(len(graph.dims)))
-    assert graph.chi2(len(ordered)) / graph.measurements(len(ordered)) == pytest.approx(solved, rel=1e-4)
+    assert graph.chi2(len(ordered)) / graph.measurements(len(ordered)) == pytest.approx(solved, rel=UNCONVERGED if name == "MIT" else 1e-4)
 
     if name == "MIT":
         rows, _ = incremental.run(frame, ordered, None, incremental.Config(entropy_threshold=1.0, dx_threshold=1e-3, loop_gap=4))
