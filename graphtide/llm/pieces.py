@@ -23,6 +23,8 @@ import heapq
 import re
 from array import array
 from collections import Counter
+from itertools import repeat
+from operator import concat
 from typing import NamedTuple
 
 import numpy as np
@@ -215,16 +217,19 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Kept(dict):
-    """Values as they're asked for; when there are too many, all but the given ones are dropped."""
+    """Values as they're asked for; when there are too many, those not asked for since the time before are dropped, the given ones never."""
 
     def __init__(self, known: dict[str, bytes], make) -> None:
         super().__init__(known)
-        self.known, self.make = known, make
+        self.known, self.make, self.older = known, make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= FREQUENT_LENGTH:
-            if len(self) >= len(self.known) + CACHED_WORDS:
+            if len(self) >= len(self.known) + CACHED_WORDS // 2:
+                self.older = self.copy()
                 self.clear()
                 self.update(self.known)
             self[key] = value
@@ -236,16 +241,30 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]) -> None:
         self.pieces = pieces
-        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, lambda w: array("i", self.word(w)).tobytes())
+        self.decoder = Decoder(pieces)
+        #: Words, and runs without their first U+2581, that their ids don't decode to.
+        self.lost, self.broken = {w for w, ids in known.items() if not self._decodes(w, ids)}, set()
+        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, self._word)
         self.runs = Kept({}, self._run)
-        self.decoder, self.broken = Decoder(pieces), set()
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
+    def _decodes(self, word: str, ids: tuple[int, ...]) -> bool:
+        return self.decoder.joined(ids) == word.encode("utf-8", "surrogatepass")
+
+    def _word(self, word: str) -> bytes:
+        ids = self.word(word)
+        if not self._decodes(word, ids):
+            self.lost.add(word)
+        return array("i", ids).tobytes()
+
     def _run(self, rest: str) -> bytes:
         run = SPACE + rest
-        ids = b"".join(map(self.ids.__getitem__, self.pieces.words(run)))
-        if self.decoder.joined(array("i", ids)) != run.encode("utf-8", "surrogatepass"):
+        # What is kept has no cut in it.
+        words = [run] if run in self.ids else self.pieces.words(run)
+        ids = b"".join(map(self.ids.__getitem__, words))
+        # Parts of a word decode to themselves or to nothing, so a run comes back if each of its words does.
+        if self.lost and not self.lost.isdisjoint(words):
             self.broken.add(rest)
         return ids
 
@@ -290,7 +309,7 @@ class Encoder:
     def _merge(self, word: str) -> list[str]:
         costs, none = self.costs, float("inf")
         parts = list(word)
-        joins = [costs.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        joins = list(map(costs.get, map(concat, word, word[1:]), repeat(none)))
         while joins and (least := min(joins)) < none:
             i = joins.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
