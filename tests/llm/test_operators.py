@@ -609,3 +609,21 @@ def test_mixture_reaches_its_weights(spark):
     ids = np.array([r["doc_id"] for r in rows], dtype=float)
     assert abs(np.corrcoef(ids, np.arange(len(ids)))[0, 1]) < 0.02
     assert mixture.replicate(docs, weights=weights.filter("source = 'absent'")).collect() == []
+
+
+def test_full_caches_change_no_ids_and_lost_characters_are_told(monkeypatch):
+    whole = pieces.load()
+    texts = ["the cat sat on the mat, the cat", "zqxj vvwk the zqxj  plough", "日本語 the 日本 x", "", "the cat 日 the cat"] * 3
+    expected = [pieces.Encoder(whole, {}).encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 4)
+    known = {w: pieces.Encoder(whole, {}).word(w) for w in ("▁the", "▁cat")}
+    small = pieces.Encoder(whole, known)
+    assert [small.encode(t) for t in texts] == expected and all(small.exact(t) for t in texts)
+    assert len(small.ids) <= len(known) + 2 and len(small.runs) <= 2 and known.keys() <= small.ids.keys()
+    # Without byte pieces a character without a piece is lost, also where the word comes from the table.
+    bare = whole._replace(byte_ids=[])
+    for given in ({}, {"▁\U0001F9FF": pieces.Encoder(bare, {}).word("▁\U0001F9FF")}):
+        encoder = pieces.Encoder(bare, given)
+        for text, exact in (("the cat", True), ("the \U0001F9FF cat", False), ("cat", True), ("a\U0001F9FF", False)):
+            encoder.encode(text)
+            assert encoder.exact(text) is exact, text
