@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm import jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, secret_scan, toxicity, warc
+from graphtide.llm import jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, ranked, secret_scan, toxicity, warc
 from graphtide.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.replicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_sentencepiece, op4_fingerprints, op5_language, op6_secrets, op7_warc_derivatives, op8_quality, op9_jaccard, op10_mixture)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_sentencepiece, op4_fingerprints, op5_language, op6_secrets, op7_warc_derivatives, op8_quality, op9_jaccard, op10_mixture, op11_ranked_search)}
 
 OP10_SQL = f"""
 with counts as (select source, count(*) as n_rows, pow(count(*), {mixture.TEMPERATURE}) as weight from documents group by source),
@@ -89,4 +93,19 @@ select d.doc_id, {", ".join(f"count(*) filter (where kind = '{b.kind}') as n_{b.
 from docs d left join spans on spans.doc_id = d.doc_id group by d.doc_id"""
 
 
-ORACLE_SQL = {"op10_mixture": OP10_SQL, "op6_secrets": _op6_sql()}
+#: Runs of ASCII letters and digits and of all that is beyond ASCII.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CUT = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+OP11_SQL = f"""
+with words as (select row_number() over () as r, doc_id, {_CUT} as ts from documents),
+     postings as (select r, doc_id, term, count(*) as tf, any_value(n) as n from (select r, doc_id, unnest(ts) as term, len(ts) as n from words) group by r, doc_id, term),
+     total as (select count(*) as n_docs, sum(len(ts))::bigint as n_terms from words where len(ts) > 0),
+     held as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from postings, total group by term, n_docs),
+     wanted as (select distinct item_id, unnest({_CUT}) as term from benchmark),
+     scored as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint as score
+                from wanted join held using (term) join postings using (term), total group by item_id, r, doc_id),
+     placed as (select item_id, row_number() over (partition by item_id order by score desc, doc_id, r)::integer as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from placed where rank <= 10
+"""
+
+ORACLE_SQL = {"op11_ranked_search": OP11_SQL, "op10_mixture": OP10_SQL, "op6_secrets": _op6_sql()}
