@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm import jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, ranked, secret_scan, toxicity, warc
+from graphtide.llm import alignment, jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, ranked, secret_scan, token_files, toxicity, warc
 from graphtide.llm.common import table
 
 
@@ -54,7 +54,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_sentencepiece, op4_fingerprints, op5_language, op6_secrets, op7_warc_derivatives, op8_quality, op9_jaccard, op10_mixture, op11_ranked_search)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_sentencepiece, op4_fingerprints, op5_language, op6_secrets, op7_warc_derivatives, op8_quality, op9_jaccard, op10_mixture, op11_ranked_search, op12_token_files, op13_alignment)}
 
 OP10_SQL = f"""
 with counts as (select source, count(*) as n_rows, pow(count(*), {mixture.TEMPERATURE}) as weight from documents group by source),
