@@ -3,6 +3,10 @@
 The edges of a graph come in batches. After each, the gain of information over the last increment and the loop-closure
 flag decide whether all variables are solved for or the new ones only; iterations go on with the variables of nodes
 that still move. A graph's increments depend on each other and run in one task; graphs run side by side.
+
+A graph may diverge. A step after which the matrix has no factor, or that isn't finite, is taken back, and its increment is
+`failed`: the state is the last that had a factor. Where it had none to begin with, half_logdet and di are null, the gate
+counts a gain as none and no step is made. Later increments go on from that state, and other graphs are untouched.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ class Config:
             raise ValueError(f"unknown gating: {self.gating}")
 
 
-INCREMENTS = "it long, loop_closure boolean, half_logdet double, n_vars long, di double, gated boolean, skipped boolean, gn int, err double, ate_rmse double, update_flops double"
-COLUMNS = ["it", "loop_closure", "half_logdet", "n_vars", "di", "gated", "skipped", "gn", "err", "ate_rmse", "update_flops"]
+INCREMENTS = "it long, loop_closure boolean, half_logdet double, n_vars long, di double, gated boolean, skipped boolean, gn int, err double, ate_rmse double, update_flops double, failed boolean"
+COLUMNS = ["it", "loop_closure", "half_logdet", "n_vars", "di", "gated", "skipped", "gn", "err", "ate_rmse", "update_flops", "failed"]
 
 
 def build(nodes: pd.DataFrame, edges: pd.DataFrame, batch: int = 1) -> tuple[Graph, list[tuple[int, int]]]:
@@ -66,6 +70,16 @@ def build(nodes: pd.DataFrame, edges: pd.DataFrame, batch: int = 1) -> tuple[Gra
     return Graph(list(place), rows.dim, x, (kind, a, b, z, w)), sizes
 
 
+def _factored(found) -> tuple:
+    """What `found` gives and False, or None and True where the matrix has no factor or the numbers aren't finite."""
+    try:
+        with np.errstate(over="ignore", invalid="ignore"):
+            out = found()
+    except np.linalg.LinAlgError:
+        return None, True
+    return (out, False) if np.isfinite(out).all() else (None, True)
+
+
 def run(nodes: pd.DataFrame, edges: pd.DataFrame, truth: pd.DataFrame | None, config: Config) -> tuple[list[tuple], Graph]:
     """One tuple for each increment, and the graph at its last state."""
     graph, sizes = build(nodes, edges, config.batch)
@@ -79,35 +93,41 @@ def run(nodes: pd.DataFrame, edges: pd.DataFrame, truth: pd.DataFrame | None, co
         closure = detector.batch(stream[edges_in:n_edges])
         factor.grow(n_edges)
         n_vars = int(graph.offset[n_nodes])
-        logdet = factor.half_logdet(n_vars)
-        gain = logdet - before[0] * n_vars / before[1] if before else 0.0
-        before = (logdet, n_vars)
+        logdet, failed = _factored(lambda: factor.half_logdet(n_vars))
+        gain = None if failed else logdet - before[0] * n_vars / before[1] if before else 0.0
+        before = before if failed else (logdet, n_vars)
         node, component = graph.layout(n_nodes)
-        fire = {"none": True, "IGG": gain > config.entropy_threshold, "LCG": closure}[config.gating]
+        fire = {"none": True, "IGG": gain is not None and gain > config.entropy_threshold, "LCG": closure}[config.gating]
         columns = factor.filling(n_nodes)
         work, steps, skipped = float((columns[node >= nodes_in] ** 2).sum()), 0, False
-        if config.selective:
-            active = np.ones(n_vars, dtype=bool) if fire else node >= nodes_in
-            skipped = not active.any()
-            for k in range(1, config.most_iterations + 1 if not skipped else 1):
-                dx = factor.solve(n_vars, int(np.argmax(active)))
-                moved = np.unique(node[active & (np.abs(dx) > config.dx_threshold)])
-                active = np.isin(node, moved)
-                if not active.any():
-                    break
-                graph.step(node[active], component[active], dx[active])
-                factor.moved(moved)
-                work += float(min(2 * (columns[active] ** 2).sum(), (columns**2).sum()))
-                steps = k
-        elif fire:
-            for k in range(1, config.most_iterations + 1):
-                dx = factor.solve(n_vars)
-                if np.abs(dx).max() <= config.dx_threshold:
-                    break
-                graph.step(node, component, dx)
-                factor.moved(np.arange(n_nodes))
-                work += float((columns**2).sum())
-                steps = k
+        active = np.ones(n_vars, dtype=bool) if fire else node >= nodes_in if config.selective else np.zeros(n_vars, dtype=bool)
+        skipped = config.selective and not active.any()
+        moved = old = None
+        for k in range(1, config.most_iterations + 1 if active.any() and not failed else 1):
+            dx, failed = _factored(lambda: factor.solve(n_vars, int(np.argmax(active))))  # noqa: B023
+            if failed:
+                if moved is not None:
+                    graph.x[moved] = old
+                    factor.anew()
+                    steps -= 1
+                break
+            far = np.abs(dx) > config.dx_threshold
+            if not (active & far).any():
+                break
+            if config.selective:
+                active = np.isin(node, np.unique(node[active & far]))
+            moved = np.unique(node[active])
+            old = graph.x[moved].copy()
+            graph.step(node[active], component[active], dx[active])
+            factor.moved(moved)
+            work += float(min(2 * (columns[active] ** 2).sum(), (columns**2).sum())) if config.selective else float((columns**2).sum())
+            steps = k
+        else:
+            # The last step's matrix isn't looked at before the next increment; it is taken back here.
+            if moved is not None and _factored(lambda: factor.half_logdet(n_vars))[1]:
+                graph.x[moved], failed = old, True
+                factor.anew()
+                steps -= 1
         edges_in, nodes_in = n_edges, n_nodes
         err = ate = None
         if not skipped:
@@ -115,7 +135,7 @@ def run(nodes: pd.DataFrame, edges: pd.DataFrame, truth: pd.DataFrame | None, co
             inside = poses < n_nodes
             if truth is not None and inside.sum() >= 2:
                 ate = trajectory_rmse(graph.x[poses[inside], :2], target[inside])
-        out.append((it, bool(closure), logdet, n_vars, gain, bool(fire), skipped, steps, err, ate, work))
+        out.append((it, bool(closure), logdet, n_vars, gain, bool(fire), skipped, steps, err, ate, work, failed))
     return out, graph
 
 
@@ -165,8 +185,8 @@ def _each(nodes: DataFrame, edges: DataFrame, truth: DataFrame | None, schema: s
 
 
 def increments(nodes: DataFrame, edges: DataFrame, truth: DataFrame | None = None, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """One row for each increment of each graph. Takes edges with seq and information. Skipped increments have null errors."""
-    return _each(nodes, edges, truth, INCREMENTS, lambda n, e, t: pd.DataFrame(run(n, e, t, config)[0], columns=COLUMNS).astype({"err": "Float64", "ate_rmse": "Float64"}))
+    """One row for each increment of each graph. Takes edges with seq and information. Skipped increments have null errors; of failed ones see above."""
+    return _each(nodes, edges, truth, INCREMENTS, lambda n, e, t: pd.DataFrame(run(n, e, t, config)[0], columns=COLUMNS).astype({c: "Float64" for c in ("half_logdet", "di", "err", "ate_rmse")}))
 
 
 def estimates(nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008

@@ -159,6 +159,14 @@ class Factor:
             self._add(e, blocks - self.blocks[e], sides - self.sides[e])
             self.blocks[e], self.sides[e] = blocks, sides
 
+    def anew(self) -> None:
+        """Linearises all edges again and sums up without what was summed before."""
+        e = np.arange(self.n_edges)
+        self.h[:], self.g[:], self.good = 0, 0, 0
+        self._anchor()
+        self.blocks[e], self.sides[e] = self.graph.products(e)
+        self._add(e, self.blocks[e], self.sides[e])
+
     def update(self, n: int) -> None:
         """Brings the factor of the first n variables up to date."""
         p, lower, h = self.PANEL, self.lower, self.h
