@@ -17,6 +17,8 @@ of an A id are all best. Other columns, of whatever name, are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from tokenizers import Tokenizer
 
-from graphtide.llm.chunks import Numbered, cut, places, sums
+from graphtide.llm.chunks import ByteLevel, Numbered, places, sums
 from graphtide.llm.common import Store, released, sliced
 
 A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -45,10 +46,9 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _byte_level(tokenizer: Tokenizer) -> list[bytes]:
-    table, special = byte_of(), {i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
-    entries = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    return [b"" if i not in entries else entries[i].encode() if i in special else bytes(table[c] for c in entries[i]) for i in range(max(entries) + 1)]
+def _byte_level(words: ByteLevel) -> list[bytes]:
+    table, entries = byte_of(), words.entries()
+    return [words.special[i].encode() if i in words.special else bytes(table[c] for c in entries.get(i, "")) for i in range(len(words.widths))]
 
 
 def _pieces(sp: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -65,60 +65,64 @@ class Aligner:
     """Aligns chunks, each with a space before it, and keeps what it has found of them under their numbers."""
 
     def __init__(self, a: str = A, b: str = B) -> None:
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
+        self.a, self.b = ByteLevel(a, special=False), sentencepiece.SentencePieceProcessor(model_file=b)
         self.bytes_a, self.bytes_b = _byte_level(self.a), _pieces(self.b)
         self.width_a, self.width_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.numbered = Numbered(self._add, self._clear)
-        self._clear()
-
-    def _clear(self) -> None:
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.numbered = Numbered(self._add, self._keep)
         self.good, self.counts, self.groups = np.zeros(0, bool), np.zeros((0, 4), np.int64), []
         self.pairs, self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _add(self, chunks: list[str]) -> None:
-        good, counts, groups, links = self.align(chunks)
-        sizes = counts[:, 3]
-        self.begins = np.concatenate([self.begins, len(self.pairs) + np.cumsum(sizes) - sizes])
-        self.good, self.counts = np.concatenate([self.good, good]), np.concatenate([self.counts, counts])
-        self.pairs, self.sizes = np.concatenate([self.pairs, links]), np.concatenate([self.sizes, sizes])
-        self.groups += groups
-
-    def align(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    def _keep(self, numbers: np.ndarray) -> None:
+        sizes = self.sizes[numbers]
+        self.good, self.counts, self.groups = self.good[numbers], self.counts[numbers], [self.groups[i] for i in numbers.tolist()]
+        self.pairs, self.begins, self.sizes = self.pairs[places(self.begins[numbers], sizes)], np.cumsum(sizes) - sizes, sizes
+
+    def _add(self, even: list[str], odd: list[str]) -> None:
+        for chunks in (even, odd):
+            good, counts, groups, links = self.align(chunks, even=chunks is even)
+            sizes = counts[:, 3]
+            self.begins = np.concatenate([self.begins, len(self.pairs) + np.cumsum(sizes) - sizes])
+            self.good, self.counts = np.concatenate([self.good, good]), np.concatenate([self.counts, counts])
+            self.pairs, self.sizes = np.concatenate([self.pairs, links]), np.concatenate([self.sizes, sizes])
+            self.groups += groups
+
+    def align(self, chunks: list[str], even: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Of each chunk behind a space: whether both tokenizers give its bytes; tokens of A and B, groups and links; the groups' text; and the links of all chunks, one after the other."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        a, sizes_a = self.a.chunks(chunks, even)
         ids_b = self.b.encode(chunks, num_threads=1)
-        good = np.zeros(len(chunks), dtype=bool)
-        for i, (c, x, y) in enumerate(zip(chunks, ids_a, ids_b, strict=True)):
-            whole = f" {c}".encode()
-            good[i] = b"".join([self.bytes_a[t] for t in x]) == whole == b"".join([self.bytes_b[t] for t in y])
-        kept = np.flatnonzero(good).tolist()
-        a, b = (np.array([t for i in kept for t in ids[i]], dtype=np.int64) for ids in (ids_a, ids_b))
+        b, sizes_b = np.array(list(chain.from_iterable(ids_b)), dtype=np.int64), np.fromiter(map(len, ids_b), dtype=np.int64, count=len(chunks))
+        wholes = [f" {c}".encode() for c in chunks]
+        lengths = np.fromiter(map(len, wholes), dtype=np.int64, count=len(chunks))
+        good = (sums(self.width_a[a], sizes_a) == lengths) & (sums(self.width_b[b], sizes_b) == lengths)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != b"".join(wholes) or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != b"".join(wholes):
+            # Some chunk isn't given back; rare, so one by one.
+            end_a, end_b = np.cumsum(sizes_a).tolist(), np.cumsum(sizes_b).tolist()
+            list_a, list_b = a.tolist(), b.tolist()
+            for i, whole in enumerate(wholes):
+                good[i] = good[i] and b"".join([self.bytes_a[t] for t in list_a[end_a[i] - int(sizes_a[i]) : end_a[i]]]) == whole == b"".join([self.bytes_b[t] for t in list_b[end_b[i] - int(sizes_b[i]) : end_b[i]]])
+        a, b = a[np.repeat(good, sizes_a)], b[np.repeat(good, sizes_b)]
         owner_a, owner_b = np.repeat(np.arange(len(a)), self.width_a[a]), np.repeat(np.arange(len(b)), self.width_b[b])
         new_a, new_b = (np.concatenate([[True], o[1:] != o[:-1]]) if len(o) else np.zeros(0, bool) for o in (owner_a, owner_b))
-        linked = np.flatnonzero(new_a | new_b)
+        linked, heads = np.flatnonzero(new_a | new_b), np.flatnonzero(new_a & new_b)
         links = a[owner_a[linked]] * WIDTH + b[owner_b[linked]]
-        heads = np.flatnonzero(new_a & new_b)
-        # Each group's first token of A and of B; a chunk's first byte begins a group.
-        group_a, group_b = [*owner_a[heads].tolist(), len(a)], [*owner_b[heads].tolist(), len(b)]
-        chunk_ends = np.cumsum([len(f" {chunks[i]}".encode()) for i in kept])
-        counts = np.zeros((len(chunks), 4), dtype=np.int64)
-        counts[kept, 0], counts[kept, 1] = [len(ids_a[i]) for i in kept], [len(ids_b[i]) for i in kept]
-        ends_g, ends_l = np.searchsorted(heads, chunk_ends), np.searchsorted(linked, chunk_ends)
-        counts[kept, 2], counts[kept, 3] = np.diff(ends_g, prepend=0), np.diff(ends_l, prepend=0)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        said = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(group_a, group_a[1:], group_b, group_b[1:], strict=False)]
-        groups, at = [""] * len(chunks), 0
-        for i, end in zip(kept, ends_g.tolist(), strict=True):
-            groups[i] = ";".join(said[at:end])
-            at = end
+        # A chunk's first byte begins a token of both, so a group.
+        chunk_ends = np.cumsum(np.where(good, lengths, 0))
+        counts = np.stack([np.where(good, sizes_a, 0), np.where(good, sizes_b, 0), np.diff(np.searchsorted(heads, chunk_ends), prepend=0), np.diff(np.searchsorted(linked, chunk_ends), prepend=0)], axis=1)
+        # Most groups have one id of each.
+        at_a, at_b = owner_a[heads], owner_b[heads]
+        text_a, text_b = list(map(self.names.__getitem__, a.tolist())), list(map(self.names.__getitem__, b.tolist()))
+        one = (np.diff(at_a, append=len(a)) == 1) & (np.diff(at_b, append=len(b)) == 1)
+        ends_a, ends_b = np.append(at_a, len(a))[1:].tolist(), np.append(at_b, len(b))[1:].tolist()
+        said = [f"{text_a[i]}|{text_b[k]}" if single else f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for single, i, j, k, m in zip(one.tolist(), at_a.tolist(), ends_a, at_b.tolist(), ends_b, strict=True)]
+        ends = np.cumsum(counts[:, 2]).tolist()
+        groups = [";".join(said[e - n : e]) if n > 1 else said[e - 1] if n else "" for e, n in zip(ends, counts[:, 2].tolist(), strict=True)]
         return good, counts, groups, links
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens of A and B, groups and links; the groups' hash; and the distinct pairs of all texts: the text's place, pair, links."""
         self.numbered.renew()
-        parts = [cut(t) if t else [] for t in texts]
-        numbers, chunks = self.numbered(parts)
+        _, numbers, chunks = self.numbered([t or "" for t in texts])
         doc = np.repeat(np.arange(len(texts)), chunks)
         odd = np.unique(doc[~self.good[numbers]]).tolist()
         counts = np.stack([sums(self.counts[numbers, k], chunks) for k in range(4)], axis=1)
@@ -146,6 +150,12 @@ class Aligner:
         return counts, hashes, doc, distinct[code], np.bincount(where, times, len(keys)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _aligner(a: str, b: str) -> Aligner:
+    """Stays with the worker, so that its next task finds the frequent chunks."""
+    return Aligner(a, b)
+
+
 TABLE = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<int>"
 
 
@@ -155,9 +165,8 @@ def aligned(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     schema = to_arrow_schema(struct)
 
     def run(batches):
-        aligner = None
         for batch in sliced(batches):
-            aligner = aligner or Aligner(a, b)
+            aligner = _aligner(a, b)
             counts, hashes, doc, pair, links = aligner.texts(batch.column("text").to_pylist())
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)).cast(f.type) for x, f in ((pair, schema.field("pairs")), (links.astype(np.int32), schema.field("links")))]

@@ -1,59 +1,108 @@
 """Texts cut where no tokenizer joins what stands on both sides, so that equal chunks are encoded once.
 
 A cut falls before a space between a character that isn't white space and a letter, digit or mark. The byte-level pattern
-begins a word there, and no piece of the sentencepiece model reaches from another character into a U+2581 (pieces.load
+begins a word there, and no piece of the sentencepiece model reaches from another character into a U+2581 (`alignment`
 checks it), so the ids of a text are those of its chunks one after the other.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterable
-from itertools import chain
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
+# Tasks share the cores already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+from tokenizers import Tokenizer  # noqa: E402
+
 CUT = re.compile(r"(?<=\S) (?=[!-~\w])")
-#: Where a space isn't a cut.
-UNCUT = re.compile(r"\A |\s | (?![!-~\w])")
+#: A chunk between two spaces that aren't both cuts, or that a text's end may have left so.
+ODD = re.compile(r"\A(?![!-~\w])|\s\Z| ")
 #: Longest chunk, and most chunks, that a worker remembers.
 LONGEST, REMEMBERED = 64, 1 << 18
 
 
-def cut(text: str) -> list[str]:
-    """The chunks; each but the first follows a space, which is left out."""
-    return CUT.split(text) if UNCUT.search(text) else text.split(" ")
-
-
 class Numbered:
-    """Numbers chunks; `make` is asked once for the new ones of a batch and told where their numbers begin.
+    """Numbers chunks; `make` is given the new ones of a batch, the even ones and the odd ones, whose numbers follow those before.
 
-    What was numbered is forgotten when more than REMEMBERED chunks are known: then `forget` is called, before a batch.
+    When more than REMEMBERED chunks are numbered, `renew`, between batches, keeps the half of them that was met most often and
+    passes their numbers, which become 0, 1, ..., to `keep`.
     """
 
-    def __init__(self, make: Callable[[list[str]], None], forget: Callable[[], None]) -> None:
-        self.make, self.forget, self.known, self.size = make, forget, {}, 0
+    def __init__(self, make: Callable[[list[str], list[str]], None], keep: Callable[[np.ndarray], None]) -> None:
+        self.make, self.keep, self.known, self.size, self.met = make, keep, {}, 0, np.zeros(0, np.int64)
 
     def renew(self) -> None:
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-            self.forget()
-
-    def __call__(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all chunks of the texts, and each text's count of chunks."""
-        texts = list(texts)
-        flat, known = list(chain.from_iterable(texts)), self.known
-        new = [c for c in dict.fromkeys(flat) if c not in known]
+        if self.size <= REMEMBERED:
+            return
+        chunks, numbers = list(self.known), np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))
+        best = np.argsort(-self.met[numbers], kind="stable")[: REMEMBERED // 2]
+        self.keep(numbers[best])
+        # Halved, so that what is met no more goes in time.
+        self.known, self.size, self.met = {chunks[i]: k for k, i in enumerate(best.tolist())}, len(best), self.met[numbers[best]] // 2
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Each text's chunks, the numbers of all, and each text's count. An empty text has none."""
+        # Where all that stands between spaces is even, the spaces are the cuts.
+        parts = [t.split(" ") if t else [] for t in texts]
+        flat, out, new = self._looked_up(parts)
+        odd = {c for c in new if ODD.search(c)}
+        if odd:
+            parts = [p if odd.isdisjoint(p) else CUT.split(t) for p, t in zip(parts, texts, strict=True)]
+            flat, out, new = self._looked_up(parts)
+            odd = [c for c in new if ODD.search(c)]
         if new:
-            self.make(new)
-            numbers = range(self.size, self.size + len(new))
-            known.update(zip(new, numbers, strict=True))
+            apart = set(odd)
+            even = [c for c in new if c not in apart]
+            self.make(even, list(odd))
+            new = [*even, *odd]
+            numbers = dict(zip(new, range(self.size, self.size + len(new)), strict=True))
             self.size += len(new)
-        out = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        for c in new:
-            if len(c) > LONGEST:
-                del known[c]
-        return out, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            missing = np.flatnonzero(out < 0)
+            out[missing] = [numbers[flat[i]] for i in missing.tolist()]
+            self.known.update((c, numbers[c]) for c in even if len(c) <= LONGEST)
+        self.met = np.bincount(out, minlength=self.size) + np.append(self.met, np.zeros(self.size - len(self.met), np.int64))
+        return parts, out, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+
+    def _looked_up(self, parts: list[list[str]]) -> tuple[list[str], np.ndarray, list[str]]:
+        flat = list(chain.from_iterable(parts))
+        out = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        return flat, out, list(dict.fromkeys([flat[i] for i in np.flatnonzero(out < 0).tolist()]))
+
+
+class ByteLevel:
+    """A byte-level tokenizer of the tokenizers library, for chunks."""
+
+    def __init__(self, path: str, special: bool) -> None:
+        """`special`: whether the special tokens' strings in a text are such tokens."""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        self.special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        entries = self.entries()
+        # A character of an entry stands for a byte.
+        self.widths = np.array([len(self.special[i].encode()) if i in self.special else len(entries.get(i, "")) for i in range(max(entries) + 1)], dtype=np.int64)
+
+    def entries(self) -> dict[int, str]:
+        return {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype=np.int64), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def chunks(self, chunks: list[str], even: bool) -> tuple[np.ndarray, np.ndarray]:
+        """`each` of the chunks, every one behind a space. Even chunks are encoded in one text, whose ids are dealt out by their bytes."""
+        if not even or not chunks:
+            return self.each([f" {c}" for c in chunks])
+        text = " " + " ".join(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
+        bounds = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
+        return ids, np.diff(bounds, prepend=0)
 
 
 def places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -34,9 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from tokenizers import Tokenizer
 
-from graphtide.llm.chunks import Numbered, cut, places, sums
+from graphtide.llm.chunks import ByteLevel, Numbered, places, sums
 from graphtide.llm.common import Store, released, sliced
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -56,30 +56,29 @@ class Encoder:
     """Ids of texts, those of equal chunks looked up."""
 
     def __init__(self, path: str, end: int = END) -> None:
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.numbered, self.heads = Numbered(lambda new: self._add([" " + c for c in new]), self._clear), {}
-        self._clear()
-
-    def _clear(self) -> None:
+        self.words, self.end = ByteLevel(path, special=True), end
+        self.numbered = Numbered(self._add, self._keep)
         self.flat, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.array([i for ids in found for i in ids], dtype=np.uint32), sizes
+    def _keep(self, numbers: np.ndarray) -> None:
+        sizes = self.sizes[numbers]
+        self.flat, self.begins, self.sizes = self.flat[places(self.begins[numbers], sizes)], np.cumsum(sizes) - sizes, sizes
 
-    def _add(self, texts: list[str]) -> None:
-        flat, sizes = self._ids(texts)
+    def _add(self, even: list[str], odd: list[str]) -> None:
+        parts = self.words.chunks(even, even=True), self.words.chunks(odd, even=False)
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.sizes, sizes])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, and how many each has."""
         self.numbered.renew()
-        parts = [cut(t) for t in texts]
+        parts, numbers, chunks = self.numbered(texts)
         # A text's first chunk has no space before it.
-        heads, head_sizes = self._ids([p[0] for p in parts])
-        numbers, chunks = self.numbered(p[1:] for p in parts)
+        heads, head_sizes = self.words.each([p[0] if p else "" for p in parts])
+        first = np.zeros(len(numbers), dtype=bool)
+        first[(np.cumsum(chunks) - chunks)[chunks > 0]] = True
+        numbers, chunks = numbers[~first], np.maximum(chunks - 1, 0)
         tails, tail_sizes = self.flat[places(self.begins[numbers], self.sizes[numbers])], sums(self.sizes[numbers], chunks)
         sizes = head_sizes + tail_sizes + 1
         out, begins = np.full(sizes.sum(), self.end, dtype=np.uint32), np.cumsum(sizes) - sizes
@@ -88,6 +87,12 @@ class Encoder:
         return out, sizes
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """Stays with the worker, so that its next task finds the frequent chunks."""
+    return Encoder(path)
+
+
 # ---- one file
 
 
@@ -213,7 +218,7 @@ def write(docs: DataFrame, store: Store, tokenizer: str = TOKENIZER) -> TokenFil
     store.files.mkdirs(store.folder)
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         path, file, writer = f"{folder}/ids-{uuid.uuid4()}.zst", None, None
         for batch in sliced(batches):
             if not writer:
