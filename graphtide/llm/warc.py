@@ -4,8 +4,9 @@ A derivative names its response in WARC-Refers-To and WARC-Refers-To-Target-URI
 and payload digests (and whether they are right) and HTTP headers on. Text is taken from the body without its transfer and content codings. Ids are UUIDs of the source's id and the derivative's kind, so that a retried task
 writes the same records.
 
-Defined results: a null or damaged record, and one with an unknown or broken coding, gives one `metadata` row with a
-non-null `error` and no links; an empty body gives an empty conversion; repeated rows give repeated, equal records. A very
+Defined results: a null or damaged record, and one with an unknown or broken coding or a body that grows beyond INFLATED
+bytes, gives one `metadata` row with a non-null `error` and no links; a gzip or zstandard body may have several members, which
+follow each other; a payload digest is held against the body without its transfer codings; an empty body gives an empty conversion; repeated rows give repeated, equal records. A very
 long page, unclosed tags and comments included, is read in time that grows with its length. Other columns are ignored; the
 key may have any name but those of the result.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from graphtide.llm.common import map_rows
 
 VERSION = "WARC/1.1"
+#: Most bytes that a coding may give for one body; a body that would give more is an error.
+INFLATED = 128 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2024-01-01T00:00:00Z"
 HIDDEN = ("script", "style", "template", "noscript", "head")
@@ -176,22 +179,42 @@ def _dechunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def decoded(http: list[tuple[str, str]], body: bytes) -> bytes:
-    """The body without its transfer coding, then without its content codings; ValueError where one is unknown or broken."""
-    named = lambda header: [x.strip().lower() for k, v in http if k.lower() == header for x in v.split(",") if x.strip()]
-    for coding in [*reversed(named("transfer-encoding")), *reversed(named("content-encoding"))]:
+def _inflated(body: bytes, window: int, most: int) -> bytes:
+    """All members of a gzip body, or one zlib or raw stream. What follows the last member is left out."""
+    parts, left = [], most
+    while True:
+        stream = zlib.decompressobj(window)
+        parts.append(stream.decompress(body, left + 1))
+        left -= len(parts[-1])
+        if left < 0:
+            raise ValueError(f"more than {most} bytes")
+        if not stream.eof:
+            raise ValueError("ends too soon")
+        body = stream.unused_data
+        if window < 16 or not body.startswith(b"\x1f\x8b"):
+            return b"".join(parts)
+
+
+def _named(http: list[tuple[str, str]], header: str) -> list[str]:
+    return [x.strip().lower() for k, v in http if k.lower() == header for x in v.split(",") if x.strip()]
+
+
+def _without(codings: list[str], body: bytes, most: int) -> bytes:
+    for coding in reversed(codings):
         try:
             if coding == "chunked":
                 body = _dechunked(body)
             elif coding in ("gzip", "x-gzip"):
-                body = zlib.decompress(body, 31)
+                body = _inflated(body, 31, most)
             elif coding == "deflate":
                 try:
-                    body = zlib.decompress(body)
+                    body = _inflated(body, 15, most)
                 except zlib.error:
-                    body = zlib.decompress(body, -15)
+                    body = _inflated(body, -15, most)
             elif coding == "zstd":
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                body = zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True).read(most + 1)
+                if len(body) > most:
+                    raise ValueError(f"more than {most} bytes")
             elif coding != "identity":
                 raise ValueError("unknown")
         except (ValueError, zlib.error, zstandard.ZstdError) as e:
@@ -199,6 +222,12 @@ def decoded(http: list[tuple[str, str]], body: bytes) -> bytes:
     return body
 
 
+def decoded(http: list[tuple[str, str]], body: bytes, most: int = INFLATED) -> tuple[bytes, bytes]:
+    """The body without its transfer codings (what a payload digest is of), and without its content codings as well. ValueError where a coding is unknown or broken, or would give more than `most` bytes."""
+    payload = _without(_named(http, "transfer-encoding"), body, most)
+    return payload, _without(_named(http, "content-encoding"), payload, most)
+
+
 def _agrees(said: str | None, data: bytes) -> str:
     """Whether a digest of the source is that of its bytes; 'unchecked' for other digests than SHA-1."""
     if not said or not said.lower().startswith("sha1:"):
@@ -213,7 +242,7 @@ def derive(data: bytes) -> list[tuple]:
         if headers.get("warc-type") != "response":
             raise ValueError(f"not a response: {headers.get('warc-type')}")
         status, http, body = parse_http(block)
-        content = decoded(http, body)
+        payload, content = decoded(http, body)
     except ValueError as e:
         return [("metadata", *[None] * 10, str(e))]
     source, uri, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", "")
@@ -225,7 +254,7 @@ def derive(data: bytes) -> list[tuple]:
         page = content.decode("utf-8", "replace")
     title, lang, links = page_fields(page)
     fields = [("title", title), ("language", lang), ("source-status", status), ("source-content-type", kind), ("source-length", str(len(body)))]
-    fields += [("source-block-digest", _agrees(headers.get("warc-block-digest"), block)), ("source-payload-digest", _agrees(headers.get("warc-payload-digest"), body))]
+    fields += [("source-block-digest", _agrees(headers.get("warc-block-digest"), block)), ("source-payload-digest", _agrees(headers.get("warc-payload-digest"), payload))]
     fields += [("outlink", link) for link in links]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), "conversion": ("text/plain; charset=utf-8", plain_text(page))}
     kept = json.dumps(http, ensure_ascii=False)
