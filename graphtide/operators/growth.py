@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators.prefix import numbered, running_sum
+from graphtide.operators.spanning import walk_steps
+
 LOOP_GAP = 5
 
 
@@ -37,8 +40,13 @@ def prim_steps(edges: list[tuple[int, str, int, int | None]], seed: int) -> dict
 STEPS = "graph_id long, node_id long, step long"
 
 
-def growth_steps(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """graph_id, node_id, step. A graph is walked in one task, as each choice depends on the last; graphs are spread over the cluster. Fails for a graph without the seed node."""
+#: A graph with more edges is walked over tables.
+WALKED = 1 << 17
+
+
+def growth_steps(edges: DataFrame, seed: int = 0, walked: int = WALKED) -> DataFrame:
+    """graph_id, node_id, step. A graph with at most `walked` edges is walked in one task, graphs being spread over the cluster; a larger one over tables, with equal steps. Fails for a graph without the seed node."""
+    kind, picked = dict(edges.dtypes)["graph_id"], edges.select("graph_id", "edge_pos", "type", "from_id", "to_id")
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(p), t, int(a), None if pd.isna(b) else int(b)) for p, t, a, b in zip(pdf.edge_pos, pdf.type, pdf.from_id, pdf.to_id, strict=True)]
@@ -47,7 +55,17 @@ def growth_steps(edges: DataFrame, seed: int = 0) -> DataFrame:
         steps = prim_steps(rows, seed)
         return pd.DataFrame({"graph_id": key[0], "node_id": list(steps), "step": list(steps.values())})
 
-    return edges.select("graph_id", "edge_pos", "type", "from_id", "to_id").groupBy("graph_id").applyInPandas(walk, STEPS.replace("graph_id long", f"graph_id {dict(edges.dtypes)['graph_id']}"))
+    sizes = picked.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("from_id") == seed) | F.coalesce(F.col("to_id") == seed, F.lit(False))).alias("seeded"))
+    large = sizes.filter(F.col("n") > walked)
+    grouped = lambda some: some.groupBy("graph_id").applyInPandas(walk, STEPS.replace("graph_id long", f"graph_id {kind}"))
+    if large.isEmpty():
+        return grouped(picked)
+    without = large.filter("not seeded").first()
+    if without:
+        raise ValueError(f"graph {without['graph_id']} has no node {seed}")
+    joining = picked.join(large, "graph_id", "left_semi").filter("type <> 'G' and from_id <> to_id")
+    seeds = large.select("graph_id", F.lit(seed).cast("long").alias("node_id"), F.lit(0).cast("long").alias("step"))
+    return grouped(picked.join(large, "graph_id", "left_anti")).unionByName(walk_steps(joining, seed).filter("step > 0")).unionByName(seeds)
 
 
 def growth_order(edges: DataFrame, seed: int = 0, steps: DataFrame | None = None) -> DataFrame:
@@ -60,8 +78,7 @@ def growth_order(edges: DataFrame, seed: int = 0, steps: DataFrame | None = None
     grows = (F.col("type") != "G") & (F.col("s_from") != F.col("s_to"))
     first = F.min(F.when(grows, F.col("edge_pos"))).over(Window.partitionBy("graph_id", "step"))
     rows = rows.withColumn("step", step).withColumn("grows", grows).withColumn("kind", F.when(F.col("grows") & (F.col("edge_pos") == first), "growth").otherwise("closure"))
-    seq = F.row_number().over(Window.partitionBy("graph_id").orderBy("step", F.col("kind") == "closure", "edge_pos")).cast("long")
-    return rows.withColumn("seq", seq).drop("s_from", "s_to", "grows")
+    return numbered(rows.drop("s_from", "s_to", "grows"), ["graph_id"], ["step", F.col("kind") == "closure", "edge_pos"], "seq")
 
 
 def dropped_edges(edges: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -91,9 +108,8 @@ def first_seen(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def state_offsets(seen: DataFrame, nodes: DataFrame) -> DataFrame:
     """graph_id, node_id, first_it, dim, offset: nodes take their places in the state vector as they come, by number within a batch."""
-    w = Window.partitionBy("graph_id").orderBy("first_it", "node_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = seen.join(nodes.select("graph_id", "node_id", "dim"), ["graph_id", "node_id"])
-    return rows.withColumn("offset", F.coalesce(F.sum("dim").over(w), F.lit(0)))
+    return running_sum(rows, ["graph_id"], ["first_it", "node_id"], "dim", "offset", inclusive=False)
 
 
 def variables(offsets: DataFrame) -> DataFrame:
@@ -118,8 +134,7 @@ def pose_orders(edges: DataFrame, seq: str = "edge_pos") -> DataFrame:
     """graph_id, node_id, first (the edge that names the pose first), pose_order from 1. Every kind of edge names its first node, P edges their second too."""
     named = endpoints(edges).filter("place = 0 or type = 'P'")
     first = named.groupBy("graph_id", "node_id").agg(F.min(F.struct(F.col(seq).alias("seq"), "place")).alias("m"))
-    order = F.row_number().over(Window.partitionBy("graph_id").orderBy("m.seq", "m.place")).cast("long")
-    return first.select("graph_id", "node_id", F.col("m.seq").alias("first"), order.alias("pose_order"))
+    return numbered(first.select("graph_id", "node_id", F.col("m.seq").alias("first"), "m.place"), ["graph_id"], ["first", "place"], "pose_order").drop("place")
 
 
 def pose_closures(edges: DataFrame, gap: int = LOOP_GAP, seq: str = "edge_pos") -> DataFrame:

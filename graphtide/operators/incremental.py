@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.operators.growth import LoopDetector
-from graphtide.operators.solver import CODES, Factor, Graph, half_logdet, solve, trajectory_rmse
+from graphtide.operators.solver import CODES, Factor, Graph, trajectory_rmse
 
 GATES = ("none", "IGG", "LCG")
 
@@ -200,49 +200,6 @@ def estimates(nodes: DataFrame, edges: DataFrame, config: Config = Config()) ->
     return _each(nodes, edges, None, "node_id long, dim int, x double, y double, theta double", work)
 
 
-def batch_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, dx1, dx2, dx3: one Gauss-Newton step over all edges (to be subtracted)."""
-
-    def work(n, e, t):
-        graph, sizes = build(n, e, max(1, len(e)))
-        h, g = graph.system(sizes[-1][1], sizes[-1][0])
-        dx = np.zeros((sizes[-1][1], 3))
-        dx[graph.layout(sizes[-1][1])] = solve(h, g)
-        return pd.DataFrame({"node_id": graph.ids, "dx1": dx[:, 0], "dx2": dx[:, 1], "dx3": dx[:, 2]})
-
-    return _each(nodes, edges, None, "node_id long, dx1 double, dx2 double, dx3 double", work)
-
-
-def partial_steps(nodes: DataFrame, edges: DataFrame, newest: int = 5, share: float = 0.3) -> DataFrame:
-    """The step of each graph's last `newest` nodes alone, by the part of the factor that they reach."""
-    from graphtide.operators.solver import solve_partly
-
-    def work(n, e, t):
-        graph, sizes = build(n, e, 1)
-        count = sizes[-1][1]
-        h, g = graph.system(count, sizes[-1][0])
-        node, component = graph.layout(count)
-        wanted = np.flatnonzero(node >= count - newest)
-        dx = np.zeros((count, 3))
-        dx[node[wanted], component[wanted]] = solve_partly(h, np.linalg.cholesky(h), g, wanted, share)
-        last = np.unique(node[wanted])
-        return pd.DataFrame({"node_id": graph.ids[last], "dx1": dx[last, 0], "dx2": dx[last, 1], "dx3": dx[last, 2]})
-
-    return _each(nodes, edges, None, "node_id long, dx1 double, dx2 double, dx3 double", work)
-
-
-def log_determinants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, n_vars, half_logdet over all edges at the given states."""
-
-    def work(n, e, t):
-        graph, sizes = build(n, e, max(1, len(e)))
-        h, g = graph.system(sizes[-1][1], sizes[-1][0])
-        lower = np.linalg.cholesky(h)
-        return pd.DataFrame({"n_vars": [len(g)], "half_logdet": [half_logdet(lower)]})
-
-    return _each(nodes, edges, None, "n_vars long, half_logdet double", work)
-
-
 def whitened3(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """graph_id, edge_pos, r1, r2, r3 of P edges: residuals times the square root of the information, in Arrow batches."""
     from graphtide.operators.linearise import linearised

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphtide.functions import geometry as geo
 from graphtide.functions import residuals
-from graphtide.operators import growth, incremental, linearise, linsys, metrics, plots
+from graphtide.operators import elimination, growth, incremental, linearise, linsys, metrics, plots
+from graphtide.operators.kept import kept
 from graphtide.sources import fixture, text
 
 BATCH = 4
@@ -293,23 +294,48 @@ def converged(spark, sf_dir):
 
 
 def gn_step(spark, sf_dir):
-    return _rounded(incremental.batch_steps(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("seq", F.col("edge_pos"))))
+    return _rounded(elimination.steps(_nodes(spark, sf_dir), _edges(spark, sf_dir)))
 
 
 def gn_step_image(spark, sf_dir):
     """H dx of the steps that gn_step finds, which is the gradient if they are right. The small shift keeps numbers away from where rounding would change."""
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
-    dx = incremental.batch_steps(nodes, edges.withColumn("seq", F.col("edge_pos")))
+    dx = elimination.steps(nodes, edges)
     found = linsys.image(linsys.normal_blocks(edges, nodes), dx)
     return found.select("graph_id", "node_id", *[(F.round(F.col(f"q{i}") + SHIFT, NORMAL_DIGITS) + 0.0).alias(f"q{i}") for i in (1, 2, 3)])
 
 
 def partial_solve(spark, sf_dir):
-    return _rounded(incremental.partial_steps(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("seq", F.col("edge_pos"))))
+    return _rounded(elimination.newest_steps(_nodes(spark, sf_dir), _edges(spark, sf_dir)))
 
 
 def logdet(spark, sf_dir):
-    return _rounded(incremental.log_determinants(_nodes(spark, sf_dir), _edges(spark, sf_dir).withColumn("seq", F.col("edge_pos"))))
+    return _rounded(elimination.log_determinants(_nodes(spark, sf_dir), _edges(spark, sf_dir)))
+
+
+# ---- one graph of all events, over tables throughout
+
+
+def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Kept, as several tables are made of them."""
+    return kept(fixture.nodes(spark, sf_dir, whole=True)), kept(fixture.with_information(fixture.edges(spark, sf_dir, whole=True)))
+
+
+def one_graph_growth(spark, sf_dir):
+    edges = kept(fixture.edges(spark, sf_dir, whole=True))
+    return growth.growth_order(edges, steps=growth.growth_steps(edges, walked=0)).select("edge_pos", "seq", "step", "kind")
+
+
+def one_graph_step_image(spark, sf_dir):
+    """H dx of the step that block elimination finds, as in gn_step_image."""
+    nodes, edges = _whole(spark, sf_dir)
+    blocks, gradient = kept(linsys.normal_blocks(edges, nodes)), linsys.gradient_blocks(edges, nodes)
+    found = linsys.image(blocks, elimination.eliminate(blocks, gradient).solution())
+    return found.select("node_id", *[(F.round(F.col(f"q{i}") + SHIFT, NORMAL_DIGITS) + 0.0).alias(f"q{i}") for i in (1, 2, 3)])
+
+
+def one_graph_logdet(spark, sf_dir):
+    return _rounded(elimination.log_determinants(*_whole(spark, sf_dir)).select("n_vars", "half_logdet"))
 
 
 def _small(spark, sf_dir):
@@ -373,7 +399,7 @@ def plot_highlight(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        pose_nodes, landmark_nodes, edges_pos, info_symmetrised, dangling_edges, parse_g2o_nodes, parse_g2o_edges, parse_toro, parse_toro_nodes, batch_assign, first_seen_batch, new_nodes_per_batch, node_offsets, var2node, seeded_states, incidence, growth_closure_order, growth_candidates, disconnected_edges, loop_closure_pose, loop_closure_landmark, wrap_angle, se2_matrix, se2_vector, se2_inverse, se2_compose, jacobian_blocks, whitened_residual, whitened_residual_pose, chi2_per_graph, chi2_by_type, normalised_error, ate_alignment, ate_rmse, normal_blocks, gradient_blocks, affected_vars, affected_edges, converged, gn_step, gn_step_image, partial_solve, logdet, info_gain, cumulative_flops, run_summary, incremental_at_guess, plot_segments, plot_new_gnss, plot_highlight,
+        pose_nodes, landmark_nodes, edges_pos, info_symmetrised, dangling_edges, parse_g2o_nodes, parse_g2o_edges, parse_toro, parse_toro_nodes, batch_assign, first_seen_batch, new_nodes_per_batch, node_offsets, var2node, seeded_states, incidence, growth_closure_order, growth_candidates, disconnected_edges, loop_closure_pose, loop_closure_landmark, wrap_angle, se2_matrix, se2_vector, se2_inverse, se2_compose, jacobian_blocks, whitened_residual, whitened_residual_pose, chi2_per_graph, chi2_by_type, normalised_error, ate_alignment, ate_rmse, normal_blocks, gradient_blocks, affected_vars, affected_edges, converged, gn_step, gn_step_image, partial_solve, logdet, one_graph_growth, one_graph_step_image, one_graph_logdet, info_gain, cumulative_flops, run_summary, incremental_at_guess, plot_segments, plot_new_gnss, plot_highlight,
     )
 } | {
     "residual_pose_pose": _residual("P", 3),

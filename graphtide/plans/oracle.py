@@ -207,3 +207,14 @@ ORACLE_SQL = {
     "plot_new_gnss": q("select graph_id, min(edge_pos) as edge_pos, z1, z2 from edges where type = 'G' and edge_pos > 40 group by graph_id, z1, z2"),
     "plot_highlight": q("select graph_id, node_id, x, y from nodes where exists (select 1 from moved m where m.graph_id = nodes.graph_id and m.node_id = nodes.node_id)", BATCHED),
 }
+
+
+def one(sql: str) -> str:
+    """The same SQL over one graph of all events."""
+    return sql.replace("user_id as graph_id", "cast(0 as bigint) as graph_id").replace("partition by user_id order by", "order by").replace("1000000 + e % 5", "1000000000000 + e % 5")
+
+
+ORACLE_SQL |= {
+    "one_graph_growth": one(q("select edge_pos, row_number() over (order by step, kind = 'closure', edge_pos) as seq, step, kind from stepped", GROWTH)),
+    "one_graph_step_image": f"select node_id, q1, q2, q3 from ({one(_gradient('q', ' + 3e-6'))})",
+}
