@@ -13,6 +13,8 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Tasks share the cores already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -22,7 +24,7 @@ CUT = re.compile(r"(?<=\S) (?=[!-~\w])")
 #: A chunk between two spaces that aren't both cuts, or that a text's end may have left so.
 ODD = re.compile(r"\A(?![!-~\w])|\s\Z| ")
 #: Longest chunk, and most chunks, that a worker remembers.
-LONGEST, REMEMBERED = 64, 1 << 18
+LONGEST, REMEMBERED = 64, 1 << 20
 
 
 class Numbered:
@@ -44,33 +46,45 @@ class Numbered:
         # Halved, so that what is met no more goes in time.
         self.known, self.size, self.met = {chunks[i]: k for k, i in enumerate(best.tolist())}, len(best), self.met[numbers[best]] // 2
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Each text's chunks, the numbers of all, and each text's count. An empty text has none."""
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's first chunk, the numbers of all chunks, and each text's count. An empty text has none."""
+        if not texts:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         # Where all that stands between spaces is even, the spaces are the cuts.
-        parts = [t.split(" ") if t else [] for t in texts]
-        flat, out, new = self._looked_up(parts)
-        odd = {c for c in new if ODD.search(c)}
-        if odd:
-            parts = [p if odd.isdisjoint(p) else CUT.split(t) for p, t in zip(parts, texts, strict=True)]
-            flat, out, new = self._looked_up(parts)
-            odd = [c for c in new if ODD.search(c)]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        own, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = np.fromiter(map(self.known.get, own, repeat(-1)), dtype=np.int64, count=len(own))
+        # Odd ones are never remembered.
+        unknown = np.flatnonzero(found < 0).tolist()
+        odd = np.zeros(len(own), dtype=bool)
+        odd[[i for i in unknown if ODD.search(own[i])]] = True
+        again = np.add.reduceat(odd[at], offsets[:-1]) > 0
+        recut = {i: CUT.split(texts[i]) if texts[i] else [] for i in np.flatnonzero(again).tolist()}
+        counts = np.diff(offsets)
+        used = np.zeros(len(own), dtype=bool)
+        used[at[np.repeat(~again, counts)]] = True
+        fresh = [i for i in unknown if used[i]]
+        new = dict.fromkeys([own[i] for i in fresh]) | dict.fromkeys(c for p in recut.values() for c in p if c not in self.known)
         if new:
-            apart = set(odd)
-            even = [c for c in new if c not in apart]
-            self.make(even, list(odd))
-            new = [*even, *odd]
-            numbers = dict(zip(new, range(self.size, self.size + len(new)), strict=True))
+            apart = [c for c in new if ODD.search(c)] if recut else []
+            gone = set(apart)
+            even = [c for c in new if c not in gone]
+            self.make(even, apart)
+            new = dict(zip([*even, *apart], range(self.size, self.size + len(new)), strict=True))
             self.size += len(new)
-            missing = np.flatnonzero(out < 0)
-            out[missing] = [numbers[flat[i]] for i in missing.tolist()]
-            self.known.update((c, numbers[c]) for c in even if len(c) <= LONGEST)
+            self.known.update((c, new[c]) for c in even if len(c) <= LONGEST)
+            found[fresh] = [new[own[i]] for i in fresh]
+        out, heads = found[at], [own[i] for i in at[offsets[:-1]].tolist()]
+        if recut:
+            slices = np.split(out, offsets[1:-1])
+            for i, p in recut.items():
+                slices[i] = np.array([new[c] if c in new else self.known[c] for c in p], dtype=np.int64)
+                heads[i], counts[i] = p[0] if p else "", len(p)
+            out = np.concatenate(slices)
         self.met = np.bincount(out, minlength=self.size) + np.append(self.met, np.zeros(self.size - len(self.met), np.int64))
-        return parts, out, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-
-    def _looked_up(self, parts: list[list[str]]) -> tuple[list[str], np.ndarray, list[str]]:
-        flat = list(chain.from_iterable(parts))
-        out = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        return flat, out, list(dict.fromkeys([flat[i] for i in np.flatnonzero(out < 0).tolist()]))
+        return heads, out, counts
 
 
 class ByteLevel:

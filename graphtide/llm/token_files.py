@@ -73,12 +73,12 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, and how many each has."""
         self.numbered.renew()
-        parts, numbers, chunks = self.numbered(texts)
+        first, numbers, chunks = self.numbered(texts)
         # A text's first chunk has no space before it.
-        heads, head_sizes = self.words.each([p[0] if p else "" for p in parts])
-        first = np.zeros(len(numbers), dtype=bool)
-        first[(np.cumsum(chunks) - chunks)[chunks > 0]] = True
-        numbers, chunks = numbers[~first], np.maximum(chunks - 1, 0)
+        heads, head_sizes = self.words.each(first)
+        tail = np.ones(len(numbers), dtype=bool)
+        tail[(np.cumsum(chunks) - chunks)[chunks > 0]] = False
+        numbers, chunks = numbers[tail], np.maximum(chunks - 1, 0)
         tails, tail_sizes = self.flat[places(self.begins[numbers], self.sizes[numbers])], sums(self.sizes[numbers], chunks)
         sizes = head_sizes + tail_sizes + 1
         out, begins = np.full(sizes.sum(), self.end, dtype=np.uint32), np.cumsum(sizes) - sizes
