@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from array import array
 from collections import Counter
+from collections.abc import Callable
 from itertools import repeat
 from operator import concat
 from typing import NamedTuple
@@ -414,16 +416,28 @@ def frequent_table(docs: DataFrame, pieces: Pieces) -> dict[str, tuple[int, ...]
     return found
 
 
+_OWN: dict[str, Encoder] = {}
+
+
+def _own(key: str, made: Callable[[], Encoder]) -> Encoder:
+    """The worker's encoder for this call of `encode`, which stays for its next task; that of another call goes."""
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = made()
+    return _OWN[key]
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip: whether decoding the ids gives the text back (U+2581 as a space)."""
     pieces = load(model)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, frequent_table(docs, pieces)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
+    key = str(uuid.uuid4())
+
     def run(batches):
-        encoder = None
         for batch in sliced(batches):
-            encoder = encoder or Encoder(*shared.value)
+            encoder = _own(key, lambda: Encoder(*shared.value))
             parts, exact = [], []
             for text in batch.column(1).to_pylist():
                 parts.append(encoder.packed(text))
