@@ -1,8 +1,9 @@
-"""Tables that cut lineage: checkpoints in the folder that the driver and all executors share."""
+"""Tables that cut lineage, in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df`, computed now; a lost executor costs no more than what follows."""
+    """`df` as a written table, which goes with the application; a lost executor costs no more than what follows.
+
+    Unlike a checkpoint it brings no constraints or partitionings along, which loops that join a table with itself would double at each step.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4()}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed now; what Spark knows of its partitioning stays known."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

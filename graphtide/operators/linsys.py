@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.functions import geometry as geo
-from graphtide.operators.kept import kept
+from graphtide.operators.kept import checkpointed
 from graphtide.operators.linearise import linearised, weights
 
 H = [f"h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
@@ -95,7 +95,7 @@ def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float
     A step is one join of the blocks with the direction and grouped sums; a few numbers go to the driver. Each step's vectors are checkpointed, so that a lost executor costs one step.
     """
     off = blocks.filter("row_node <> col_node")
-    whole = kept(blocks.unionByName(off.select("graph_id", F.col("col_node").alias("row_node"), F.col("row_node").alias("col_node"), *[F.col(f"h{j}{i}").alias(f"h{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)])))
+    whole = checkpointed(blocks.unionByName(off.select("graph_id", F.col("col_node").alias("row_node"), F.col("row_node").alias("col_node"), *[F.col(f"h{j}{i}").alias(f"h{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)])))
     inv = _inverse3(_matrix("h"))
     diagonal = whole.filter("row_node = col_node").select("graph_id", F.col("row_node").alias("node_id"), *[inv[i][j].alias(f"v{i + 1}{j + 1}") for i in range(3) for j in range(3)])
     zs = geo.multiply(_matrix("v"), [[F.col(f"r{i}")] for i in (1, 2, 3)])
@@ -110,7 +110,7 @@ def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float
 
     state = gradient.join(diagonal, ["graph_id", "node_id"]).select("graph_id", "node_id", *G, *[F.lit(0.0).alias(f"x{i}") for i in (1, 2, 3)], *[F.col(f"g{i}").alias(f"r{i}") for i in (1, 2, 3)], *[F.col(f"v{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)]).withColumns(with_z)
     state = state.withColumns({f"p{i}": F.col(f"z{i}") for i in (1, 2, 3)})
-    state = kept(state.join(total(state, rz=dot("r", "z"), rr=dot("r", "r")).withColumn("goal", F.col("rr") * tolerance**2), "graph_id"))
+    state = checkpointed(state.join(total(state, rz=dot("r", "z"), rr=dot("r", "r")).withColumn("goal", F.col("rr") * tolerance**2), "graph_id"))
     going = state.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.first("rr").alias("rr")).filter("rr > 0").agg(F.max("n").alias("n")).first()
     unknowns, step, best, best_at = 3 * (going["n"] or 0), 0, float("inf"), 0
     while unknowns and (most is None or step < most):
@@ -120,7 +120,7 @@ def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float
         alpha = F.when(F.col("rr") > F.col("goal"), F.col("rz") / F.col("pq")).otherwise(0.0)
         moved = moving.join(total(moving, pq=dot("p", "q")), "graph_id").withColumn("alpha", alpha)
         moved = moved.withColumns({f"x{i}": F.col(f"x{i}") + F.col("alpha") * F.col(f"p{i}") for i in (1, 2, 3)} | {f"r{i}": F.col(f"r{i}") - F.col("alpha") * F.col(f"q{i}") for i in (1, 2, 3)}).withColumns(with_z)
-        moved = kept(moved.drop("q1", "q2", "q3", "alpha").withColumn("bad", F.coalesce((F.col("rr") > F.col("goal")) & ~(F.col("pq") > 0), F.lit(True))).drop("pq").withColumnRenamed("rz", "old"))
+        moved = checkpointed(moved.drop("q1", "q2", "q3", "alpha").withColumn("bad", F.coalesce((F.col("rr") > F.col("goal")) & ~(F.col("pq") > 0), F.lit(True))).drop("pq").withColumnRenamed("rz", "old"))
         sums = total(moved.drop("rr"), rz=dot("r", "z"), rr=dot("r", "r"))
         beta = F.when(F.col("old") != 0, F.col("rz") / F.col("old")).otherwise(0.0)
         state = moved.drop("rr").join(sums, "graph_id").withColumns({f"p{i}": F.col(f"z{i}") + beta * F.col(f"p{i}") for i in (1, 2, 3)}).drop("old")
@@ -134,7 +134,7 @@ def conjugate_gradients(blocks: DataFrame, gradient: DataFrame, tolerance: float
             best, best_at = seen["worst"], step
         elif most is None and step - best_at > unknowns:
             raise ArithmeticError(f"conjugate gradients: no progress since step {best_at}; the worst residual is {best**0.5 * tolerance:.3g} of |g|, not {tolerance:.3g}")
-    state = kept(state.select("graph_id", "node_id", *G, "x1", "x2", "x3"))
+    state = checkpointed(state.select("graph_id", "node_id", *G, "x1", "x2", "x3"))
     left = state.join(image(state, "x"), ["graph_id", "node_id"]).withColumns({f"r{i}": F.col(f"g{i}") - F.col(f"q{i}") for i in (1, 2, 3)})
     sizes = total(left, rr=dot("r", "r"), gg=dot("g", "g")).select("graph_id", F.when(F.col("gg") > 0, F.sqrt(F.col("rr") / F.col("gg"))).otherwise(0.0).alias("residual"))
     return state.join(sizes, "graph_id").select("graph_id", "node_id", *[F.col(f"x{i}").alias(f"dx{i}") for i in (1, 2, 3)], "residual")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphtide.operators import growth, incremental, linsys, metrics, plots
+from graphtide.operators import elimination, growth, incremental, linsys, metrics, plots
 from graphtide.operators.solver import Factor, align, elimination_parents, half_logdet, reach, solve, solve_partly, trajectory_rmse, whitening
 from graphtide.sources import fixture, presets, text
 from graphtide.streaming import edges as edge_stream
@@ -186,7 +186,7 @@ def test_blocks_gradients_and_solvers_agree(spark, data_dir):
     nodes, edges = frames(spark, data_dir)
     nodes, edges = (t.filter("graph_id < 3") for t in (nodes, edges))
     blocks, gradient = linsys.normal_blocks(edges, nodes), linsys.gradient_blocks(edges, nodes)
-    exact = {(r["graph_id"], r["node_id"]): r for r in incremental.batch_steps(nodes, edges.withColumn("seq", F.col("edge_pos"))).collect()}
+    exact = {(r["graph_id"], r["node_id"]): r for r in elimination.steps(nodes, edges).collect()}
     for g in range(3):
         graph, sizes = incremental.build(nodes.filter(F.col("graph_id") == g).toPandas().sort_values("node_id"), edges.filter(F.col("graph_id") == g).orderBy("edge_pos").toPandas())
         h, grad = graph.system(sizes[-1][1], sizes[-1][0])
@@ -205,7 +205,7 @@ def test_conjugate_gradients_on_a_chain(spark):
     rows = [(0, i, i, 3, float(i), 0.1 * (i % 3), 0.0) for i in range(8)]
     nodes = spark.createDataFrame([(r[0], r[1], r[3], *r[4:]) for r in rows], "graph_id long, node_id long, dim int, x double, y double, theta double")
     edges = fixture.with_information(spark.createDataFrame([(0, i + 1, "P", i, i + 1, 1.0, 0.0, 0.05) for i in range(7)] + [(0, 8, "G", 7, None, 6.5, 0.3, None)], "graph_id long, edge_pos long, type string, from_id long, to_id long, z1 double, z2 double, z3 double"))
-    exact = {r["node_id"]: r for r in incremental.batch_steps(nodes, edges.withColumn("seq", F.col("edge_pos"))).collect()}
+    exact = {r["node_id"]: r for r in elimination.steps(nodes, edges).collect()}
     got = linsys.conjugate_gradients(linsys.normal_blocks(edges, nodes), linsys.gradient_blocks(edges, nodes), tolerance=1e-10, most=40).collect()
     assert len(got) == 8
     for r in got:
