@@ -77,6 +77,10 @@ def _eliminated(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(values, columns=V).assign(kind=kind, a=a, b=pd.array(b, dtype="Int64"))
 
     nothing = lambda k: [None] * k
+    if not len(border):
+        whole = np.full((len(inner) + 1, 9), np.nan)
+        whole[:-1, :3], whole[-1, 0] = back[:, -1].reshape(-1, 3), logdet
+        return pd.DataFrame(whole, columns=V).assign(kind=[CONSTANT] * len(inner) + [DETERMINANT], a=[*inner.tolist(), 0], b=pd.array(nothing(len(whole)), dtype="Int64"))
     i, j = np.triu_indices(len(border))
     complement = -(w.T @ w).reshape(len(border), 3, len(border), 3).transpose(0, 2, 1, 3)[i, j].reshape(-1, 9)
     p, q = np.repeat(np.arange(len(inner)), len(border)), np.tile(np.arange(len(border)), len(inner))
