@@ -2,7 +2,8 @@
 
 The edges of a graph come in batches. After each, the gain of information over the last increment and the loop-closure
 flag decide whether all variables are solved for or the new ones only; iterations go on with the variables of nodes
-that still move. A graph's increments depend on each other and run in one task; graphs run side by side.
+that still move. A graph's increments depend on each other and run in one task; graphs run side by side, small ones of a
+task in steps that many graphs take at once (`lockstep`).
 
 A graph may diverge. A step after which the matrix has no factor, or that isn't finite, is taken back, and its increment is
 `failed`: the state is the last that had a factor. Where it had none to begin with, half_logdet and di are null, the gate
@@ -11,6 +12,7 @@ counts a gain as none and no step is made. Later increments go on from that stat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphtide.operators import lockstep
 from graphtide.operators.growth import LoopDetector
 from graphtide.operators.solver import CODES, Factor, Graph, trajectory_rmse
 
 GATES = ("none", "IGG", "LCG")
+#: Graphs of at most so many nodes go in lockstep, as many at once; so many graphs or rows are read before they are cut into batches.
+SMALL, SIDE_BY_SIDE = 256, 256
+READ_GRAPHS, READ_ROWS = 8 * SIDE_BY_SIDE, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -184,9 +190,68 @@ def _each(nodes: DataFrame, edges: DataFrame, truth: DataFrame | None, schema: s
     return rows.repartition(tasks, "graph_id").groupBy("graph_id").applyInPandas(one, f"graph_id {kind}, {schema}")
 
 
+def run_many(parts: list[tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame | None]], config: Config, small: int = SMALL) -> list[list[tuple]]:
+    """The tuples of `run` for each of the (nodes, edges, truth), small graphs side by side."""
+    out: list[list[tuple]] = [[] for _ in parts]
+    ready = []
+    for i, (nodes, edges, truth) in enumerate(parts):
+        if len(nodes) > small:
+            out[i] = run(nodes, edges, truth, config)[0]
+            continue
+        graph, sizes = build(nodes, edges, config.batch)
+        detector, at, closures = LoopDetector(config.loop_gap), 0, []
+        stream = [(t, int(a), None if pd.isna(b) else int(b)) for t, a, b in zip(edges.type.tolist(), edges.from_id.tolist(), edges.to_id.tolist(), strict=True)]
+        for end, _ in sizes:
+            closures.append(detector.batch(stream[at:end]))
+            at = end
+        real = {} if truth is None else {int(n): (x, y) for n, x, y in zip(truth.node_id.tolist(), truth.x.tolist(), truth.y.tolist(), strict=True)}
+        ready.append((int((graph.dims == 3).sum()), len(stream), i, (graph, sizes, closures, real)))
+    # Graphs of one size waste the least.
+    ready.sort(key=lambda r: r[:3])
+    for at in range(0, len(ready), SIDE_BY_SIDE):
+        some = ready[at : at + SIDE_BY_SIDE]
+        for (_, _, i, _), rows in zip(some, lockstep.run([r[3] for r in some], config), strict=True):
+            out[i] = rows
+    return out
+
+
 def increments(nodes: DataFrame, edges: DataFrame, truth: DataFrame | None = None, config: Config = Config()) -> DataFrame:  # noqa: B008
     """One row for each increment of each graph. Takes edges with seq and information. Skipped increments have null errors; of failed ones see above."""
-    return _each(nodes, edges, truth, INCREMENTS, lambda n, e, t: pd.DataFrame(run(n, e, t, config)[0], columns=COLUMNS).astype({c: "Float64" for c in ("half_logdet", "di", "err", "ate_rmse")}))
+    kind = dict(edges.dtypes)["graph_id"]
+
+    def graphs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole graphs, each graph's rows together."""
+        starts = np.flatnonzero(np.diff(pd.factorize(pdf.graph_id, use_na_sentinel=False)[0], prepend=-1))
+        parts, names = [], []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            part = _parts(pdf.iloc[a:b])
+            if len(part[1]):
+                parts.append(part)
+                names.append(pdf.graph_id.iloc[a])
+        for name, rows in zip(names, run_many(parts, config), strict=True):
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({c: "Float64" for c in ("half_logdet", "di", "err", "ate_rmse")}).assign(graph_id=name)[["graph_id", *COLUMNS]]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, seen = [], 0, 0
+        for pdf in batches:
+            held.append(pdf)
+            rows, seen = rows + len(pdf), seen + pdf.graph_id.nunique()
+            if rows >= READ_ROWS or seen >= READ_GRAPHS:
+                every = pd.concat(held, ignore_index=True)
+                # The last graph may go on.
+                same = pd.factorize(every.graph_id, use_na_sentinel=False)[0]
+                end = int(np.searchsorted(same, same[-1]))
+                if end:
+                    yield from graphs(every.iloc[:end])
+                held, rows, seen = [every.iloc[end:]], len(every) - end, 1
+        if rows:
+            yield from graphs(pd.concat(held, ignore_index=True))
+
+    tagged = _tagged(nodes, edges, truth)
+    spark = tagged.sparkSession
+    # A graph's work is far larger than its bytes, by which small partitions would be merged; a stated number is kept.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return tagged.repartition(tasks, "graph_id").sortWithinPartitions("graph_id").mapInPandas(work, f"graph_id {kind}, {INCREMENTS}")
 
 
 def estimates(nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008

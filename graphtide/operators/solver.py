@@ -109,11 +109,7 @@ class Factor:
         self.inverse: list[np.ndarray] = [np.zeros((0, 0))] * -(-n // self.PANEL)
         self.begin = [0] * len(self.inverse)
         self.blocks, self.sides = np.zeros((len(graph.kind), 6, 6)), np.zeros((len(graph.kind), 6))
-        # The factor's filling by nodes: earlier neighbours, the columns of each row, how many rows a column has.
-        nodes = len(graph.dims)
-        self.near: list[set[int]] = [set() for _ in range(nodes)]
-        self.columns: list[list[int]] = []
-        self.parent, self.rows, self.changed = np.full(nodes, -1), np.zeros(nodes, dtype=np.int64), 0
+        self.fill = Filling(graph)
 
     def _anchor(self) -> None:
         first = np.arange(self.graph.dims[0])
@@ -135,9 +131,7 @@ class Factor:
         at = self.graph.ends[e]
         np.minimum.at(self.first, at, at.min(axis=1)[:, None])
         for a, b in zip(self.graph.a[e].tolist(), self.graph.b[e].tolist(), strict=True):
-            if b >= 0 and a != b:
-                self.near[max(a, b)].add(min(a, b))
-                self.changed = min(self.changed, max(a, b))
+            self.fill.near_by(a, b)
         self.n_edges = n_edges
         self.blocks[e], self.sides[e] = self.graph.products(e)
         self._add(e, self.blocks[e], self.sides[e])
@@ -202,7 +196,28 @@ class Factor:
         return x
 
     def filling(self, n_nodes: int) -> np.ndarray:
-        """How many entries each variable's column of the factor has, by the elimination tree of the nodes. It doesn't change with the states."""
+        """How many entries each variable's column of the factor has. It doesn't change with the states."""
+        return self.fill.columns_of(n_nodes)
+
+
+class Filling:
+    """The factor's filling by nodes: earlier neighbours, the columns of each row, how many rows a column has."""
+
+    def __init__(self, graph: Graph) -> None:
+        nodes = len(graph.dims)
+        self.graph = graph
+        self.near: list[set[int]] = [set() for _ in range(nodes)]
+        self.columns: list[list[int]] = []
+        self.parent, self.rows, self.changed = np.full(nodes, -1), np.zeros(nodes, dtype=np.int64), 0
+
+    def near_by(self, a: int, b: int) -> None:
+        """Takes in an edge (b < 0: unary)."""
+        if b >= 0 and a != b:
+            self.near[max(a, b)].add(min(a, b))
+            self.changed = min(self.changed, max(a, b))
+
+    def columns_of(self, n_nodes: int) -> np.ndarray:
+        """How many entries each variable's column of the factor has, by the elimination tree of the nodes."""
         dims = self.graph.dims
         for i in range(self.changed, len(self.columns)):
             self.rows[self.columns[i]] -= dims[i]
