@@ -13,6 +13,7 @@ Cholesky factor gets nulls; others are untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from graphtide.operators.growth import first_seen
 from graphtide.operators.kept import kept
-from graphtide.operators.linsys import G, H, gradient_blocks, normal_blocks
+from graphtide.operators.linsys import G, H, system
 from graphtide.operators.prefix import numbered
 
 #: Nodes of a range at first and at most.
 SIZE, LARGEST = 256, 2048
+#: Small graphs that are solved as one stack, and rows that a task reads before it solves them.
+STACK, READ = 16, 1 << 17
 V = [f"v{i}" for i in range(1, 10)]
 #: What a range gives: blocks and gradients to be added to the border's, the solution's dependence on the border, its constant, the determinant.
 BLOCK, SIDE, NEEDS, CONSTANT, DETERMINANT = range(5)
@@ -92,6 +95,90 @@ def _eliminated(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def _together(pdf: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """_eliminated of ranges without a border, stacked: `group` numbers the rows' ranges, in ascending order. (range of each row, rows)."""
+    side = pdf.b.isna().to_numpy()
+    a = pdf.a.to_numpy(np.int64)
+    own = np.flatnonzero(~side & (pdf.b.to_numpy(float) == a))
+    own = own[np.lexsort((a[own], group[own]))]
+    of, node = group[own], a[own]
+    starts = np.searchsorted(of, np.arange(int(group[-1]) + 2))
+    sizes, place = np.diff(starts), np.arange(len(own)) - starts[of]
+    order = np.lexsort((node, of))
+    names, values = pd.MultiIndex.from_arrays([of[order], node[order]]), pdf[V].to_numpy(float)
+    at = lambda rows, ids: place[order[names.get_indexer(pd.MultiIndex.from_arrays([group[rows], ids]))]]
+    blocks, sides = np.flatnonzero(~side), np.flatnonzero(side)
+    row, column, side_row = at(blocks, a[blocks]), at(blocks, pdf.b.to_numpy(float)[blocks].astype(np.int64)), at(sides, a[sides])
+    block_of, side_of, three = group[blocks], group[sides], np.arange(3)
+    solved, logdet = np.full((len(own), 3), np.nan), np.full(len(sizes), np.nan)
+    by_size = np.argsort(sizes, kind="stable")
+    for at_ in range(0, len(by_size), STACK):
+        some = by_size[at_ : at_ + STACK]
+        most = int(sizes[some].max())
+        stacked = np.full(len(sizes), -1)
+        stacked[some] = np.arange(len(some))
+        h, g = np.zeros((len(some), most, 3, most, 3)), np.zeros((len(some), most, 3))
+        mine = np.flatnonzero(stacked[block_of] >= 0)
+        q, i, j, m = stacked[block_of[mine]], row[mine], column[mine], values[blocks[mine]].reshape(-1, 3, 3)
+        h[q[:, None, None], i[:, None, None], three[:, None], j[:, None, None], three] = m
+        off = i != j
+        h[q[off][:, None, None], j[off][:, None, None], three[:, None], i[off][:, None, None], three] = m[off].transpose(0, 2, 1)
+        mine = np.flatnonzero(stacked[side_of] >= 0)
+        g[stacked[side_of[mine]], side_row[mine]] = values[sides[mine], :3]
+        n = 3 * most
+        h, g, d = h.reshape(-1, n, n), g.reshape(-1, n), np.arange(n)
+        # A landmark's third row is empty, and so are rows beyond a range's nodes.
+        h[:, d, d] = np.where((h[:, d, d] == 0) & ((d % 3 == 2) | (d >= 3 * sizes[some][:, None])), 1, h[:, d, d])
+        good = np.ones(len(some), dtype=bool)
+        try:
+            lower = np.linalg.cholesky(h)
+        except np.linalg.LinAlgError:
+            lower = np.zeros_like(h)
+            for k in range(len(some)):
+                try:
+                    lower[k] = np.linalg.cholesky(h[k])
+                except np.linalg.LinAlgError:
+                    good[k], h[k], lower[k] = False, np.eye(n), np.eye(n)
+        x = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        x[~good] = np.nan
+        logdet[some] = np.where(good, np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1), np.nan)
+        mine = np.flatnonzero(stacked[of] >= 0)
+        solved[mine] = x.reshape(len(some), most, 3)[stacked[of[mine]], place[mine]]
+    whole = np.full((len(own) + len(sizes), 9), np.nan)
+    whole[: len(own), :3], whole[len(own) :, 0] = solved, logdet
+    rows = pd.DataFrame(whole, columns=V).assign(kind=np.repeat([CONSTANT, DETERMINANT], [len(own), len(sizes)]), a=np.concatenate([node, np.zeros(len(sizes), dtype=np.int64)]), b=pd.array([None] * len(whole), dtype="Int64"))
+    return np.concatenate([of, np.arange(len(sizes))]), rows
+
+
+def _whole_graphs(tagged: DataFrame, graph: str) -> DataFrame:
+    """What _ranges_done gives where each graph is a range: a task reads many graphs and solves those of like size stacked."""
+    names = ["graph_id", "kind", "a", "b", *V]
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, keys = pd.factorize(pdf.graph_id, use_na_sentinel=False)
+        of, rows = _together(pdf, group)
+        return rows.assign(graph_id=pd.Series(keys).take(of).to_numpy())[names]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            count += len(pdf)
+            if count >= READ:
+                every = pd.concat(held, ignore_index=True)
+                # The last graph may go on.
+                end = int((every.graph_id.ne(every.graph_id.shift()) & ~(every.graph_id.isna() & every.graph_id.shift().isna())).to_numpy().nonzero()[0][-1])
+                if end:
+                    yield some(every.iloc[:end].reset_index(drop=True))
+                held, count = [every.iloc[end:]], len(every) - end
+        if count:
+            yield some(pd.concat(held, ignore_index=True))
+
+    spark = tagged.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return kept(tagged.select("graph_id", "a", "b", *V).repartition(tasks, "graph_id").sortWithinPartitions("graph_id").mapInPandas(work, f"graph_id {graph}, {OUT}"))
+
+
 @dataclass(frozen=True)
 class Elimination:
     """Of each round, what its nodes need of later ones (graph_id, node, via, v1..v9) and their constants (graph_id, node, v1..v3); and the graphs' determinants."""
@@ -147,17 +234,18 @@ def _determinants(n_nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     return n_nodes.join(every.groupBy("graph_id").agg(F.nanvl(F.sum("v1"), F.lit(None).cast("double")).alias("half_logdet")), "graph_id")
 
 
-def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE) -> Elimination:
-    """Takes blocks (graph_id, row_node, col_node, h11..h33; row_node <= col_node) and gradient (graph_id, node_id, g1..g3), as linsys makes them. Each node must have a block of its own."""
+def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE, written: bool = False) -> Elimination:
+    """Takes blocks (graph_id, row_node, col_node, h11..h33; row_node <= col_node) and gradient (graph_id, node_id, g1..g3), as linsys makes them; `written`: both are read from kept tables. Each node must have a block of its own."""
     graph = dict(blocks.dtypes)["graph_id"]
-    left = kept(blocks.select("graph_id", F.col("row_node").alias("a"), F.col("col_node").alias("b"), *[F.col(h).alias(v) for h, v in zip(H, V, strict=True)]))
+    left = blocks.select("graph_id", F.col("row_node").alias("a"), F.col("col_node").alias("b"), *[F.col(h).alias(v) for h, v in zip(H, V, strict=True)])
+    left = left if written else kept(left)
     sides = gradient.select("graph_id", F.col("node_id").alias("a"), *[F.col(g).alias(v) for g, v in zip(G, V, strict=False)])
     n_nodes = kept(left.filter("a = b").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes")))
     most = n_nodes.agg(F.sum("n_nodes").alias("all"), F.max("n_nodes").alias("one")).first()
     count = most["all"] or 0
     if count and most["one"] <= size:
         # Each graph is a range.
-        made = _ranges_done(_tagged(left.withColumns({"range": F.lit(0), "a_in": F.lit(True), "b_in": F.lit(True)}), sides.withColumns({"range": F.lit(0), "a_in": F.lit(True)})), graph)
+        made = _whole_graphs(left.unionByName(sides, allowMissingColumns=True), graph)
         return Elimination([_kept_for_later(made)], _determinants(n_nodes, [made]))
     rounds = []
     while count:
@@ -196,7 +284,7 @@ def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE) -> Elimi
 
 def steps(nodes: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
     """graph_id, node_id, dx1, dx2, dx3: one Gauss-Newton step over all edges (to be subtracted)."""
-    return eliminate(normal_blocks(edges, nodes), gradient_blocks(edges, nodes), size).solution()
+    return eliminate(*system(edges, nodes), size, written=True).solution()
 
 
 def newest_steps(nodes: DataFrame, edges: DataFrame, newest: int = 5, size: int = SIZE) -> DataFrame:
@@ -205,11 +293,11 @@ def newest_steps(nodes: DataFrame, edges: DataFrame, newest: int = 5, size: int
     # All but the last few of each range of nodes are left behind before a graph's last ones meet.
     last = Window.partitionBy("graph_id").orderBy(F.desc("first_it"), F.desc("node_id"))
     wanted = seen.withColumn("back", F.row_number().over(last)).filter(F.col("back") <= newest)
-    return eliminate(normal_blocks(edges, nodes), gradient_blocks(edges, nodes), size).solution(wanted)
+    return eliminate(*system(edges, nodes), size, written=True).solution(wanted)
 
 
 def log_determinants(nodes: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
     """graph_id, n_vars, half_logdet over all edges at the given states."""
-    found = eliminate(normal_blocks(edges, nodes), gradient_blocks(edges, nodes), size).determinants
+    found = eliminate(*system(edges, nodes), size, written=True).determinants
     dims = first_seen(edges.withColumn("it", F.lit(1)), nodes).join(nodes.select("graph_id", "node_id", "dim"), ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum("dim").cast("long").alias("n_vars"))
     return dims.join(found, "graph_id").select("graph_id", "n_vars", "half_logdet")

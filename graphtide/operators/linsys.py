@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.functions import geometry as geo
-from graphtide.operators.kept import checkpointed
+from graphtide.operators.kept import checkpointed, kept
 from graphtide.operators.linearise import linearised, weights
 
 H = [f"h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
@@ -39,20 +39,27 @@ def first_nodes(edges: DataFrame) -> DataFrame:
     return first
 
 
-def normal_blocks(edges: DataFrame, nodes: DataFrame, anchor: bool = True) -> DataFrame:
-    """graph_id, row_node, col_node, h11..h33 for row_node <= col_node. The anchor adds the identity to the first node's block."""
-    rows = _weighted(edges, nodes)
+def _anchored(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    one = lambda k: F.lit(1.0 if k in ("h11", "h22", "h33") else 0.0).alias(k)
+    return parts.unionByName(first_nodes(edges).select("graph_id", F.col("node_id").alias("row_node"), F.col("node_id").alias("col_node"), *[one(k) for k in H]))
+
+
+def _block_parts() -> Column:
+    """An edge's blocks."""
     a, b = geo.transpose(_matrix("a")), geo.transpose(_matrix("b"))
     aa, bb, ab, ba = geo.multiply(a, _matrix("p")), geo.multiply(b, _matrix("q")), geo.multiply(a, _matrix("q")), geo.multiply(b, _matrix("p"))
     both = F.col("to_id").isNotNull() & (F.col("to_id") != F.col("from_id"))
     upper = F.col("from_id") < F.col("to_id")
     mixed = F.when(upper, _block("from_id", "to_id", ab)).otherwise(_block("to_id", "from_id", ba))
     summed = [[aa[i][j] + ab[i][j] + ba[i][j] + bb[i][j] for j in range(3)] for i in range(3)]
-    blocks = F.when(both, F.array(_block("from_id", "from_id", aa), mixed, _block("to_id", "to_id", bb))).when(F.col("to_id").isNull(), F.array(_block("from_id", "from_id", aa))).otherwise(F.array(_block("from_id", "from_id", summed)))
-    parts = rows.select("graph_id", F.explode(blocks).alias("b")).select("graph_id", "b.*")
+    return F.when(both, F.array(_block("from_id", "from_id", aa), mixed, _block("to_id", "to_id", bb))).when(F.col("to_id").isNull(), F.array(_block("from_id", "from_id", aa))).otherwise(F.array(_block("from_id", "from_id", summed)))
+
+
+def normal_blocks(edges: DataFrame, nodes: DataFrame, anchor: bool = True) -> DataFrame:
+    """graph_id, row_node, col_node, h11..h33 for row_node <= col_node. The anchor adds the identity to the first node's block."""
+    parts = _weighted(edges, nodes).select("graph_id", F.explode(_block_parts()).alias("b")).select("graph_id", "b.*")
     if anchor:
-        one = lambda k: F.lit(1.0 if k in ("h11", "h22", "h33") else 0.0).alias(k)
-        parts = parts.unionByName(first_nodes(edges).select("graph_id", F.col("node_id").alias("row_node"), F.col("node_id").alias("col_node"), *[one(k) for k in H]))
+        parts = _anchored(parts, edges)
     return parts.groupBy("graph_id", "row_node", "col_node").agg(*[F.sum(k).alias(k) for k in H])
 
 
@@ -65,6 +72,18 @@ def gradient_blocks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("graph_id", F.explode(both).alias("g")).select("graph_id", "g.*").groupBy("graph_id", "node_id").agg(*[F.sum(k).alias(k) for k in G])
 
 
+def system(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """normal_blocks and gradient_blocks by one pass over the edges, kept; a gradient goes along as a block without column."""
+    we = [[F.col(f"w{i}")] for i in (1, 2, 3)]
+    rest, none = [F.lit(0.0).alias(k) for k in H[3:]], F.lit(None).cast(dict(edges.dtypes)["from_id"]).alias("col_node")
+    side = lambda node, m: F.struct(F.col(node).alias("row_node"), none, *[x[0].alias(k) for k, x in zip(H, geo.multiply(geo.transpose(_matrix(m)), we), strict=False)], *rest)
+    sides = F.when(F.col("to_id").isNull(), F.array(side("from_id", "a"))).otherwise(F.array(side("from_id", "a"), side("to_id", "b")))
+    parts = _weighted(edges, nodes).select("graph_id", F.explode(F.concat(_block_parts(), sides)).alias("b")).select("graph_id", "b.*")
+    made = kept(_anchored(parts, edges).groupBy("graph_id", "row_node", "col_node").agg(*[F.sum(k).alias(k) for k in H]))
+    gradient = made.filter("col_node is null").select("graph_id", F.col("row_node").alias("node_id"), *[F.col(h).alias(g) for h, g in zip(H, G, strict=False)])
+    return made.filter("col_node is not null"), gradient
+
+
 def image(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
     """graph_id, node_id, q1..q3: H times the vectors (graph_id, node_id, dx1..dx3), H as normal_blocks gives it."""
     off = blocks.filter("row_node <> col_node")

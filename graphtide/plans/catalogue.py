@@ -300,8 +300,8 @@ def gn_step(spark, sf_dir):
 def gn_step_image(spark, sf_dir):
     """H dx of the steps that gn_step finds, which is the gradient if they are right. The small shift keeps numbers away from where rounding would change."""
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
-    dx = elimination.steps(nodes, edges)
-    found = linsys.image(linsys.normal_blocks(edges, nodes), dx)
+    blocks, gradient = linsys.system(edges, nodes)
+    found = linsys.image(blocks, elimination.eliminate(blocks, gradient, written=True).solution())
     return found.select("graph_id", "node_id", *[(F.round(F.col(f"q{i}") + SHIFT, NORMAL_DIGITS) + 0.0).alias(f"q{i}") for i in (1, 2, 3)])
 
 
@@ -329,8 +329,8 @@ def one_graph_growth(spark, sf_dir):
 def one_graph_step_image(spark, sf_dir):
     """H dx of the step that block elimination finds, as in gn_step_image."""
     nodes, edges = _whole(spark, sf_dir)
-    blocks, gradient = kept(linsys.normal_blocks(edges, nodes)), linsys.gradient_blocks(edges, nodes)
-    found = linsys.image(blocks, elimination.eliminate(blocks, gradient).solution())
+    blocks, gradient = linsys.system(edges, nodes)
+    found = linsys.image(blocks, elimination.eliminate(blocks, gradient, written=True).solution())
     return found.select("node_id", *[(F.round(F.col(f"q{i}") + SHIFT, NORMAL_DIGITS) + 0.0).alias(f"q{i}") for i in (1, 2, 3)])
 
 

@@ -155,3 +155,29 @@ def test_the_known_diverging_graph_ends(spark):
     rows = incremental.increments(nodes, growth.growth_order(edges), None, incremental.Config(gating="IGG")).collect()
     failed = [r for r in rows if r["failed"]]
     assert len(rows) == edges.count() and failed and {r["graph_id"] for r in failed} == {175} and all(r["gn"] >= 0 for r in rows)
+
+
+def test_small_graphs_solved_together_equal_those_solved_alone():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frames, alone = [], []
+    for g, n in enumerate((1, 4, 2, 7, 3, 5)):
+        root = rng.normal(size=(3 * n, 3 * n))
+        h = root @ root.T + np.eye(3 * n)
+        if g == 3:
+            h[0, 0] = -1
+        if g == 4:
+            h[-1, :], h[:, -1] = 0, 0
+        ids = np.sort(rng.choice(100, n, replace=False))
+        rows = [(ids[i], ids[j], *h[3 * i : 3 * i + 3, 3 * j : 3 * j + 3].ravel()) for i in range(n) for j in range(i, n)]
+        rows += [(ids[i], None, *(rng.normal(size=3) if not (g == 4 and i == n - 1) else [1.0, 2.0, 0.0]), *[np.nan] * 6) for i in range(n)]
+        pdf = pd.DataFrame(rows, columns=["a", "b", *elimination.V]).astype({"b": "float"})
+        frames.append(pdf.assign(g=g).sample(frac=1, random_state=g))
+        alone.append(elimination._eliminated(pdf.assign(a_in=True, b_in=True)))
+    every = pd.concat(frames, ignore_index=True)
+    of, together = elimination._together(every, every.g.to_numpy())
+    for g, want in enumerate(alone):
+        mine = together[of == g].sort_values(["kind", "a"]).reset_index(drop=True)
+        np.testing.assert_allclose(mine[elimination.V].to_numpy(float), want.sort_values(["kind", "a"])[elimination.V].to_numpy(float), rtol=1e-9, atol=1e-12)
+        assert mine[["kind", "a"]].values.tolist() == want.sort_values(["kind", "a"])[["kind", "a"]].values.tolist()
