@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators.kept import kept, tasks_for
 from graphtide.operators.prefix import numbered, running_sum
 from graphtide.operators.spanning import walk_steps
 
@@ -130,18 +131,25 @@ def coordinates(nodes: DataFrame, dim: int) -> DataFrame:
 # ---- loop closures
 
 
-def pose_orders(edges: DataFrame, seq: str = "edge_pos") -> DataFrame:
+def pose_orders(edges: DataFrame, seq: str = "edge_pos", tasks: int | None = None) -> DataFrame:
     """graph_id, node_id, first (the edge that names the pose first), pose_order from 1. Every kind of edge names its first node, P edges their second too."""
     named = endpoints(edges).filter("place = 0 or type = 'P'")
-    first = named.groupBy("graph_id", "node_id").agg(F.min(F.struct(F.col(seq).alias("seq"), "place")).alias("m"))
-    return numbered(first.select("graph_id", "node_id", F.col("m.seq").alias("first"), "m.place"), ["graph_id"], ["first", "place"], "pose_order").drop("place")
+    # Twice the edge's number and the place: plain numbers are summed up by hashing, structs only by sorting.
+    named = named.select("graph_id", "node_id", (F.col(seq).cast("long") * 2 + F.col("place")).alias("m"))
+    first = (named.repartition(tasks, "graph_id", "node_id") if tasks else named).groupBy("graph_id", "node_id").agg(F.min("m").alias("m"))
+    return numbered(first, ["graph_id"], ["m"], "pose_order", tasks).select("graph_id", "node_id", F.floor(F.col("m") / 2).cast("long").alias("first"), "pose_order")
 
 
 def pose_closures(edges: DataFrame, gap: int = LOOP_GAP, seq: str = "edge_pos") -> DataFrame:
     """graph_id, edge_pos, loop_closure of P edges, for batches of one edge: both poses named before, and their orders further apart than `gap`."""
-    orders = pose_orders(edges, seq)
+    edges = kept(edges.select("graph_id", "type", "from_id", "to_id", *dict.fromkeys(["edge_pos", seq])))
+    tasks = tasks_for(edges)
+    orders = kept(pose_orders(edges, seq, tasks))
     at = lambda side: orders.select("graph_id", F.col("node_id").alias(f"{side}_id"), F.col("first").alias(f"f_{side}"), F.col("pose_order").alias(f"o_{side}"))
-    rows = edges.filter("type = 'P'").join(at("from"), ["graph_id", "from_id"]).join(at("to"), ["graph_id", "to_id"])
+    rows = edges.filter("type = 'P'")
+    for side in ("from", "to"):
+        by = ["graph_id", f"{side}_id"]
+        rows = rows.repartition(tasks, *by).join(at(side).repartition(tasks, *by), by)
     flag = (F.col("f_from") < F.col(seq)) & (F.col("f_to") < F.col(seq)) & (F.abs(F.col("o_from") - F.col("o_to")) > gap)
     return rows.select("graph_id", "edge_pos", flag.alias("loop_closure"))
 
@@ -151,9 +159,11 @@ def landmark_closures(edges: DataFrame, gap: int = LOOP_GAP, seq: str = "edge_po
 
     Which sights count depends on earlier flags, so a landmark's sights are folded in order. The fold keeps their least and greatest order only, and streams over sorted partitions, so that no landmark's sights are gathered.
     """
-    poses = pose_orders(edges, seq).select("graph_id", F.col("node_id").alias("from_id"), "pose_order")
-    rows = edges.filter("type = 'L'").select("graph_id", "to_id", F.col(seq).alias("seq"), "edge_pos", "from_id").join(poses, ["graph_id", "from_id"])
-    dealt = rows.select("graph_id", "to_id", "seq", "edge_pos", "pose_order").repartition("graph_id", "to_id").sortWithinPartitions("graph_id", "to_id", "seq")
+    edges = kept(edges.select("graph_id", "type", "from_id", "to_id", *dict.fromkeys(["edge_pos", seq])))
+    tasks, by = tasks_for(edges), ["graph_id", "from_id"]
+    poses = pose_orders(edges, seq, tasks).select("graph_id", F.col("node_id").alias("from_id"), "pose_order")
+    rows = edges.filter("type = 'L'").select("graph_id", "to_id", F.col(seq).alias("seq"), "edge_pos", "from_id").repartition(tasks, *by).join(poses.repartition(tasks, *by), by)
+    dealt = rows.select("graph_id", "to_id", "seq", "edge_pos", "pose_order").repartition(tasks, "graph_id", "to_id").sortWithinPartitions("graph_id", "to_id", "seq")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, least, most = None, 0, 0

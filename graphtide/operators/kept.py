@@ -28,6 +28,15 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+#: Rows of a task, where a stated number of tasks keeps its memory from growing with the input.
+ROWS = 1 << 18
+
+
+def tasks_for(table: DataFrame) -> int:
+    """How many tasks a table that is read from files should be dealt to: the session's number, or more so that each has about ROWS rows. Counts by the files' footers."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed now; what Spark knows of its partitioning stays known."""
     spark = df.sparkSession

@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 from graphtide.operators.kept import kept
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: Column | str, name: str, inclusive: bool = True) -> DataFrame:
-    """`df` with `name`, the sum of `value` over the rows of its group up to and with this row, or before it. `order` must tell a group's rows apart."""
+def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: Column | str, name: str, inclusive: bool = True, tasks: int | None = None) -> DataFrame:
+    """`df` with `name`, the sum of `value` over the rows of its group up to and with this row, or before it. `order` must tell a group's rows apart. `tasks`: how many ranges, where the session's number of partitions would make them large."""
     by = [F.col(o) if isinstance(o, str) else o for o in order]
     places = [f"_o{i}" for i in range(len(by))]
     rows = df.withColumns(dict(zip(places, by, strict=True)) | {"_v": F.col(value) if isinstance(value, str) else value})
     # A range's number must not change when a task is repeated, so the ranges are kept.
-    ranged = kept(rows.repartitionByRange(*keys, *places).withColumn("_part", F.spark_partition_id()))
+    ranged = kept(rows.repartitionByRange(*([tasks] if tasks else []), *keys, *places).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_part").agg(F.sum("_v").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_part", *keys).orderBy(*places).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    summed = ranged.withColumn("_sum", F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    summed = (ranged.repartition(tasks, "_part", *keys) if tasks else ranged).withColumn("_sum", F.coalesce(F.sum("_v").over(within), F.lit(0)))
     return summed.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_sum") + F.col("_before")).select(*df.columns, name)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str, tasks: int | None = None) -> DataFrame:
     """`df` with `name`, the row's number from 1 within its group."""
-    return running_sum(df, keys, order, F.lit(1).cast("long"), name)
+    return running_sum(df, keys, order, F.lit(1).cast("long"), name, tasks=tasks)

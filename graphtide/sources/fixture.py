@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphtide.operators.kept import tasks_for
 from graphtide.operators.prefix import numbered
 
 #: Landmarks are numbered from here.
@@ -21,6 +22,9 @@ def _events(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     if whole:
         rows = numbered(ev.select(F.lit(0).cast("long").alias("graph_id"), F.col("event_id").alias("e"), "event_type", "ts"), ["graph_id"], ["ts", "e"], "place")
         return rows.select("graph_id", "e", "event_type", (F.col("place") - 1).alias("k"))
+    # Memory of a task doesn't grow with the input.
+    if (tasks := tasks_for(ev)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        ev = ev.repartition(tasks, "user_id")
     place = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("e"), "event_type", (F.row_number().over(place) - 1).cast("long").alias("k"))
 

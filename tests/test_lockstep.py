@@ -58,3 +58,16 @@ def test_side_by_side_equals_one_by_one(monkeypatch, options, most):
         assert len(rows) == len(want)
         for mine, whole in zip(rows, want, strict=True):
             assert list(mine) == [pytest.approx(v, rel=1e-7, abs=1e-9) if isinstance(v, float) else v for v in whole]
+
+
+def test_closures_are_dealt_to_as_many_tasks_as_the_rows_ask_for(spark, data_dir, monkeypatch):
+    from graphtide.operators import growth, kept
+    from graphtide.sources import fixture
+
+    edges = fixture.edges(spark, data_dir)
+    few = [sorted(map(tuple, f(edges).collect())) for f in (growth.pose_closures, growth.landmark_closures)]
+    monkeypatch.setattr(kept, "ROWS", 100)
+    wanted = -(-edges.count() // 100)
+    many = [f(fixture.edges(spark, data_dir)) for f in (growth.pose_closures, growth.landmark_closures)]
+    assert [df.rdd.getNumPartitions() for df in many] == [wanted, wanted]
+    assert [sorted(map(tuple, df.collect())) for df in many] == few
