@@ -24,32 +24,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("graph_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def _split(lines: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """graph_id, line_no, p (a line's fields, the tag first) of lines that hold anything; with `tags` lines that can't have one of them go before they are split."""
+    if tags is not None:
+        begins = F.lit(False)
+        for tag in tags:
+            begins = begins | F.ltrim("line").startswith(tag)
+        lines = lines.filter(begins)
+    cleaned = F.trim(F.when(F.contains("line", F.lit("#")), F.regexp_replace("line", "#.*", "")).otherwise(F.col("line")))
+    # Filters on generated fields stay behind them; on plain columns they would split each line again for every field they look at.
+    return lines.select("graph_id", "line_no", F.explode(F.array(F.split(cleaned, " +"))).alias("p")).filter(F.element_at("p", 1) != "")
+
+
 def tokens(lines: DataFrame) -> DataFrame:
     """graph_id, line_no, tag, f (the other fields) of lines that hold anything."""
-    cleaned = F.trim(F.regexp_replace("line", "#.*", ""))
-    parts = F.split(cleaned, " +")
-    return lines.withColumn("_p", parts).filter(cleaned != "").select("graph_id", "line_no", F.element_at("_p", 1).alias("tag"), F.slice("_p", 2, F.size("_p")).alias("f"))
+    return _split(lines).select("graph_id", "line_no", F.element_at("p", 1).alias("tag"), F.slice("p", 2, F.size("p")).alias("f"))
 
 
 def _number(i: int) -> Column:
-    return F.coalesce(F.try_element_at("f", F.lit(i + 1)).try_cast("double"), F.lit(float("nan")))
+    return F.coalesce(F.try_element_at("p", F.lit(i + 2)).try_cast("double"), F.lit(float("nan")))
 
 
 def _id(i: int) -> Column:
-    return F.try_element_at("f", F.lit(i + 1)).try_cast("double").cast("long")
+    return F.try_element_at("p", F.lit(i + 2)).try_cast("double").cast("long")
 
 
-def _known(rows: DataFrame, tags: dict[str, int]) -> DataFrame:
+def _known(lines: DataFrame, tags: dict[str, int]) -> DataFrame:
+    """_split with tag, of lines with one of the tags and enough fields."""
     wanted = F.lit(False)
     for tag, fewest in tags.items():
-        wanted = wanted | ((F.col("tag") == tag) & (F.size("f") >= fewest))
-    return rows.filter(wanted)
+        wanted = wanted | ((F.element_at("p", 1) == tag) & (F.size("p") > fewest))
+    return _split(lines, list(tags)).filter(wanted).withColumn("tag", F.element_at("p", 1))
 
 
 def parse_nodes(lines: DataFrame, tags: dict[str, int]) -> DataFrame:
     """graph_id, node_id, dim, x, y, theta, file_pos; of vertices with one id the last counts."""
     flat = F.col("tag") == "VERTEX_XY"
-    rows = _known(tokens(lines), {k: v for k, v in tags.items() if k.startswith("VERTEX")}).filter(_id(0).isNotNull())
+    rows = _known(lines, {k: v for k, v in tags.items() if k.startswith("VERTEX")}).filter(_id(0).isNotNull())
     named = rows.select("graph_id", _id(0).alias("node_id"), F.struct(F.col("line_no").alias("file_pos"), F.when(flat, 2).otherwise(3).alias("dim"), _number(1).alias("x"), _number(2).alias("y"), F.when(~flat, _number(3)).alias("theta")).alias("v"))
     last = named.groupBy("graph_id", "node_id").agg(F.max_by("v", "v.file_pos").alias("v"))
     return last.select("graph_id", "node_id", "v.dim", "v.x", "v.y", "v.theta", "v.file_pos")
@@ -57,7 +68,7 @@ def parse_nodes(lines: DataFrame, tags: dict[str, int]) -> DataFrame:
 
 def parse_edges(lines: DataFrame, tags: dict[str, int]) -> DataFrame:
     """graph_id, line_no, type, from_id, to_id, z1, z2, z3 and the information's upper triangle."""
-    rows = _known(tokens(lines), {k: v for k, v in tags.items() if k.startswith("EDGE")}).filter(_id(0).isNotNull() & _id(1).isNotNull())
+    rows = _known(lines, {k: v for k, v in tags.items() if k.startswith("EDGE")}).filter(_id(0).isNotNull() & _id(1).isNotNull())
     kind, info = F.lit(None).cast("string"), {}
     for tag, name in KINDS.items():
         kind = F.when(F.col("tag") == tag, name).otherwise(kind)
