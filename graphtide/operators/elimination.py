@@ -2,7 +2,7 @@
 
 The nodes of a graph, by number, are cut into ranges. Of each pair of neighbours in different ranges the one with more
 such neighbours goes to the border, so that the others (a landmark's poses, say) can be eliminated range by range: in one
-group each, H_II = LL', the border gets the Schur complement -H_BI H_II^-1 H_IB, and what a range's solution needs of the border's is
+group each, H_II = LL' (by panels where its blocks lie near the diagonal, as a trajectory's do), the border gets the Schur complement -H_BI H_II^-1 H_IB, and what a range's solution needs of the border's is
 kept as rows x_i = c_i - sum K_ib x_b. Complements of all ranges are added by grouped sums, and what is left is cut into
 ranges again, until nothing is. Solutions come back from the last round to the first by a join and a grouped sum a round.
 
@@ -29,6 +29,8 @@ from graphtide.operators.prefix import numbered
 
 #: Nodes of a range at first and at most.
 SIZE, LARGEST = 256, 2048
+#: Nodes of a panel, at least.
+PANEL = 8
 #: Small graphs that are solved as one stack, and rows that a task reads before it solves them.
 STACK, READ = 16, 1 << 17
 V = [f"v{i}" for i in range(1, 10)]
@@ -37,8 +39,60 @@ BLOCK, SIDE, NEEDS, CONSTANT, DETERMINANT = range(5)
 OUT = "kind int, a long, b long, " + ", ".join(f"{v} double" for v in V)
 
 
-def _eliminated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One range: rows of blocks (a, b, values, whether a and b are inner) and of gradients (b null)."""
+def _narrow(a: np.ndarray, b: np.ndarray, values: np.ndarray, rhs: np.ndarray, width: int, solve: bool) -> tuple[float, np.ndarray, np.ndarray | None]:
+    """Half the log determinant of H, L^-1 rhs and, if asked for, H^-1 rhs, where blocks reach at most `width` nodes to the side (a <= b): panels of `width` nodes are only coupled with their neighbours."""
+    n, size, three = len(rhs) // 3, 3 * width, np.arange(3)
+    panels = -(-n // width)
+    own, next_ = np.zeros((panels, width, 3, width, 3)), np.zeros((panels, width, 3, width, 3))
+
+    def put(into, panel, rows, columns, what):
+        np.add.at(into, (panel[:, None, None], rows[:, None, None], three[None, :, None], columns[:, None, None], three[None, None, :]), what)
+
+    (k, i), (m, j) = np.divmod(a, width), np.divmod(b, width)
+    same, off = k == m, (k == m) & (a != b)
+    put(own, k[same], i[same], j[same], values[same])
+    put(own, k[off], j[off], i[off], values[off].transpose(0, 2, 1))
+    put(next_, k[~same], i[~same], j[~same], values[~same])
+    own, next_ = own.reshape(panels, size, size), next_.reshape(panels, size, size)
+    # A landmark's third row is empty, and so are the rows beyond the last node.
+    d, at = np.arange(size), np.arange(panels * size).reshape(panels, size)
+    own[:, d, d] = np.where((own[:, d, d] == 0) & ((d % 3 == 2) | (at >= 3 * n)), 1, own[:, d, d])
+    y = np.zeros((panels, size, rhs.shape[1]))
+    y.reshape(panels * size, -1)[: 3 * n] = rhs
+    lowers, along, logdet = np.empty_like(own), np.empty_like(own), 0.0
+    for k in range(panels):
+        lowers[k] = np.linalg.cholesky(own[k])
+        logdet += float(np.log(np.diagonal(lowers[k])).sum())
+        done = np.linalg.solve(lowers[k], np.concatenate([next_[k], y[k]], axis=1))
+        along[k], y[k] = done[:, :size], done[:, size:]
+        if k + 1 < panels:
+            own[k + 1] -= along[k].T @ along[k]
+            y[k + 1] -= along[k].T @ y[k]
+    back = np.empty_like(y) if solve else None
+    for k in reversed(range(panels if solve else 0)):
+        back[k] = np.linalg.solve(lowers[k].T, y[k] - along[k] @ back[k + 1] if k + 1 < panels else y[k])
+    whole = lambda t: t.reshape(panels * size, -1)[: 3 * n]
+    return logdet, whole(y), whole(back) if solve else None
+
+
+def _dense(a: np.ndarray, b: np.ndarray, values: np.ndarray, rhs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """What _narrow gives, by one matrix."""
+    n, three = len(rhs), np.arange(3)
+    h = np.zeros((n, n))
+    rows, columns = (lambda x, y: (3 * x[:, None, None] + three[None, :, None], 3 * y[:, None, None] + three[None, None, :])), a != b
+    np.add.at(h, rows(a, b), values)
+    np.add.at(h, rows(b[columns], a[columns]), values[columns].transpose(0, 2, 1))
+    # A landmark's third row is empty.
+    third = np.arange(2, n, 3)
+    empty = third[h[third, third] == 0]
+    h[empty, empty] = 1
+    lower = np.linalg.cholesky(h)
+    solved = np.linalg.solve(lower, rhs)
+    return float(np.log(np.diagonal(lower)).sum()), solved, np.linalg.solve(lower.T, solved)
+
+
+def _eliminated(pdf: pd.DataFrame, solve: bool = True) -> pd.DataFrame:
+    """One range: rows of blocks (a, b, values, whether a and b are inner) and of gradients (b null). Without `solve` only what later determinants need."""
     sides = pdf[pdf.b.isna()]
     blocks = pdf[~pdf.b.isna()]
     a, b = blocks.a.to_numpy(np.int64), blocks.b.to_numpy(np.int64)
@@ -46,53 +100,40 @@ def _eliminated(pdf: pd.DataFrame) -> pd.DataFrame:
     inner = np.unique(np.concatenate([a[a_in], b[b_in]]))
     border = np.unique(np.concatenate([a[~a_in], b[~b_in]]))
     n, m = 3 * len(inner), 3 * len(border)
-    h, c, g = np.zeros((n, n)), np.zeros((n, m)), np.zeros(n)
-    values = blocks[V].to_numpy(float).reshape(-1, 3, 3)
-    three = np.arange(3)
+    # Columns of the border's nodes, and the gradient.
+    rhs, values, three = np.zeros((n, m + 1)), blocks[V].to_numpy(float).reshape(-1, 3, 3), np.arange(3)
 
-    def put(into, rows, columns, what):
-        np.add.at(into, (3 * rows[:, None, None] + three[None, :, None], 3 * columns[:, None, None] + three[None, None, :]), what)
+    def put(rows, columns, what):
+        np.add.at(rhs, (3 * rows[:, None, None] + three[None, :, None], 3 * columns[:, None, None] + three[None, None, :]), what)
 
-    both = a_in & b_in
+    left, right, both = a_in & ~b_in, b_in & ~a_in, a_in & b_in
+    put(np.searchsorted(inner, a[left]), np.searchsorted(border, b[left]), values[left])
+    put(np.searchsorted(inner, b[right]), np.searchsorted(border, a[right]), values[right].transpose(0, 2, 1))
+    rhs[:, m].reshape(-1, 3)[np.searchsorted(inner, sides.a.to_numpy(np.int64))] = sides[V[:3]].to_numpy(float)
     ia, ib = np.searchsorted(inner, a[both]), np.searchsorted(inner, b[both])
-    put(h, ia, ib, values[both])
-    off = ia != ib
-    put(h, ib[off], ia[off], values[both][off].transpose(0, 2, 1))
-    left, right = a_in & ~b_in, b_in & ~a_in
-    put(c, np.searchsorted(inner, a[left]), np.searchsorted(border, b[left]), values[left])
-    put(c, np.searchsorted(inner, b[right]), np.searchsorted(border, a[right]), values[right].transpose(0, 2, 1))
-    g.reshape(-1, 3)[np.searchsorted(inner, sides.a.to_numpy(np.int64))] = sides[V[:3]].to_numpy(float)
-    # A landmark's third row is empty.
-    third = np.arange(2, n, 3)
-    empty = third[h[third, third] == 0]
-    h[empty, empty] = 1
+    width = max(PANEL, int(np.abs(ia - ib).max(initial=0)))
     try:
-        lower = np.linalg.cholesky(h)
-        logdet = float(np.log(np.diagonal(lower)).sum())
-        solved = np.linalg.solve(lower, np.concatenate([c, g[:, None]], axis=1))
-        w, y = solved[:, :-1], solved[:, -1]
-        back = np.linalg.solve(lower.T, solved)
+        logdet, solved, back = _narrow(ia, ib, values[both], rhs, width, solve) if 4 * width <= len(inner) else _dense(ia, ib, values[both], rhs)
     except np.linalg.LinAlgError:
-        logdet, w, y, back = np.nan, np.full((n, m), np.nan), np.full(n, np.nan), np.full((n, m + 1), np.nan)
+        logdet, solved, back = np.nan, np.full((n, m + 1), np.nan), np.full((n, m + 1), np.nan)
+    w, y = solved[:, :-1], solved[:, -1]
 
     def rows(kind, a, b, values):
-        values = np.concatenate([values, np.full((len(values), 9 - values.shape[1]), np.nan)], axis=1)
-        return pd.DataFrame(values, columns=V).assign(kind=kind, a=a, b=pd.array(b, dtype="Int64"))
-
-    nothing = lambda k: [None] * k
-    if not len(border):
-        whole = np.full((len(inner) + 1, 9), np.nan)
-        whole[:-1, :3], whole[-1, 0] = back[:, -1].reshape(-1, 3), logdet
-        return pd.DataFrame(whole, columns=V).assign(kind=[CONSTANT] * len(inner) + [DETERMINANT], a=[*inner.tolist(), 0], b=pd.array(nothing(len(whole)), dtype="Int64"))
+        whole = np.full((len(values), 9), np.nan)
+        whole[:, : values.shape[1]] = values
+        return np.full(len(values), kind), np.asarray(a, np.int64), np.full(len(values), -1) if b is None else b, np.full(len(values), b is None), whole
+
     i, j = np.triu_indices(len(border))
     complement = -(w.T @ w).reshape(len(border), 3, len(border), 3).transpose(0, 2, 1, 3)[i, j].reshape(-1, 9)
-    p, q = np.repeat(np.arange(len(inner)), len(border)), np.tile(np.arange(len(border)), len(inner))
-    needs = back[:, :-1].reshape(len(inner), 3, len(border), 3).transpose(0, 2, 1, 3).reshape(-1, 9)
-    out = [
-        rows(BLOCK, border[i], border[j], complement), rows(SIDE, border, nothing(len(border)), -(w.T @ y).reshape(-1, 3)),
-        rows(NEEDS, inner[p], border[q], needs), rows(CONSTANT, inner, nothing(len(inner)), back[:, -1].reshape(-1, 3)), rows(DETERMINANT, [0], nothing(1), np.array([[logdet]])),
-    ]
-    return pd.concat(out, ignore_index=True)
+    out = [rows(DETERMINANT, [0], None, np.array([[logdet]]))]
+    if len(border):
+        out += [rows(BLOCK, border[i], border[j], complement), rows(SIDE, border, None, -(w.T @ y).reshape(-1, 3))]
+    if solve:
+        out.append(rows(CONSTANT, inner, None, back[:, -1].reshape(-1, 3)))
+        p, q = np.repeat(np.arange(len(inner)), len(border)), np.tile(np.arange(len(border)), len(inner))
+        out.append(rows(NEEDS, inner[p], border[q], back[:, :-1].reshape(len(inner), 3, len(border), 3).transpose(0, 2, 1, 3).reshape(-1, 9)))
+    kind, a, b, alone, whole = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame(whole, columns=V).assign(kind=kind, a=a, b=pd.arrays.IntegerArray(b.astype(np.int64), alone))
 
 
 def _together(pdf: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
@@ -215,12 +256,12 @@ def _tagged(blocks: DataFrame, sides: DataFrame) -> DataFrame:
     return blocks.select("graph_id", "range", "a", "b", "a_in", "b_in", *V).unionByName(sides.select("graph_id", "range", "a", "a_in", *V[:3]), allowMissingColumns=True)
 
 
-def _ranges_done(tagged: DataFrame, graph: str) -> DataFrame:
+def _ranges_done(tagged: DataFrame, graph: str, solve: bool) -> DataFrame:
     names = ["graph_id", "kind", "a", "b", *V]
     # A range's work is far larger than its bytes, by which small partitions would be merged.
     spark = tagged.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return kept(tagged.repartition(tasks, "graph_id", "range").groupBy("graph_id", "range").applyInPandas(lambda key, pdf: _eliminated(pdf).assign(graph_id=key[0])[names], f"graph_id {graph}, {OUT}"))
+    return kept(tagged.repartition(tasks, "graph_id", "range").groupBy("graph_id", "range").applyInPandas(lambda key, pdf: _eliminated(pdf, solve).assign(graph_id=key[0])[names], f"graph_id {graph}, {OUT}"))
 
 
 def _kept_for_later(made: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,8 +275,8 @@ def _determinants(n_nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     return n_nodes.join(every.groupBy("graph_id").agg(F.nanvl(F.sum("v1"), F.lit(None).cast("double")).alias("half_logdet")), "graph_id")
 
 
-def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE, written: bool = False) -> Elimination:
-    """Takes blocks (graph_id, row_node, col_node, h11..h33; row_node <= col_node) and gradient (graph_id, node_id, g1..g3), as linsys makes them; `written`: both are read from kept tables. Each node must have a block of its own."""
+def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE, written: bool = False, solve: bool = True) -> Elimination:
+    """Without `solve` there are determinants only. Takes blocks (graph_id, row_node, col_node, h11..h33; row_node <= col_node) and gradient (graph_id, node_id, g1..g3), as linsys makes them; `written`: both are read from kept tables. Each node must have a block of its own."""
     graph = dict(blocks.dtypes)["graph_id"]
     left = blocks.select("graph_id", F.col("row_node").alias("a"), F.col("col_node").alias("b"), *[F.col(h).alias(v) for h, v in zip(H, V, strict=True)])
     left = left if written else kept(left)
@@ -264,7 +305,7 @@ def eliminate(blocks: DataFrame, gradient: DataFrame, size: int = SIZE, written:
         marked = kept(marked)
         gone = marked.filter("a_in or b_in").withColumn("range", F.when(F.col("a_in"), F.col("ra")).otherwise(F.col("rb")))
         known = kept(sides.join(side_of("a"), ["graph_id", "a"]).withColumnRenamed("ra", "range").join(out("a"), ["graph_id", "a"], "left").withColumn("a_in", F.coalesce("a_in", F.lit(True))))
-        made = _ranges_done(_tagged(gone, known.filter("a_in")), graph)
+        made = _ranges_done(_tagged(gone, known.filter("a_in")), graph, solve)
         rounds.append(made)
         rest = border.count()
         if rest * 2 > count:
@@ -298,6 +339,6 @@ def newest_steps(nodes: DataFrame, edges: DataFrame, newest: int = 5, size: int
 
 def log_determinants(nodes: DataFrame, edges: DataFrame, size: int = SIZE) -> DataFrame:
     """graph_id, n_vars, half_logdet over all edges at the given states."""
-    found = eliminate(*system(edges, nodes), size, written=True).determinants
+    found = eliminate(*system(edges, nodes), size, written=True, solve=False).determinants
     dims = first_seen(edges.withColumn("it", F.lit(1)), nodes).join(nodes.select("graph_id", "node_id", "dim"), ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum("dim").cast("long").alias("n_vars"))
     return dims.join(found, "graph_id").select("graph_id", "n_vars", "half_logdet")

@@ -28,6 +28,20 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def kept_in_small_methods(df: DataFrame) -> DataFrame:
+    """`kept`, for expressions so long that one generated method of a stage would be beyond the 8,000 bytes that the JVM compiles; it would interpret them for each row. Spark then generates a method for each part."""
+    conf = df.sparkSession.conf
+    before = conf.get(METHOD_LIMIT, None)
+    conf.set(METHOD_LIMIT, "8000")
+    try:
+        return kept(df)
+    finally:
+        conf.unset(METHOD_LIMIT) if before is None else conf.set(METHOD_LIMIT, before)
+
+
 #: Rows of a task, where a stated number of tasks keeps its memory from growing with the input.
 ROWS = 1 << 18
 

@@ -44,9 +44,10 @@ def checked(edges: DataFrame) -> DataFrame:
     return edges.filter(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
 
 
-def linearised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """with_states of checked edges plus e1..e3, a11..a33, b11..b33. `edges` must hold the information columns."""
+def linearised(edges: DataFrame, nodes: DataFrame, spread: bool = False) -> DataFrame:
+    """with_states of checked edges plus e1..e3, a11..a33, b11..b33. `edges` must hold the information columns. `spread`: edges of one node, and those without a second, are dealt out over all tasks before the arithmetic."""
     rows = with_states(checked(edges), nodes)
+    rows = rows.repartition("graph_id", "edge_pos") if spread else rows
     built = {k: _columns(k) for k in KINDS}
     new = {}
     for i in range(3):

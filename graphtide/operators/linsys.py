@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphtide.functions import geometry as geo
-from graphtide.operators.kept import checkpointed, kept
+from graphtide.operators.kept import checkpointed, kept_in_small_methods
 from graphtide.operators.linearise import linearised, weights
 
 H = [f"h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
@@ -25,9 +25,9 @@ def _block(row: str, col: str, m: geo.Matrix) -> Column:
     return F.struct(F.col(row).alias("row_node"), F.col(col).alias("col_node"), *[m[i][j].alias(H[3 * i + j]) for i in range(3) for j in range(3)])
 
 
-def _weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _weighted(edges: DataFrame, nodes: DataFrame, spread: bool = False) -> DataFrame:
     """linearised, with WA and WB and We once each as columns p.., q.., w.."""
-    rows, w = linearised(edges, nodes), weights()
+    rows, w = linearised(edges, nodes, spread), weights()
     wa, wb = geo.multiply(w, _matrix("a")), geo.multiply(w, _matrix("b"))
     we = geo.multiply(w, [[F.col(f"e{i}")] for i in (1, 2, 3)])
     return rows.withColumns({f"p{i + 1}{j + 1}": wa[i][j] for i in range(3) for j in range(3)} | {f"q{i + 1}{j + 1}": wb[i][j] for i in range(3) for j in range(3)} | {f"w{i + 1}": we[i][0] for i in range(3)})
@@ -78,8 +78,8 @@ def system(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest, none = [F.lit(0.0).alias(k) for k in H[3:]], F.lit(None).cast(dict(edges.dtypes)["from_id"]).alias("col_node")
     side = lambda node, m: F.struct(F.col(node).alias("row_node"), none, *[x[0].alias(k) for k, x in zip(H, geo.multiply(geo.transpose(_matrix(m)), we), strict=False)], *rest)
     sides = F.when(F.col("to_id").isNull(), F.array(side("from_id", "a"))).otherwise(F.array(side("from_id", "a"), side("to_id", "b")))
-    parts = _weighted(edges, nodes).select("graph_id", F.explode(F.concat(_block_parts(), sides)).alias("b")).select("graph_id", "b.*")
-    made = kept(_anchored(parts, edges).groupBy("graph_id", "row_node", "col_node").agg(*[F.sum(k).alias(k) for k in H]))
+    parts = _weighted(edges, nodes, spread=True).select("graph_id", F.explode(F.concat(_block_parts(), sides)).alias("b")).select("graph_id", "b.*")
+    made = kept_in_small_methods(_anchored(parts, edges).groupBy("graph_id", "row_node", "col_node").agg(*[F.sum(k).alias(k) for k in H]))
     gradient = made.filter("col_node is null").select("graph_id", F.col("row_node").alias("node_id"), *[F.col(h).alias(g) for h, g in zip(H, G, strict=False)])
     return made.filter("col_node is not null"), gradient
 

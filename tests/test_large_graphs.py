@@ -181,3 +181,29 @@ def test_small_graphs_solved_together_equal_those_solved_alone():
         mine = together[of == g].sort_values(["kind", "a"]).reset_index(drop=True)
         np.testing.assert_allclose(mine[elimination.V].to_numpy(float), want.sort_values(["kind", "a"])[elimination.V].to_numpy(float), rtol=1e-9, atol=1e-12)
         assert mine[["kind", "a"]].values.tolist() == want.sort_values(["kind", "a"])[["kind", "a"]].values.tolist()
+
+
+def test_panels_give_what_one_matrix_gives_and_determinants_need_no_solution():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    n, width = 83, 9
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    near = (a <= b) & (b - a <= width)
+    a, b = a[near], b[near]
+    values = rng.normal(size=(len(a), 3, 3))
+    own = a == b
+    values[own] = values[own] + values[own].transpose(0, 2, 1) + 200 * np.eye(3)
+    # Landmarks.
+    flat = a % 7 == 3, b % 7 == 3
+    values[flat[0], 2, :], values[flat[1], :, 2] = 0, 0
+    rhs = rng.normal(size=(3 * n, 5))
+    rhs[2::3][np.arange(n) % 7 == 3] = 0
+    want, got = elimination._dense(a, b, values, rhs), elimination._narrow(a, b, values, rhs, width, True)
+    for mine, whole in zip(got, want, strict=True):
+        np.testing.assert_allclose(mine, whole, rtol=1e-10, atol=1e-12)
+    rows = pd.DataFrame(values.reshape(-1, 9), columns=elimination.V).assign(a=a, b=b.astype(float), a_in=a < 70, b_in=b < 70)
+    rows = rows[rows.a_in | rows.b_in]
+    whole, part = elimination._eliminated(rows), elimination._eliminated(rows, solve=False)
+    assert set(part.kind) == {elimination.BLOCK, elimination.SIDE, elimination.DETERMINANT}
+    pd.testing.assert_frame_equal(part, whole[whole.kind.isin(set(part.kind))])
