@@ -27,21 +27,26 @@ ODD = re.compile(r"\A(?![!-~\w])|\s\Z| ")
 LONGEST, REMEMBERED = 64, 1 << 20
 
 
+def is_odd(chunk: str) -> bool:
+    # Most are printable ASCII, and a chunk that stands between spaces holds none.
+    return not (chunk.isascii() and chunk.isprintable() and chunk and " " not in chunk) and ODD.search(chunk) is not None
+
+
 class Numbered:
     """Numbers chunks; `make` is given the new ones of a batch, the even ones and the odd ones, whose numbers follow those before.
 
-    When more than REMEMBERED chunks are numbered, `renew`, between batches, keeps the half of them that was met most often and
+    When more than `most` chunks are numbered, `renew`, between batches, keeps the half of them that was met most often and
     passes their numbers, which become 0, 1, ..., to `keep`.
     """
 
-    def __init__(self, make: Callable[[list[str], list[str]], None], keep: Callable[[np.ndarray], None]) -> None:
-        self.make, self.keep, self.known, self.size, self.met = make, keep, {}, 0, np.zeros(0, np.int64)
+    def __init__(self, make: Callable[[list[str], list[str]], None], keep: Callable[[np.ndarray], None], most: int = REMEMBERED) -> None:
+        self.make, self.keep, self.most, self.known, self.size, self.met = make, keep, most, {}, 0, np.zeros(0, np.int64)
 
     def renew(self) -> None:
-        if self.size <= REMEMBERED:
+        if self.size <= self.most:
             return
         chunks, numbers = list(self.known), np.fromiter(self.known.values(), dtype=np.int64, count=len(self.known))
-        best = np.argsort(-self.met[numbers], kind="stable")[: REMEMBERED // 2]
+        best = np.argsort(-self.met[numbers], kind="stable")[: self.most // 2]
         self.keep(numbers[best])
         # Halved, so that what is met no more goes in time.
         self.known, self.size, self.met = {chunks[i]: k for k, i in enumerate(best.tolist())}, len(best), self.met[numbers[best]] // 2
@@ -54,12 +59,12 @@ class Numbered:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        own, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        own, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         found = np.fromiter(map(self.known.get, own, repeat(-1)), dtype=np.int64, count=len(own))
         # Odd ones are never remembered.
         unknown = np.flatnonzero(found < 0).tolist()
         odd = np.zeros(len(own), dtype=bool)
-        odd[[i for i in unknown if ODD.search(own[i])]] = True
+        odd[[i for i in unknown if is_odd(own[i])]] = True
         again = np.add.reduceat(odd[at], offsets[:-1]) > 0
         recut = {i: CUT.split(texts[i]) if texts[i] else [] for i in np.flatnonzero(again).tolist()}
         counts = np.diff(offsets)
@@ -68,7 +73,7 @@ class Numbered:
         fresh = [i for i in unknown if used[i]]
         new = dict.fromkeys([own[i] for i in fresh]) | dict.fromkeys(c for p in recut.values() for c in p if c not in self.known)
         if new:
-            apart = [c for c in new if ODD.search(c)] if recut else []
+            apart = [c for c in new if is_odd(c)] if recut else []
             gone = set(apart)
             even = [c for c in new if c not in gone]
             self.make(even, apart)

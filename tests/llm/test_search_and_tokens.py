@@ -204,3 +204,10 @@ def test_chunks_give_the_ids_of_whole_texts_while_the_memory_turns_over(monkeypa
     for at in range(0, len(texts), 20):
         counts, hashes, *_ = aligner.texts(texts[at : at + 20])
         assert [(*c, h) for c, h in zip(counts.tolist(), hashes, strict=True)] == [(*w[1:5], w[7]) for w in want[at : at + 20]]
+
+
+def test_chunks_are_odd_by_the_short_way_as_by_the_pattern():
+    from graphtide.llm.chunks import ODD, is_odd
+
+    for c in ["", "a", "a,", "-", "é", "aé", "\ta", "a\n", "a\nb", " a", "a ", "a b", " a", "a ", "\x7f", "~", "中", "a\x1f", "\x00"]:
+        assert is_odd(c) == (ODD.search(c) is not None), repr(c)
