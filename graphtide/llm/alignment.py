@@ -37,6 +37,8 @@ SPACE = "▁"
 WIDTH = 1 << 20
 #: Most pairs that are sent to all tasks.
 PAIRS = 1 << 18
+#: Most chunks that a worker remembers: with their groups and pairs a chunk takes about half a KB.
+REMEMBERED = 1 << 18
 
 
 def byte_of() -> dict[str, int]:
@@ -64,12 +66,12 @@ def _pieces(sp: sentencepiece.SentencePieceProcessor) -> list[bytes]:
 class Aligner:
     """Aligns chunks, each with a space before it, and keeps what it has found of them under their numbers."""
 
-    def __init__(self, a: str = A, b: str = B) -> None:
+    def __init__(self, a: str = A, b: str = B, most: int = REMEMBERED) -> None:
         self.a, self.b = ByteLevel(a, special=False), sentencepiece.SentencePieceProcessor(model_file=b)
         self.bytes_a, self.bytes_b = _byte_level(self.a), _pieces(self.b)
         self.width_a, self.width_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
-        self.numbered = Numbered(self._add, self._keep)
+        self.numbered = Numbered(self._add, self._keep, most)
         self.good, self.counts, self.groups = np.zeros(0, bool), np.zeros((0, 4), np.int64), []
         self.pairs, self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 

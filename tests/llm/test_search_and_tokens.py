@@ -206,6 +206,18 @@ def test_chunks_give_the_ids_of_whole_texts_while_the_memory_turns_over(monkeypa
         assert [(*c, h) for c, h in zip(counts.tolist(), hashes, strict=True)] == [(*w[1:5], w[7]) for w in want[at : at + 20]]
 
 
+def test_what_an_aligner_remembers_is_bounded_and_changes_nothing():
+    from graphtide.llm.alignment import REMEMBERED, Aligner
+
+    assert Aligner().numbered.most == REMEMBERED <= 1 << 18
+    small, batches = Aligner(most=64), [[f"word{i}x{k} the of, é{i}\n tail{k}  z" for i in range(30)] for k in range(6)]
+    for texts in batches:
+        for mine, want in zip(small.texts(texts), Aligner().texts(texts), strict=True):
+            assert list(mine) == list(want) if isinstance(mine, list) else (mine == want).all()
+        small.numbered.renew()
+        assert len(small.numbered.known) <= small.numbered.size <= 64 and len(small.groups) == len(small.sizes) == small.numbered.size
+
+
 def test_chunks_are_odd_by_the_short_way_as_by_the_pattern():
     from graphtide.llm.chunks import ODD, is_odd
 
