@@ -43,6 +43,8 @@ STEPS = "graph_id long, node_id long, step long"
 
 #: A graph with more edges is walked over tables.
 WALKED = 1 << 17
+#: Steps whose edges are numbered together.
+STEPS_AT_ONCE = 1 << 14
 
 
 def growth_steps(edges: DataFrame, seed: int = 0, walked: int = WALKED) -> DataFrame:
@@ -56,7 +58,7 @@ def growth_steps(edges: DataFrame, seed: int = 0, walked: int = WALKED) -> DataF
         steps = prim_steps(rows, seed)
         return pd.DataFrame({"graph_id": key[0], "node_id": list(steps), "step": list(steps.values())})
 
-    sizes = picked.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("from_id") == seed) | F.coalesce(F.col("to_id") == seed, F.lit(False))).alias("seeded"))
+    sizes = kept(picked.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("from_id") == seed) | F.coalesce(F.col("to_id") == seed, F.lit(False))).alias("seeded")))
     large = sizes.filter(F.col("n") > walked)
     grouped = lambda some: some.groupBy("graph_id").applyInPandas(walk, STEPS.replace("graph_id long", f"graph_id {kind}"))
     if large.isEmpty():
@@ -66,7 +68,7 @@ def growth_steps(edges: DataFrame, seed: int = 0, walked: int = WALKED) -> DataF
         raise ValueError(f"graph {without['graph_id']} has no node {seed}")
     joining = picked.join(large, "graph_id", "left_semi").filter("type <> 'G' and from_id <> to_id")
     seeds = large.select("graph_id", F.lit(seed).cast("long").alias("node_id"), F.lit(0).cast("long").alias("step"))
-    return grouped(picked.join(large, "graph_id", "left_anti")).unionByName(walk_steps(joining, seed).filter("step > 0")).unionByName(seeds)
+    return kept(grouped(picked.join(large, "graph_id", "left_anti")).unionByName(walk_steps(joining, seed).filter("step > 0")).unionByName(seeds))
 
 
 def growth_order(edges: DataFrame, seed: int = 0, steps: DataFrame | None = None) -> DataFrame:
@@ -77,9 +79,15 @@ def growth_order(edges: DataFrame, seed: int = 0, steps: DataFrame | None = None
     # A growing edge is the earliest that reaches its later end from a node that joined before; it is the least by place among edges of that step.
     step = F.greatest(F.lit(1), F.col("s_from"), F.coalesce("s_to", "s_from"))
     grows = (F.col("type") != "G") & (F.col("s_from") != F.col("s_to"))
-    first = F.min(F.when(grows, F.col("edge_pos"))).over(Window.partitionBy("graph_id", "step"))
-    rows = rows.withColumn("step", step).withColumn("grows", grows).withColumn("kind", F.when(F.col("grows") & (F.col("edge_pos") == first), "growth").otherwise("closure"))
-    return numbered(rows.drop("s_from", "s_to", "grows"), ["graph_id"], ["step", F.col("kind") == "closure", "edge_pos"], "seq")
+    first = F.min(F.when(F.col("_grows"), F.col("edge_pos"))).over(Window.partitionBy("graph_id", "_part", "step"))
+    # Steps have none missing, so ranges of them are known. What is joined is read twice, so it is kept.
+    rows = kept(rows.withColumn("step", step).withColumn("_grows", grows).drop("s_from", "s_to")).withColumn("_part", F.floor(F.col("step") / STEPS_AT_ONCE))
+    totals = rows.groupBy("graph_id", "_part").agg(F.count(F.lit(1)).alias("_total"))
+    before = Window.partitionBy("graph_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept(totals.select("graph_id", "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("graph_id", "_part").orderBy("step", F.col("kind") == "closure", "edge_pos"))
+    dealt = rows.repartition("graph_id", "_part").withColumn("kind", F.when(F.col("_grows") & (F.col("edge_pos") == first), "growth").otherwise("closure"))
+    return dealt.withColumn("_place", place).join(offsets, ["graph_id", "_part"]).select(*[c for c in rows.columns if c not in ("_part", "_grows")], "kind", (F.col("_place") + F.col("_before")).alias("seq"))
 
 
 def dropped_edges(edges: DataFrame, ordered: DataFrame) -> DataFrame:

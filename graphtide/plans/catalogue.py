@@ -322,7 +322,7 @@ def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def one_graph_growth(spark, sf_dir):
-    edges = kept(fixture.edges(spark, sf_dir, whole=True))
+    edges = kept(fixture.edges(spark, sf_dir, whole=True).select("graph_id", "edge_pos", "type", "from_id", "to_id"))
     return growth.growth_order(edges, steps=growth.growth_steps(edges, walked=0)).select("edge_pos", "seq", "step", "kind")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphtide.operators.kept import tasks_for
-from graphtide.operators.prefix import numbered
+from graphtide.operators.prefix import running_sums
 
 #: Landmarks are numbered from here.
 LANDMARKS, WHOLE_LANDMARKS = 1_000_000, 1_000_000_000_000
@@ -20,8 +20,9 @@ INFORMATION = {"P": (4.0, 0.5, 0.0, 4.0, 0.0, 16.0), "L": (2.0, 0.25, 0.0, 2.0,
 def _events(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     if whole:
-        rows = numbered(ev.select(F.lit(0).cast("long").alias("graph_id"), F.col("event_id").alias("e"), "event_type", "ts"), ["graph_id"], ["ts", "e"], "place")
-        return rows.select("graph_id", "e", "event_type", (F.col("place") - 1).alias("k"))
+        bought = F.coalesce((F.col("event_type") == "purchase").cast("long"), F.lit(0).cast("long"))
+        rows = running_sums(ev.select(F.lit(0).cast("long").alias("graph_id"), F.col("event_id").alias("e"), "event_type", "ts"), ["graph_id"], ["ts", "e"], {"place": F.lit(1).cast("long"), "bought": bought})
+        return rows.select("graph_id", "e", "event_type", (F.col("place") - 1).alias("k"), "bought").crossJoin(ev.agg((F.count(F.lit(1)) - 1).alias("last")))
     # Memory of a task doesn't grow with the input.
     if (tasks := tasks_for(ev)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
         ev = ev.repartition(tasks, "user_id")
@@ -40,7 +41,8 @@ def edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """In file order: odometry, pose closures, landmark sights, position fixes. An odometry edge beyond the last pose isn't made."""
     e, k = F.col("e"), F.col("k")
     ev = _events(spark, sf_dir, whole)
-    ev = ev.join(ev.groupBy("graph_id").agg(F.max("k").alias("last")), "graph_id") if whole else ev.withColumn("last", F.max("k").over(Window.partitionBy("graph_id")))
+    if not whole:
+        ev = ev.withColumn("last", F.max("k").over(Window.partitionBy("graph_id")))
     none = F.lit(None)
     across, turn = (e % 8 - 4) / 8.0, (e % 16 - 8) / 16.0
     made = lambda grp, kind, to, z1, z2, z3: F.struct(F.lit(grp).alias("grp"), F.lit(kind).alias("type"), to.cast("long").alias("to_id"), z1.cast("double").alias("z1"), z2.cast("double").alias("z2"), z3.cast("double").alias("z3"))
@@ -51,9 +53,13 @@ def edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         F.when(F.col("event_type") == "purchase", made(3, "G", none, k + (e % 4 - 2) / 4.0, e % 8 / 4.0, none)),
     )
     # One pass over the events makes edges of all kinds.
-    raw = ev.select("graph_id", "k", F.explode(F.array_compact(kinds)).alias("m")).select("graph_id", "k", k.alias("from_id"), "m.*")
+    raw = ev.select("graph_id", "k", *(["last", "bought"] if whole else []), F.explode(F.array_compact(kinds)).alias("m")).select("graph_id", "k", k.alias("from_id"), *(["last", "bought"] if whole else []), "m.*")
     if whole:
-        return numbered(raw, ["graph_id"], ["grp", "k"], "edge_pos").select("graph_id", "edge_pos", "type", "from_id", "to_id", "z1", "z2", "z3")
+        # Numbers by (grp, k), from the numbers of the poses: k has none missing.
+        last = F.col("last")
+        closures, sights = F.greatest(F.floor(last / 7) - 1, F.lit(0)), F.floor(last / 3) + 1
+        place = F.when(F.col("grp") == 0, k + 1).when(F.col("grp") == 1, last + F.floor(k / 7) - 1).when(F.col("grp") == 2, last + closures + F.floor(k / 3) + 1).otherwise(last + closures + sights + F.col("bought"))
+        return raw.select("graph_id", place.cast("long").alias("edge_pos"), "type", "from_id", "to_id", "z1", "z2", "z3")
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy("grp", "k")).cast("long")
     return raw.withColumn("edge_pos", place).select("graph_id", "edge_pos", "type", "from_id", "to_id", "z1", "z2", "z3")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphtide.operators import elimination, growth, incremental, linsys, prefix, solver
+from graphtide.operators import elimination, growth, incremental, linsys, prefix, solver, spanning
 from graphtide.sources import fixture
 from tests.test_graphs import literal_order, random_edges
 
@@ -54,6 +54,26 @@ def test_growth_over_tables_equals_the_literal_rule(spark):
         growth.growth_steps(df, seed=999, walked=0)
 
 
+def test_blocks_of_nodes_are_joined_before_the_rounds(spark, monkeypatch):
+    """Parts that end at blocks' borders, are entered elsewhere than at their root, or stay apart within a block; the rounds get what is left between parts."""
+    rng = random.Random(7)
+    graphs = dict(enumerate(shapes()))
+    for n in (9, 14):
+        order = rng.sample(range(1, 40), 30)
+        graphs[len(graphs)] = [(p, "P", rng.choice(order[:n] + [0]), v) for p, v in zip(rng.sample(range(1, 99), 30), order, strict=True)]
+    # A chain with sights of one far node; each block is one part.
+    long = len(graphs)
+    graphs[long] = [(p, "P", p - 1, p) for p in range(1, 400)] + [(400 + p, "L", p, 1 << 60) for p in range(400)]
+    df = spark.createDataFrame([(g, *e) for g, rows in graphs.items() for e in rows if e[1] != "G" and e[2] != e[3]], EDGES)
+    given, by_rounds = [], spanning._tree_by_rounds
+    monkeypatch.setattr(spanning, "_tree_by_rounds", lambda edges, seed: (given.append(edges.filter(F.col("graph_id") == long).count()), by_rounds(edges, seed))[1])
+    steps = {(r["graph_id"], r["node_id"]): r["step"] for r in spanning.walk_steps(df, block=5).collect()}
+    want = {(g, v): s for g, rows in graphs.items() for v, s in growth.prim_steps(rows, 0).items()}
+    assert steps == {k: v for k, v in want.items() if any(0 in e[2:] for e in graphs[k[0]] if e[1] != "G" and e[2] != e[3])}
+    # 80 blocks of poses: a step to the next and a sight of each, of 799 edges.
+    assert given == [79 + 80]
+
+
 def test_text_ids_walks_beside_tables_and_an_empty_table(spark):
     df = spark.createDataFrame([("a", 1, "P", 3, 0), ("a", 2, "P", 3, 4), ("b", 1, "P", 0, 1)], EDGES.replace("graph_id long", "graph_id string"))
     rows = {tuple(r) for r in growth.growth_steps(df, walked=1).collect()}
