@@ -24,8 +24,8 @@ import re
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Callable
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 from operator import concat
 from typing import NamedTuple
 
@@ -46,8 +46,8 @@ PIECES = 1 << 20
 #: Bounds of the table of frequent words: words, and a word's length.
 FREQUENT = 1 << 16
 FREQUENT_LENGTH = 48
-#: Most words and most runs that a task remembers beside these, and most different runs that it counts before it sends them.
-CACHED_WORDS = 1 << 17
+#: Most words and most runs that a task remembers beside these, and most different runs that it counts before it sends them. A batch of texts holds some 60,000 different runs.
+CACHED_WORDS = 1 << 18
 COUNTED_RUNS = 1 << 18
 
 
@@ -64,13 +64,9 @@ class Pieces(NamedTuple):
     pairs: frozenset[str]
 
     def words(self, run: str) -> list[str]:
-        pairs, start, out = self.pairs, 0, []
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in pairs:
-                out.append(run[start:i])
-                start = i
-        out.append(run[start:])
-        return out
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(concat, run, run[1:]), 1) if pair not in pairs]
+        return [run[i:j] for i, j in zip([0, *cuts], [*cuts, len(run)], strict=True)] if cuts else [run]
 
 
 def is_unigram(model: str) -> bool:
@@ -221,16 +217,16 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 class Kept(dict):
     """Values as they're asked for; when there are too many, those not asked for since the time before are dropped, the given ones never."""
 
-    def __init__(self, known: dict[str, bytes], make) -> None:
+    def __init__(self, known: dict[str, bytes], make, most: int) -> None:
         super().__init__(known)
-        self.known, self.make, self.older = known, make, {}
+        self.known, self.make, self.most, self.older = known, make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= FREQUENT_LENGTH:
-            if len(self) >= len(self.known) + CACHED_WORDS // 2:
+            if len(self) >= len(self.known) + self.most // 2:
                 self.older = self.copy()
                 self.clear()
                 self.update(self.known)
@@ -238,6 +234,94 @@ class Kept(dict):
         return value
 
 
+class Cuts:
+    """Pieces.words of many runs at once."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        chars = {c: i for i, c in enumerate(dict.fromkeys(c for pair in pieces.pairs for c in pair))}
+        self.size = len(chars) + 1
+        #: The last number stands for characters that no piece holds beside another.
+        self.number = np.full(0x110000, len(chars), np.int32)
+        for c, i in chars.items():
+            self.number[ord(c)] = i
+        self.pairs = np.array(sorted(chars[a] * self.size + chars[b] for a, b in pieces.pairs) + [self.size**2], np.int64)
+
+    def __call__(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+        """All words, and how many each run has. Takes runs without their first U+2581."""
+        if not runs:
+            return [], np.zeros(0, np.int64)
+        text = SPACE + SPACE.join(runs)
+        number = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        key = number[:-1] * self.size + number[1:]
+        begins = np.append(True, self.pairs[np.searchsorted(self.pairs, key)] != key)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
+        heads = np.cumsum(sizes) - sizes
+        begins[heads] = True
+        at = [*np.flatnonzero(begins).tolist(), len(text)]
+        return [text[i:j] for i, j in zip(at, at[1:])], np.add.reduceat(begins.astype(np.int64), heads)  # noqa: B905
+
+
+class Merges:
+    """The merging fold for many words of one length at once: a row of symbols for each, and a row of the costs of joining neighbours.
+
+    Symbols are the pieces and the characters that pieces consist of; a pair of symbols that make up a piece is a number in a sorted table.
+    """
+
+    def __init__(self, pieces: Pieces) -> None:
+        strings = dict.fromkeys([*pieces.table, *(c for p in pieces.table for c in p)])
+        number = {p: i for i, p in enumerate(strings)}
+        self.size = len(number) + 1
+        #: -1 for a character without a piece. The last symbol stands for characters that no piece holds.
+        self.ids = np.array([pieces.table[p][0] if p in pieces.table else -1 for p in strings] + [-1], np.int32)
+        self.symbol = np.full(0x110000, len(number), np.int32)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        pairs = sorted((number[p[:i]] * self.size + number[p[i:]], -score, number[p]) for p, (_, score) in pieces.table.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        # A last pair that none equals.
+        self.pairs = np.array([k for k, _, _ in pairs] + [self.size**2], np.int64)
+        self.costs = np.array([c for _, c, _ in pairs] + [np.inf], np.float64)
+        self.whole = np.array([w for _, _, w in pairs] + [0], np.int32)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of joining, infinite where no piece comes of it, and the piece."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.costs[at], np.inf), self.whole[at]
+
+    def __call__(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of at most FREQUENT_LENGTH characters, with the bytes of their ids; those in which a character has no piece are left out."""
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            if len(w) <= FREQUENT_LENGTH:
+                by_size.setdefault(len(w), []).append(w)
+        for n, some in by_size.items():
+            of = np.arange(len(some))
+            row = self.symbol[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n)
+            cost, whole = self._pair(row[:, :-1], row[:, 1:])
+            while len(of):
+                lines = np.arange(len(of))
+                least = cost.argmin(1) if cost.shape[1] else np.zeros(len(of), np.int64)
+                going = np.isfinite(cost[lines, least]) if cost.shape[1] else np.zeros(len(of), bool)
+                ids = self.ids[row[~going]]
+                good, data, step = (ids >= 0).all(1).tolist(), ids.tobytes(), 4 * ids.shape[1]
+                yield from ((some[i], data[k * step : (k + 1) * step]) for k, i in enumerate(of[~going].tolist()) if good[k])
+                of, row, cost, whole, least = of[going], row[going], cost[going], whole[going], least[going]
+                if not len(of):
+                    break
+                lines = np.arange(len(of))
+                row[lines, least] = whole[lines, least]
+                wide = np.arange(row.shape[1] - 1)
+                row = row[lines[:, None], wide + (wide > least[:, None])]
+                wide = wide[:-1]
+                past = wide + (wide >= least[:, None])
+                cost, whole = cost[lines[:, None], past], whole[lines[:, None], past]
+                for at in (least - 1, least):
+                    some_lines = np.flatnonzero((at >= 0) & (at < cost.shape[1]))
+                    there = at[some_lines]
+                    cost[some_lines, there], whole[some_lines, there] = self._pair(row[some_lines, there], row[some_lines, there + 1])
+
+
 class Encoder:
     """Ids are kept as the bytes of 32-bit numbers, which are joined without making numbers of them."""
 
@@ -246,24 +330,41 @@ class Encoder:
         self.decoder = Decoder(pieces)
         #: Words, and runs without their first U+2581, that their ids don't decode to.
         self.lost, self.broken = {w for w, ids in known.items() if not self._decodes(w, ids)}, set()
-        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, self._word)
-        self.runs = Kept({}, self._run)
+        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, self._word, CACHED_WORDS)
+        self.runs = Kept({}, self._run, CACHED_WORDS)
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
+        self.merges, self.cuts = None if pieces.unigram else Merges(pieces), Cuts(pieces)
+        #: Of the texts at hand: the words of runs, and the bytes of words whose parts are all pieces, which decode to them.
+        self.cut: dict[str, list[str]] = {}
+        self.ready: dict[str, bytes] = {}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
     def _decodes(self, word: str, ids: tuple[int, ...]) -> bool:
         return self.decoder.joined(ids) == word.encode("utf-8", "surrogatepass")
 
+    def prepare(self, runs: Iterable[str]) -> None:
+        """Cuts the runs that aren't known and merges their new words together."""
+        if self.merges is None:
+            return
+        known, older = self.runs, self.runs.older
+        new = [r for r in set(runs) if r not in known and r not in older]
+        words, counts = self.cuts(new)
+        ends = np.cumsum(counts).tolist()
+        self.cut = {r: words[i:j] for r, i, j in zip(new, [0, *ends], ends)}  # noqa: B905
+        known, older = self.ids, self.ids.older
+        self.ready = dict(self.merges([w for w in set(words) if w not in known and w not in older]))
+
     def _word(self, word: str) -> bytes:
+        ready = self.ready.get(word)
+        if ready is not None:
+            return ready
         ids = self.word(word)
         if not self._decodes(word, ids):
             self.lost.add(word)
         return array("i", ids).tobytes()
 
     def _run(self, rest: str) -> bytes:
-        run = SPACE + rest
-        # What is kept has no cut in it.
-        words = [run] if run in self.ids else self.pieces.words(run)
+        words = self.cut.get(rest) or self.pieces.words(SPACE + rest)
         ids = b"".join(map(self.ids.__getitem__, words))
         # Parts of a word decode to themselves or to nothing, so a run comes back if each of its words does.
         if self.lost and not self.lost.isdisjoint(words):
@@ -346,8 +447,16 @@ class Encoder:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
+    def packed_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        runs = list(map(runs_of, texts))
+        self.prepare(chain.from_iterable(runs))
+        out = [b"".join(map(self.runs.__getitem__, r)) for r in runs]
+        self.cut, self.ready = {}, {}
+        return out
+
     def packed(self, text: str | None) -> bytes:
-        return b"".join(map(self.runs.__getitem__, runs_of(text)))
+        return self.packed_all([text])[0]
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.packed(text)).tolist()
@@ -376,14 +485,16 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     def count(batches):
         def rows():
             words: Counter[str] = Counter()
-            for run, n in seen.items():
-                for w in pieces.words(SPACE + run):
-                    if len(w) <= FREQUENT_LENGTH:
-                        words[w] += n
+            found, counts = cuts(list(seen))
+            for w, n in zip(found, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), counts).tolist(), strict=True):
+                words[w] += n
+            for w in [w for w in words if len(w) > FREQUENT_LENGTH]:
+                del words[w]
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=schema)
 
         seen: Counter[str] = Counter()
+        cuts = Cuts(pieces)
         for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(runs_of(text))
@@ -438,10 +549,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             encoder = _own(key, lambda: Encoder(*shared.value))
-            parts, exact = [], []
-            for text in batch.column(1).to_pylist():
-                parts.append(encoder.packed(text))
-                exact.append(encoder.exact(text))
+            texts = batch.column(1).to_pylist()
+            parts = encoder.packed_all(texts)
+            exact = list(map(encoder.exact, texts))
             sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))

@@ -627,3 +627,20 @@ def test_full_caches_change_no_ids_and_lost_characters_are_told(monkeypatch):
         for text, exact in (("the cat", True), ("the \U0001F9FF cat", False), ("cat", True), ("a\U0001F9FF", False)):
             encoder.encode(text)
             assert encoder.exact(text) is exact, text
+
+
+def test_new_words_are_cut_and_merged_together(monkeypatch):
+    found = pieces.load()
+    texts = [" ".join(ODD_WORDS), "internationalization of plough-shares, naïve 日本語 x\ty", None, "", "a", "word " * 3 + "w" * 60, "▁ ▁▁x  y"]
+    runs = sorted({r for t in texts for r in pieces.runs_of(t)})
+    words, counts = pieces.Cuts(found)(runs)
+    ends = np.cumsum(counts)
+    assert [words[j - n : j] for j, n in zip(ends, counts, strict=True)] == [found.words("▁" + r) for r in runs]
+    one_by_one = pieces.Encoder(found, {})
+    merged = dict(pieces.Merges(found)(words))
+    assert merged and all(np.frombuffer(b, np.int32).tolist() == list(one_by_one.word(w)) for w, b in merged.items())
+    # Only words that are long or hold a character without a piece are still encoded one by one.
+    asked, encoder = [], pieces.Encoder(found, {})
+    monkeypatch.setattr(encoder, "word", lambda w: (asked.append(w), one_by_one.word(w))[1])
+    assert encoder.packed_all(texts) == [b"".join(np.array(one_by_one.word(w), np.int32).tobytes() for r in pieces.runs_of(t) for w in found.words("▁" + r)) for t in texts]
+    assert all(len(w) > pieces.FREQUENT_LENGTH or any(c not in found.table for c in w) for w in asked)
