@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 #: Rows, and bytes beyond one row, handed to a Python function at once: bound the memory of one step.
 ROWS_AT_ONCE = 512
 BYTES_AT_ONCE = 4 << 20
+#: Most rows of an Arrow batch between Spark and Python, and the setting.
+BATCH_ROWS = 2 * ROWS_AT_ONCE
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,6 +67,14 @@ def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return wrapped
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session hands rows to Python in batches of BATCH_ROWS at most; Spark's 10,000 texts at once are held several times over by a task's JVM and its worker. A smaller setting stays."""
+    given = int(df.sparkSession.conf.get(ARROW_ROWS))
+    if not 0 < given <= BATCH_ROWS:
+        df.sparkSession.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
     """Streams `df` through `fn`, which turns a list of row dicts into output tuples. No shuffle; integers stay integers beside nulls."""
     struct = StructType.fromDDL(schema)
@@ -76,7 +87,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[dict]], Iterator[tuple] | list[tu
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(released(run), struct)
+    return small_batches(df).mapInArrow(released(run), struct)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

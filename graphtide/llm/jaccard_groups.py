@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import Store, cut_lineage, released, sliced
+from graphtide.llm.common import Store, cut_lineage, released, sliced, small_batches
 from graphtide.llm.components import components
 
 #: log2 of the fewest and most buckets of the load table, a byte each, which goes to every task. In between there is a bucket for so many bytes of documents.
@@ -166,7 +166,7 @@ def loads(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array([np.minimum(255, np.rint(8 * np.log2(1 + x))).astype(np.uint8).tobytes() for x in totals.values()], pa.binary())], schema=schema)
 
-    found = docs.select("text").mapInArrow(released(count), "part int, total binary").repartition("part").mapInArrow(add_up, "part int, total binary").toArrow()
+    found = small_batches(docs.select("text")).mapInArrow(released(count), "part int, total binary").repartition("part").mapInArrow(add_up, "part int, total binary").toArrow()
     out = np.zeros((1 << bits) // PART * PART, dtype=np.uint8).reshape(-1, PART)
     for i, x in zip(found["part"].to_pylist(), found["total"], strict=True):
         out[i] = np.frombuffer(x.as_buffer(), dtype=np.uint8)
@@ -206,7 +206,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bits.append(np.packbits(flags, bitorder="little").view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), lists(prefix), lists(bits)], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(released(sign), schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(released(sign), schema)
 
 
 def _least_overlap(a: Column, b: Column, num: int, den: int) -> Column:
@@ -270,7 +270,7 @@ def whole_sets(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([t.view(np.int64) for t in shingler.tokens(batch.column(1))], pa.list_(pa.int64()))], schema=arrow)
 
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << bits))
-    return docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(released(cut), "doc_id long, tokens array<bigint>")
+    return small_batches(docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place"))).mapInArrow(released(cut), "doc_id long, tokens array<bigint>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:

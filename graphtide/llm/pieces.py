@@ -24,7 +24,7 @@ import re
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 from operator import concat
 from typing import NamedTuple
@@ -35,7 +35,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import Store, map_rows, released, sliced
+from graphtide.llm.common import Store, map_rows, released, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -49,6 +49,8 @@ FREQUENT_LENGTH = 48
 #: Most words and most runs that a task remembers beside these, and most different runs that it counts before it sends them. A batch of texts holds some 60,000 different runs.
 CACHED_WORDS = 1 << 18
 COUNTED_RUNS = 1 << 18
+#: Runs that are cut together: bounds the arrays over their characters.
+CUT_AT_ONCE = 1 << 13
 
 
 class Pieces(NamedTuple):
@@ -214,26 +216,6 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 # ---- the lattice of one word where it stands
 
 
-class Kept(dict):
-    """Values as they're asked for; when there are too many, those not asked for since the time before are dropped, the given ones never."""
-
-    def __init__(self, known: dict[str, bytes], make, most: int) -> None:
-        super().__init__(known)
-        self.known, self.make, self.most, self.older = known, make, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= FREQUENT_LENGTH:
-            if len(self) >= len(self.known) + self.most // 2:
-                self.older = self.copy()
-                self.clear()
-                self.update(self.known)
-            self[key] = value
-        return value
-
-
 class Cuts:
     """Pieces.words of many runs at once."""
 
@@ -248,8 +230,10 @@ class Cuts:
 
     def __call__(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
         """All words, and how many each run has. Takes runs without their first U+2581."""
-        if not runs:
-            return [], np.zeros(0, np.int64)
+        parts = [self._cut(runs[i : i + CUT_AT_ONCE]) for i in range(0, len(runs), CUT_AT_ONCE)]
+        return list(chain.from_iterable(words for words, _ in parts)), np.concatenate([np.zeros(0, np.int64), *(counts for _, counts in parts)])
+
+    def _cut(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
         text = SPACE + SPACE.join(runs)
         number = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         key = number[:-1] * self.size + number[1:]
@@ -323,53 +307,79 @@ class Merges:
 
 
 class Encoder:
-    """Ids are kept as the bytes of 32-bit numbers, which are joined without making numbers of them."""
+    """Ids are kept as the bytes of 32-bit numbers, which are joined without making numbers of them.
+
+    Words and runs (without their first U+2581) are kept in plain dictionaries, which sets are compared with at once: one of
+    those met lately and one of those met before, which goes when the first is full. Frequent words never go.
+    """
 
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]) -> None:
         self.pieces = pieces
         self.decoder = Decoder(pieces)
-        #: Words, and runs without their first U+2581, that their ids don't decode to.
+        #: Words and runs that their ids don't decode to.
         self.lost, self.broken = {w for w, ids in known.items() if not self._decodes(w, ids)}, set()
-        self.ids = Kept({w: array("i", ids).tobytes() for w, ids in known.items()}, self._word, CACHED_WORDS)
-        self.runs = Kept({}, self._run, CACHED_WORDS)
+        self.known = {w: array("i", ids).tobytes() for w, ids in known.items()}
+        self.ids, self.older_ids = dict(self.known), {}
+        self.runs, self.older_runs = {}, {}
+        #: Words and runs of the texts at hand that are too long to be kept.
+        self.long: list[str] = []
+        self.long_runs: list[str] = []
         self.costs = {p: -score for p, (_, score) in pieces.table.items() if len(p) > 1}
         self.merges, self.cuts = None if pieces.unigram else Merges(pieces), Cuts(pieces)
-        #: Of the texts at hand: the words of runs, and the bytes of words whose parts are all pieces, which decode to them.
-        self.cut: dict[str, list[str]] = {}
-        self.ready: dict[str, bytes] = {}
         self.begins = {p[:i] for p in pieces.table for i in range(1, len(p) + 1)} if pieces.unigram else set()
 
     def _decodes(self, word: str, ids: tuple[int, ...]) -> bool:
         return self.decoder.joined(ids) == word.encode("utf-8", "surrogatepass")
 
-    def prepare(self, runs: Iterable[str]) -> None:
-        """Cuts the runs that aren't known and merges their new words together."""
-        if self.merges is None:
-            return
-        known, older = self.runs, self.runs.older
-        new = [r for r in set(runs) if r not in known and r not in older]
+    def _prepare(self, runs: set[str]) -> None:
+        """Puts all of the runs into `runs`: those that aren't known are cut together, and their new words merged together."""
+        missing = runs.difference(self.runs)
+        new = list(missing.difference(self.older_runs))
+        missing.difference_update(new)
+        self.runs.update(zip(missing, map(self.older_runs.__getitem__, missing)))  # noqa: B905
+        self.long_runs = [r for r in new if len(r) >= FREQUENT_LENGTH]
         words, counts = self.cuts(new)
-        ends = np.cumsum(counts).tolist()
-        self.cut = {r: words[i:j] for r, i, j in zip(new, [0, *ends], ends)}  # noqa: B905
-        known, older = self.ids, self.ids.older
-        self.ready = dict(self.merges([w for w in set(words) if w not in known and w not in older]))
+        self._prepare_words(set(words))
+        data = list(map(self.ids.__getitem__, words))
+        if len(words) == len(new):
+            self.runs.update(zip(new, data))  # noqa: B905
+        else:
+            ends = np.cumsum(counts)
+            self.runs.update((r, data[i] if i + 1 == j else b"".join(data[i:j])) for r, i, j in zip(new, (ends - counts).tolist(), ends.tolist()))  # noqa: B905
+        # Parts of a word decode to themselves or to nothing, so a run comes back if each of its words does.
+        if self.lost:
+            of = np.repeat(np.arange(len(new)), counts)
+            self.broken.update(new[of[k]] for k, w in enumerate(words) if w in self.lost)
+
+    def _prepare_words(self, words: set[str]) -> None:
+        missing = words.difference(self.ids)
+        new = list(missing.difference(self.older_ids))
+        missing.difference_update(new)
+        self.ids.update(zip(missing, map(self.older_ids.__getitem__, missing)))  # noqa: B905
+        if self.merges is not None:
+            # The bytes of words whose parts are all pieces, which decode to them.
+            self.ids.update(self.merges(new))
+        for w in new:
+            if w not in self.ids:
+                self.ids[w] = self._word(w)
+        self.long = [w for w in new if len(w) > FREQUENT_LENGTH]
 
     def _word(self, word: str) -> bytes:
-        ready = self.ready.get(word)
-        if ready is not None:
-            return ready
         ids = self.word(word)
         if not self._decodes(word, ids):
             self.lost.add(word)
         return array("i", ids).tobytes()
 
-    def _run(self, rest: str) -> bytes:
-        words = self.cut.get(rest) or self.pieces.words(SPACE + rest)
-        ids = b"".join(map(self.ids.__getitem__, words))
-        # Parts of a word decode to themselves or to nothing, so a run comes back if each of its words does.
-        if self.lost and not self.lost.isdisjoint(words):
-            self.broken.add(rest)
-        return ids
+    def _forget(self) -> None:
+        """Bounds what is kept after a batch of texts; long runs and words stay for their own batch only."""
+        for r in self.long_runs:
+            del self.runs[r]
+        for w in self.long:
+            del self.ids[w]
+        if len(self.runs) > CACHED_WORDS // 2:
+            self.runs, self.older_runs = {}, self.runs
+        if len(self.ids) > len(self.known) + CACHED_WORDS // 2:
+            self.ids, self.older_ids = dict(self.known), self.ids
 
     def exact(self, text: str | None) -> bool:
         """Whether the ids decode to the text, once it is encoded: its runs make it up, so it comes back if each of them does."""
@@ -449,10 +459,10 @@ class Encoder:
 
     def packed_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        runs = list(map(runs_of, texts))
-        self.prepare(chain.from_iterable(runs))
-        out = [b"".join(map(self.runs.__getitem__, r)) for r in runs]
-        self.cut, self.ready = {}, {}
+        split = list(map(runs_of, texts))
+        self._prepare(set(chain.from_iterable(split)))
+        out = [b"".join(map(self.runs.__getitem__, r)) for r in split]
+        self._forget()
         return out
 
     def packed(self, text: str | None) -> bytes:
@@ -503,7 +513,7 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
         if seen:
             yield rows()
 
-    return docs.select("text").mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select("text")).mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, store: Store) -> DataFrame:
@@ -557,7 +567,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), ids, pa.array(exact)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(released(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphtide.llm.common import cut_lineage, fold, map_rows, released, sliced
+from graphtide.llm.common import cut_lineage, fold, map_rows, released, sliced, small_batches
 
 HELD_OUT = (5, 0)
 #: Bound of the sample of labelled rows, half of it toxic if there are as many.
@@ -361,7 +361,7 @@ def _idf(docs: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarray:
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"f": pa.array(np.concatenate([[-1], held]), pa.int32()), "n": pa.array(np.concatenate([[n], seen[held]]), pa.int64())})
 
-    totals = docs.select("text").mapInArrow(released(count), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    totals = small_batches(docs.select("text")).mapInArrow(released(count), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1, dtype=np.int64)
     df[totals["f"].to_numpy()] = totals["n"].to_numpy()
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 1

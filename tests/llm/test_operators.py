@@ -10,16 +10,18 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import zstandard
 from pyspark.sql import functions as F
 
-from graphtide.llm import jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, queries, secret_scan, toxicity, warc
+from graphtide.llm import common, jaccard_groups, langid, matroska, merkle, mixture, pieces, quality, queries, secret_scan, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n bigint, bits string"
 LONG = "ab cd\n" * 30_000
@@ -644,3 +646,35 @@ def test_new_words_are_cut_and_merged_together(monkeypatch):
     monkeypatch.setattr(encoder, "word", lambda w: (asked.append(w), one_by_one.word(w))[1])
     assert encoder.packed_all(texts) == [b"".join(np.array(one_by_one.word(w), np.int32).tobytes() for r in pieces.runs_of(t) for w in found.words("▁" + r)) for t in texts]
     assert all(len(w) > pieces.FREQUENT_LENGTH or any(c not in found.table for c in w) for w in asked)
+
+
+def test_python_gets_small_batches_and_cuts_hold_few_characters(spark):
+    default = spark.conf.get(common.ARROW_ROWS)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    try:
+        for given, most in (("10000", common.BATCH_ROWS), ("-1", common.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(common.ARROW_ROWS, given)
+            pieces.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+            assert max(r["n"] for r in spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long").collect()) == most
+    finally:
+        spark.conf.set(common.ARROW_ROWS, default)
+    found = pieces.load()
+    cuts, runs = pieces.Cuts(found), [f"run{i},x" for i in range(40_000)] + ["", "日本語"]
+    tracemalloc.start()
+    words, counts = cuts(runs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 10 MB; with arrays over all characters at once 30 MB.
+    assert most < 14e6, most
+    assert counts.sum() == len(words) and "".join(words) == "".join(pieces.SPACE + r for r in runs)
+
+
+def test_runs_are_found_without_a_call_for_each(monkeypatch):
+    found = pieces.load()
+    texts = [f"plough{i % 7} share{i} {'w' * 60} the" for i in range(50)]
+    expected = [pieces.Encoder(found, {}).encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 40)
+    encoder = pieces.Encoder(found, {})
+    assert [encoder.encode(t) for t in texts * 2] == expected * 2
+    assert type(encoder.runs) is dict and all(len(r) < pieces.FREQUENT_LENGTH for kept in (encoder.runs, encoder.older_runs) for r in kept)
+    assert len(encoder.runs) <= 20 and len(encoder.older_runs) <= 24 and max(map(len, (*encoder.ids, *encoder.older_ids))) <= pieces.FREQUENT_LENGTH
