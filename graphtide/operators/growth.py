@@ -90,6 +90,21 @@ def growth_order(edges: DataFrame, seed: int = 0, steps: DataFrame | None = None
     return dealt.withColumn("_place", place).join(offsets, ["graph_id", "_part"]).select(*[c for c in rows.columns if c not in ("_part", "_grows")], "kind", (F.col("_place") + F.col("_before")).alias("seq"))
 
 
+def grown(edges: pd.DataFrame, seed: int = 0) -> pd.DataFrame:
+    """`edges` of one graph in the order of growth_order, for where a task holds the whole graph."""
+    rows = [(int(p), t, int(a), None if pd.isna(b) else int(b)) for p, t, a, b in zip(edges.edge_pos if "edge_pos" in edges else edges.seq, edges.type, edges.from_id, edges.to_id, strict=True)]
+    if not any(seed in r[2:] for r in rows):
+        raise ValueError(f"a graph has no node {seed}")
+    steps, first, found = prim_steps(rows, seed), {}, []
+    for i, (place, kind, a, b) in enumerate(rows):
+        if a in steps and (kind == "G" or b in steps):
+            step, grows = max(1, steps[a], steps.get(b, 0)), kind != "G" and steps[a] != steps[b]
+            found.append((step, place, i, grows))
+            if grows:
+                first[step] = min(first.get(step, place), place)
+    return edges.iloc[[i for _, _, _, i in sorted((step, not grows or place != first[step], place, i) for step, place, i, grows in found)]]
+
+
 def dropped_edges(edges: DataFrame, ordered: DataFrame) -> DataFrame:
     """Edges that growth doesn't reach."""
     return edges.join(ordered.select("graph_id", "edge_pos"), ["graph_id", "edge_pos"], "left_anti")

@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphtide import jvm
 from graphtide.operators import lockstep
-from graphtide.operators.growth import LoopDetector
+from graphtide.operators.growth import LoopDetector, grown
 from graphtide.operators.solver import CODES, Factor, Graph, trajectory_rmse
 
 GATES = ("none", "IGG", "LCG")
@@ -216,42 +217,51 @@ def run_many(parts: list[tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame | None]]
 
 
 def increments(nodes: DataFrame, edges: DataFrame, truth: DataFrame | None = None, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """One row for each increment of each graph. Takes edges with seq and information. Skipped increments have null errors; of failed ones see above."""
-    kind = dict(edges.dtypes)["graph_id"]
+    """One row for each increment of each graph. Takes edges with information, and with seq; without, each graph's come in growth order. Skipped increments have null errors; of failed ones see above."""
+    kind, grow = dict(edges.dtypes)["graph_id"], "seq" not in edges.columns
+    tagged = _tagged(nodes, edges.withColumn("seq", F.col("edge_pos").cast("long")) if grow else edges, truth)
+    names, spark = tagged.columns[1:], tagged.sparkSession
+    rows = tagged.groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("_rows"), F.count_if(F.col("part") == 0).alias("_nodes"))
+    # A graph's work is far larger than its bytes, by which small partitions would be merged; a stated number is kept. By graph_id itself
+    # Spark would take the graphs for dealt out already, in partitions that it merges, and make the tables once for each size of graph.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, F.xxhash64("graph_id"))
 
     def graphs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Whole graphs, each graph's rows together."""
         starts = np.flatnonzero(np.diff(pd.factorize(pdf.graph_id, use_na_sentinel=False)[0], prepend=-1))
-        parts, names = [], []
+        parts, found = [], []
         for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
             part = _parts(pdf.iloc[a:b])
             if len(part[1]):
-                parts.append(part)
-                names.append(pdf.graph_id.iloc[a])
-        for name, rows in zip(names, run_many(parts, config), strict=True):
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({c: "Float64" for c in ("half_logdet", "di", "err", "ate_rmse")}).assign(graph_id=name)[["graph_id", *COLUMNS]]
+                parts.append((part[0], grown(part[1]) if grow else part[1], part[2]))
+                found.append(pdf.graph_id.iloc[a])
+        for name, made in zip(found, run_many(parts, config), strict=True):
+            yield pd.DataFrame(made, columns=COLUMNS).astype({c: "Float64" for c in ("half_logdet", "di", "err", "ate_rmse")}).assign(graph_id=name)[["graph_id", *COLUMNS]]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows, seen = [], 0, 0
+        held, count, seen = [], 0, 0
         for pdf in batches:
             held.append(pdf)
-            rows, seen = rows + len(pdf), seen + pdf.graph_id.nunique()
-            if rows >= READ_ROWS or seen >= READ_GRAPHS:
+            count, seen = count + len(pdf), seen + pdf.graph_id.nunique()
+            if count >= READ_ROWS or seen >= READ_GRAPHS:
                 every = pd.concat(held, ignore_index=True)
                 # The last graph may go on.
                 same = pd.factorize(every.graph_id, use_na_sentinel=False)[0]
                 end = int(np.searchsorted(same, same[-1]))
                 if end:
                     yield from graphs(every.iloc[:end])
-                held, rows, seen = [every.iloc[end:]], len(every) - end, 1
-        if rows:
+                held, count, seen = [every.iloc[end:]], len(every) - end, 1
+        if count:
             yield from graphs(pd.concat(held, ignore_index=True))
 
-    tagged = _tagged(nodes, edges, truth)
-    spark = tagged.sparkSession
-    # A graph's work is far larger than its bytes, by which small partitions would be merged; a stated number is kept.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return tagged.repartition(tasks, "graph_id").sortWithinPartitions("graph_id").mapInPandas(work, f"graph_id {kind}, {INCREMENTS}")
+    function = jvm.registered(spark, "Increments", f"array<struct<{INCREMENTS.replace(' ', ': ')}>>".replace(",: ", ", "))
+    numbers = [GATES.index(config.gating), config.selective, config.entropy_threshold, config.dx_threshold, LoopDetector(config.loop_gap).gap, config.most_iterations, config.batch, grow]
+    made = F.call_function(function, F.col("graph_id").cast("string"), "_rows", F.array(*[F.lit(float(v)) for v in numbers]))
+    # Filters by size would go below the shuffle, which then were made twice; explode would add one that makes a graph's increments twice.
+    sized = lambda rows_of, name: rows.select("graph_id", F.explode_outer(rows_of).alias(name)).filter(F.col(name).isNotNull()).select("graph_id", f"{name}.*")
+    small, large = sized(F.when(F.col("_nodes") <= SMALL, made), "_i"), sized(F.when(F.col("_nodes") > SMALL, F.col("_rows")), "_r")
+    return small.unionByName(large.mapInPandas(work, f"graph_id {kind}, {INCREMENTS}"))
 
 
 def estimates(nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008

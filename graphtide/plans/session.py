@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
         return
     archive = Path(tempfile.mkdtemp(prefix="graphtide-")) / "graphtide.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
+        for p in sorted([*PACKAGE.rglob("*.py"), *PACKAGE.rglob("*.java")]):
             z.write(p, p.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(str(archive))
     # Tasks share the cores already; a pool of threads in each for small matrices only gets in the way.
