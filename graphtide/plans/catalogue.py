@@ -368,7 +368,7 @@ def _incremental(**options):
 
     def query(spark, sf_dir):
         nodes = _nodes(spark, sf_dir)
-        return _rounded(incremental.increments(nodes, _ordered(spark, sf_dir), fixture.ground_truth(nodes), config))
+        return _rounded(incremental.increments(nodes, _edges(spark, sf_dir), fixture.ground_truth(nodes), config))
 
     return query
 
@@ -376,7 +376,7 @@ def _incremental(**options):
 def incremental_at_guess(spark, sf_dir):
     """The incremental run without steps: closures, gate, skipped increments, variables and errors as the source's guess gives them."""
     config = incremental.Config(gating="LCG", most_iterations=0)
-    rows = incremental.increments(_nodes(spark, sf_dir), _ordered(spark, sf_dir), None, config)
+    rows = incremental.increments(_nodes(spark, sf_dir), _edges(spark, sf_dir), None, config)
     return rows.select("graph_id", "it", "loop_closure", "n_vars", "gated", "skipped", "gn", _r("err", NORMAL_DIGITS))
 
 

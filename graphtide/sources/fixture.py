@@ -23,11 +23,13 @@ def _events(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
         bought = F.coalesce((F.col("event_type") == "purchase").cast("long"), F.lit(0).cast("long"))
         rows = running_sums(ev.select(F.lit(0).cast("long").alias("graph_id"), F.col("event_id").alias("e"), "event_type", "ts"), ["graph_id"], ["ts", "e"], {"place": F.lit(1).cast("long"), "bought": bought})
         return rows.select("graph_id", "e", "event_type", (F.col("place") - 1).alias("k"), "bought").crossJoin(ev.agg((F.count(F.lit(1)) - 1).alias("last")))
+    # Named before it is dealt out, so that what follows by graph needs no second shuffle.
+    ev = ev.select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("e"), "event_type", "ts")
     # Memory of a task doesn't grow with the input.
     if (tasks := tasks_for(ev)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        ev = ev.repartition(tasks, "user_id")
-    place = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("e"), "event_type", (F.row_number().over(place) - 1).cast("long").alias("k"))
+        ev = ev.repartition(tasks, "graph_id")
+    place = Window.partitionBy("graph_id").orderBy("ts", "e")
+    return ev.select("graph_id", "e", "event_type", (F.row_number().over(place) - 1).cast("long").alias("k"))
 
 
 def nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
