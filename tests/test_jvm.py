@@ -89,6 +89,8 @@ def test_errors_name_the_graph(spark):
     nodes, edges, _ = tables(spark, [trajectory(random.Random(1), 9)])
     with pytest.raises(Exception, match="node 8, which the graph lacks"):
         incremental.increments(nodes.filter("node_id <> 8"), edges).collect()
+    with pytest.raises(Exception, match="unknown type of edge: PL"):
+        incremental.increments(nodes, edges.withColumn("type", F.lit("PL"))).collect()
     with pytest.raises(Exception, match="has no node 0"):
         incremental.increments(nodes, edges.filter("from_id <> 0 and coalesce(to_id, 1) <> 0").drop("seq")).collect()
 
