@@ -2,8 +2,8 @@
 
 The edges of a graph come in batches. After each, the gain of information over the last increment and the loop-closure
 flag decide whether all variables are solved for or the new ones only; iterations go on with the variables of nodes
-that still move. A graph's increments depend on each other and run in one task; graphs run side by side, small ones of a
-task in steps that many graphs take at once (`lockstep`).
+that still move. A graph's increments depend on each other and run in one task; graphs run side by side. Small ones are run
+by the same rule in Java (jvm/Increments.java), larger ones here.
 
 A graph may diverge. A step after which the matrix has no factor, or that isn't finite, is taken back, and its increment is
 `failed`: the state is the last that had a factor. Where it had none to begin with, half_logdet and di are null, the gate
@@ -26,7 +26,7 @@ from graphtide.operators.growth import LoopDetector, grown
 from graphtide.operators.solver import CODES, Factor, Graph, trajectory_rmse
 
 GATES = ("none", "IGG", "LCG")
-#: Graphs of at most so many nodes go in lockstep, as many at once; so many graphs or rows are read before they are cut into batches.
+#: Graphs of at most so many nodes go to Java, or in lockstep, as many at once; so many graphs or rows are read before they are cut into batches.
 SMALL, SIDE_BY_SIDE = 256, 256
 READ_GRAPHS, READ_ROWS = 8 * SIDE_BY_SIDE, 1 << 19
 

@@ -4,6 +4,7 @@ A small graph's increment costs numpy's calls rather than its arithmetic. Here o
 batch that are at the same place. Poses are eliminated in the order of insertion, landmarks after them; a row of the factor reaches
 from the first column that an edge of any of the batch's graphs gives it (its envelope, within which all filling stays). Rows that a
 graph doesn't have, or not yet, count as those of the identity. Rows with wide envelopes are made a few at a time.
+`incremental.increments` has the same rule in Java, which costs less.
 """
 
 from __future__ import annotations
